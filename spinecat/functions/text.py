@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -55,10 +56,6 @@ def or_empty(col: Column | str) -> Column:
 # --- accent folding -----------------------------------------------------------------------
 
 
-def _char_class(chars: list[str]) -> str:
-    return "[" + "".join(re.escape(c) for c in chars) + "]"
-
-
 @cache
 def _ascii_tables() -> tuple[str, str, dict[str, str]]:
     """Compatibility decompositions with an ASCII part: one-letter pairs, and longer ones."""
@@ -96,12 +93,14 @@ def _search_tables() -> tuple[str, str, dict[str, str]]:
 
 def _spell_out(col: Column, table: dict[str, str]) -> Column:
     """Replace single characters by longer strings, only in the rows that contain one."""
-    pairs = F.create_map(*[F.lit(part) for item in table.items() for part in item])
+    pairs = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
     letters = F.regexp_extract_all(col, F.lit("(?s)(.)"), 1)
     spelled = F.array_join(
         F.transform(letters, lambda c: F.coalesce(F.try_element_at(pairs, c), c)), ""
     )
-    return F.when(col.rlike(_char_class(list(table))), spelled).otherwise(col)
+    # A hash lookup per character; a pattern of several hundred letters is tried one by one.
+    without = F.translate(col, "".join(table), "")
+    return F.when(F.length(without) < F.length(col), spelled).otherwise(col)
 
 
 def fold(col: Column | str) -> Column:

@@ -114,7 +114,7 @@ def fotos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cents(name: str) -> Column:
-    return F.round(F.col(name) * 100).cast("long").cast("string")
+    return F.floor(F.col(name) * 100 + 0.5).cast("string")
 
 
 def _book_rows(lineitem: DataFrame, part: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _book_rows(lineitem: DataFrame, part: DataFrame) -> DataFrame:
             _cents("l_tax"),
             flag,
             status,
-            F.date_format("l_shipdate", "yyyy-MM-dd"),
+            F.to_date("l_shipdate").cast("string"),
         ).alias("id"),
         F.col("l_orderkey").alias("lote_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("foto_id"),
@@ -160,7 +160,7 @@ def _book_rows(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         author.alias("autor_raw"),
         title.alias("titulo"),
         author.alias("autor"),
-        (F.round(F.col("l_discount") * 100) / 10).alias("confianza"),
+        (F.floor(F.col("l_discount") * 100 + 0.5) / 10).alias("confianza"),
         estado.alias("estado"),
         ((estado == "descartado") & (key % 2 == 0)).alias("repetido"),
         folded_day("l_shipdate").alias("creado_en"),
@@ -503,3 +503,48 @@ def registro_llamadas(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(j(F.lit("INFO otra cosa "), ks))
         .alias("value")
     )
+
+
+# --- streams ------------------------------------------------------------------------------
+
+
+def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A test table as a file stream; the last letter is a pattern so that a plain file works."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
+
+
+def stream_eventos(spark: SparkSession, sf: str) -> DataFrame:
+    shops = F.lit(table(spark, sf, "supplier").count())
+    return event_rows(stream_table(spark, sf, "events"), shops)
+
+
+def stream_raw_events(spark: SparkSession, sf: str) -> DataFrame:
+    return raw_events(stream_eventos(spark, sf), librerias(spark, sf))
+
+
+def stream_lecturas(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _book_rows(stream_table(spark, sf, "lineitem"), table(spark, sf, "part"))
+    shops = F.lit(table(spark, sf, "supplier").count())
+    batches = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("lote"), F.pmod("o_custkey", shops).alias("libreria_id")
+    )
+    return rows.join(batches, rows.lote_id == batches.lote).select(
+        "id",
+        "libreria_id",
+        "lote_id",
+        "foto_id",
+        "orden",
+        F.col("titulo_raw").alias("titulo_detectado"),
+        F.col("autor_leido").alias("autor_detectado"),
+        F.col("titulo").alias("titulo_corregido"),
+        F.col("autor").alias("autor_corregido"),
+        "confianza",
+    )
+
+
+def stream_libros(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _book_rows(stream_table(spark, sf, "lineitem"), table(spark, sf, "part"))
+    return rows.select(
+        "lote_id", "foto_id", F.when(F.col("repetido"), F.col("lote_id")).alias("duplicado_de")
+    )

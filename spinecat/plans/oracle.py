@@ -286,3 +286,584 @@ STATEMENTS["document_keys"] = (
     f"SELECT doc_id, md5({normal('text')}) AS normal, md5({key('text')}) AS clave, "
     f"md5({slug('text')}) AS slug, md5({main_title('text')}) AS principal FROM documents"
 )
+
+# --- model answers ------------------------------------------------------------------------
+
+define(
+    "response_parse",
+    ["detecciones"],
+    """SELECT modelo, lote_id, foto_id, pos, titulo_detectado, autor_detectado, titulo_corregido,
+    autor_corregido, confianza, autor_descartado FROM detecciones""",
+)
+define(
+    "failed_responses",
+    ["respuestas"],
+    "SELECT modelo, foto_id, 'json' AS motivo FROM respuestas WHERE NOT legible",
+)
+define(
+    "author_guardrail",
+    ["libros"],
+    """SELECT id, CASE WHEN malo THEN '' ELSE autor END AS autor_corregido,
+    CASE WHEN malo THEN least(confianza, 0.4) ELSE confianza END AS confianza,
+    CASE WHEN malo THEN autor END AS autor_descartado
+    FROM (SELECT *, autor <> '' AND (autor_leido = '' OR starts_with(autor_leido, 'Coleccion'))
+          AS malo FROM libros)""",
+)
+
+# --- dedup --------------------------------------------------------------------------------
+
+_KEYED = f"""SELECT *, {key('titulo')} AS kt, {main_title('titulo')} AS km, {key('autor')} AS ka
+    FROM libros"""
+define(
+    "dedup_against_catalog",
+    ["libros", "lotes"],
+    f""", claves AS MATERIALIZED ({_KEYED}),
+    nuevas AS (SELECT c.* FROM claves c JOIN lotes l ON l.id = c.lote_id
+               WHERE l.estado = 'procesando'),
+    indice AS (SELECT c.id, c.libreria_id, ka, kt, km FROM claves c JOIN lotes l ON l.id = c.lote_id
+               WHERE l.estado <> 'procesando' AND c.archivado_en IS NULL
+                 AND c.estado IN ('pendiente', 'publicado', 'vendido') AND kt <> ''),
+    candidatas AS (
+      SELECT n.id, i.id AS vieja, 0 AS paso FROM nuevas n JOIN indice i
+        ON i.libreria_id = n.libreria_id AND i.kt = n.kt
+        AND (i.ka = n.ka OR i.ka = '' OR n.ka = '')
+      UNION ALL
+      SELECT n.id, i.id, 0 FROM nuevas n JOIN indice i
+        ON i.libreria_id = n.libreria_id AND i.km = n.kt AND n.kt <> ''
+        AND (i.ka = n.ka OR i.ka = '' OR n.ka = '')
+      UNION ALL
+      SELECT n.id, i.id, 1 FROM nuevas n JOIN indice i
+        ON i.libreria_id = n.libreria_id AND i.kt = n.km AND n.km <> ''
+        AND (i.ka = n.ka OR i.ka = '' OR n.ka = '')),
+    primeras AS (SELECT id, min({{'p': paso, 'v': vieja}}).v AS vieja FROM candidatas GROUP BY id)
+    SELECT n.id, n.libreria_id, p.vieja AS duplicado_de
+    FROM nuevas n LEFT JOIN primeras p ON p.id = n.id""",
+)
+
+# One step handles the next reading of every shop against all rows kept so far.
+_WALK = f""", claves AS MATERIALIZED ({_KEYED}),
+    fila AS MATERIALIZED (SELECT id, libreria_id, lote_id, kt, km, ka, row_number() OVER (
+        PARTITION BY libreria_id ORDER BY lote_id, orden, id) AS paso FROM claves),
+    marcha(paso, libreria_id, id, lote_id, kt, km, ka, viejo, queda) USING KEY (paso, libreria_id)
+    AS (
+      SELECT paso, libreria_id, id, lote_id, kt, km, ka, CAST(NULL AS BIGINT), true
+      FROM fila WHERE paso = 1
+      UNION
+      SELECT f.paso, f.libreria_id, f.id, f.lote_id, f.kt, f.km, f.ka, f.viejo,
+        f.viejo IS NULL OR NOT (f.visto OR f.propio)
+      FROM (
+        SELECT g.*, EXISTS (SELECT 1 FROM recurring.marcha w WHERE w.libreria_id = g.libreria_id
+                AND w.lote_id = g.lote_id AND w.queda AND w.viejo = g.viejo) AS visto,
+          EXISTS (SELECT 1 FROM recurring.marcha w WHERE w.libreria_id = g.libreria_id
+                AND w.lote_id = g.lote_id AND w.id = g.viejo) AS propio
+        FROM (
+          SELECT n.paso, n.libreria_id, n.id, n.lote_id, n.kt, n.km, n.ka,
+            coalesce(min_by(r.id, r.paso) FILTER (r.kt = n.kt OR r.km = n.kt),
+                     min_by(r.id, r.paso) FILTER (r.kt = n.km)) AS viejo
+          FROM (SELECT DISTINCT paso FROM marcha) m JOIN fila n ON n.paso = m.paso + 1
+          LEFT JOIN recurring.marcha r ON r.libreria_id = n.libreria_id AND r.viejo IS NULL
+            AND n.kt <> '' AND r.kt <> '' AND (r.ka = n.ka OR r.ka = '' OR n.ka = '')
+            AND (r.kt = n.kt OR r.km = n.kt OR (n.km <> '' AND r.kt = n.km))
+          GROUP BY ALL) g) f)"""
+_REBUILT = """SELECT m.id, m.libreria_id, m.lote_id, b.titulo, b.autor,
+    CASE WHEN m.viejo IS NULL THEN 'pendiente' ELSE 'descartado' END AS estado,
+    m.viejo AS duplicado_de FROM marcha m JOIN libros b ON b.id = m.id WHERE m.queda"""
+define("dedup_sequential", ["libros"], f"{_WALK} {_REBUILT}", recursive=True)
+define("stream_dedup", ["libros"], f"{_WALK} {_REBUILT}", recursive=True)
+define(
+    "dedup_counters",
+    ["libros"],
+    f"""{_WALK} SELECT lote_id, count(*) FILTER (viejo IS NULL) AS nuevos,
+    count(viejo) AS duplicados FROM marcha WHERE queda GROUP BY lote_id""",
+    recursive=True,
+)
+
+# --- intake -------------------------------------------------------------------------------
+
+_PUBLIC_TYPES = "('vista', 'busqueda', 'clic_whatsapp', 'scan_qr')"
+define(
+    "event_validation",
+    ["eventos_raw", "librerias"],
+    f"""SELECT e.id, CASE WHEN l.id IS NOT NULL AND tipo IN {_PUBLIC_TYPES} THEN l.id END
+        AS libreria_id, tipo, payload,
+    CASE WHEN l.id IS NOT NULL AND tipo IN {_PUBLIC_TYPES} THEN nullif(session_id, '')
+        ELSE session_id END AS session_id,
+    CASE WHEN l.id IS NULL THEN 'slug' WHEN tipo NOT IN {_PUBLIC_TYPES} THEN 'tipo' END AS motivo
+    FROM eventos_raw e LEFT JOIN librerias l ON l.slug = e.slug AND l.activa""",
+)
+define(
+    "shop_registration",
+    ["altas", "librerias"],
+    f"""SELECT solicitud, slug, nombre, whatsapp, mensaje_wa_template,
+    CASE WHEN NOT bien THEN 'whatsapp'
+         WHEN slug IN (SELECT slug FROM librerias) OR solicitud <> primera THEN 'slug' END AS motivo
+    FROM (SELECT *, min(CASE WHEN bien THEN solicitud END) OVER (PARTITION BY slug) AS primera
+      FROM (SELECT solicitud, trim(nombre) AS nombre, trim(whatsapp) AS whatsapp,
+            {slug("CASE WHEN slug = '' THEN nombre ELSE slug END")} AS slug,
+            CASE WHEN trim(mensaje_wa_template) = '' THEN '{TEMPLATE}'
+                 ELSE trim(mensaje_wa_template) END AS mensaje_wa_template,
+            regexp_full_match(trim(whatsapp), '[0-9]{{10,15}}') AS bien FROM altas))""",
+)
+define(
+    "batch_size_check",
+    ["libros"],
+    """SELECT lote_id, libreria_id, count(*) AS cant_fotos,
+    CASE WHEN count(*) > 10 THEN 'cantidad' ELSE '' END AS motivo FROM libros GROUP BY 1, 2""",
+)
+define(
+    "batch_photos",
+    ["libros"],
+    """SELECT lote_id, (row_number() OVER (PARTITION BY lote_id ORDER BY id) - 1)::INT AS orden,
+    foto_id || '/' || id AS path FROM libros QUALIFY count(*) OVER (PARTITION BY lote_id) <= 10""",
+)
+
+# --- lifecycle ----------------------------------------------------------------------------
+
+_DATES = f"{stamp('publicado_en')} AS publicado_en, {stamp('vendido_en')} AS vendido_en"
+_AT = "TIMESTAMP '2024-03-01 12:00:00'"
+define(
+    "apply_edits",
+    ["libros", "ediciones"],
+    f"""SELECT id, lote_id, titulo, autor, estado, {_DATES} FROM (
+      SELECT b.id, b.lote_id,
+        CASE WHEN e.ult IS NULL THEN b.titulo ELSE trim((e.ult).titulo) END AS titulo,
+        CASE WHEN e.ult IS NULL THEN b.autor ELSE trim((e.ult).autor) END AS autor,
+        CASE WHEN e.ult IS NULL THEN b.estado ELSE (e.ult).estado END AS estado,
+        coalesce(e.pub, b.publicado_en) AS publicado_en,
+        coalesce(e.ven, b.vendido_en) AS vendido_en
+      FROM libros b LEFT JOIN (
+        SELECT libro_id, arg_max({{'titulo': titulo, 'autor': autor, 'estado': estado}}, ts) AS ult,
+          max(ts) FILTER (estado = 'publicado') AS pub, max(ts) FILTER (estado = 'vendido') AS ven
+        FROM ediciones WHERE estado <> 'perdido' GROUP BY libro_id) e ON e.libro_id = b.id)""",
+)
+define(
+    "rejected_edits",
+    ["ediciones"],
+    "SELECT libro_id, estado, 'estado' AS motivo FROM ediciones WHERE estado = 'perdido'",
+)
+define(
+    "review_decisions",
+    ["libros", "lotes"],
+    f"""SELECT id, lote_id, titulo, autor, estado, {_DATES} FROM (
+      SELECT b.id, b.lote_id, b.titulo, b.autor,
+        CASE WHEN NOT toca THEN b.estado WHEN sale THEN 'publicado' ELSE 'descartado' END AS estado,
+        CASE WHEN toca AND sale THEN {_AT} ELSE b.publicado_en END AS publicado_en, b.vendido_en
+      FROM (SELECT x.*, l.estado IN ('revision', 'procesando') AND x.duplicado_de IS NULL AS toca,
+              l.estado = 'revision' AND x.confianza >= 0.7 AS sale
+            FROM libros x JOIN lotes l ON l.id = x.lote_id) b)""",
+)
+define(
+    "publish_books",
+    ["libros", "lotes"],
+    f"""SELECT id, lote_id, titulo, autor, estado, {_DATES} FROM (
+      SELECT b.id, b.lote_id, b.titulo, b.autor,
+        CASE WHEN l.estado = 'revision' AND b.estado = 'pendiente' THEN 'publicado'
+             ELSE b.estado END AS estado,
+        CASE WHEN l.estado = 'revision' AND b.estado = 'pendiente' THEN {_AT}
+             ELSE b.publicado_en END AS publicado_en, b.vendido_en
+      FROM libros b JOIN lotes l ON l.id = b.lote_id)""",
+)
+define(
+    "publish_batches",
+    ["lotes"],
+    f"""SELECT id, libreria_id, CASE estado WHEN 'revision' THEN 'publicado' ELSE estado END
+        AS estado, cant_fotos,
+    {stamp(f"CASE estado WHEN 'revision' THEN {_AT} ELSE publicado_en END")} AS publicado_en
+    FROM lotes""",
+)
+define(
+    "publish_events",
+    ["libros", "lotes"],
+    """SELECT l.libreria_id, 'lote_publicado' AS tipo,
+    '{"lote_id":' || l.id || ',"publicados":' || (SELECT count(*) FROM libros b
+        WHERE b.lote_id = l.id AND b.estado IN ('publicado', 'pendiente')) || '}' AS payload,
+    CAST(NULL AS VARCHAR) AS session_id, '2024-03-01 12:00:00' AS creado_en
+    FROM lotes l WHERE l.estado = 'revision'""",
+)
+define(
+    "discard_batch",
+    ["libros", "lotes"],
+    """SELECT b.id, 'libro' AS clase, CASE WHEN l.estado = 'procesando' AND b.estado = 'pendiente'
+        THEN 'descartado' ELSE b.estado END AS estado
+    FROM libros b JOIN lotes l ON l.id = b.lote_id
+    UNION ALL
+    SELECT id, 'lote', CASE estado WHEN 'procesando' THEN 'descartado' ELSE estado END FROM lotes""",
+)
+define(
+    "close_processing",
+    ["lotes"],
+    """SELECT id, libreria_id, CASE estado WHEN 'procesando' THEN 'revision' ELSE estado END
+    AS estado FROM lotes""",
+)
+_ARCHIVED = stamp(f"CASE WHEN l.activa THEN archivado_en ELSE coalesce(archivado_en, {_AT}) END")
+define(
+    "reset_inventory",
+    ["libros", "lotes", "librerias"],
+    f"""SELECT b.id, 'libro' AS clase, {_ARCHIVED} AS archivado_en
+    FROM libros b JOIN librerias l ON l.id = b.libreria_id
+    UNION ALL
+    SELECT b.id, 'lote', {_ARCHIVED} FROM lotes b JOIN librerias l ON l.id = b.libreria_id""",
+)
+define(
+    "reset_events",
+    ["libros", "librerias"],
+    """SELECT l.id AS libreria_id, 'inventario_reiniciado' AS tipo,
+    '{"libros_archivados":' || count(b.id) || '}' AS payload, CAST(NULL AS VARCHAR) AS session_id,
+    '2024-03-01 12:00:00' AS creado_en
+    FROM librerias l LEFT JOIN libros b ON b.libreria_id = l.id AND b.archivado_en IS NULL
+    WHERE NOT l.activa GROUP BY l.id""",
+)
+define(
+    "mark_sold",
+    ["libros"],
+    f"""SELECT id, lote_id, titulo, autor, estado, {_DATES} FROM (
+      SELECT id, lote_id, titulo, autor, CASE WHEN {PUBLIC} THEN 'vendido' ELSE estado END AS estado,
+        publicado_en, CASE WHEN {PUBLIC} THEN {_AT} ELSE vendido_en END AS vendido_en
+      FROM libros)""",
+)
+define(
+    "restore_raw",
+    ["libros"],
+    "SELECT id, titulo_raw AS titulo, autor_raw AS autor, estado FROM libros",
+)
+define(
+    "delete_book",
+    ["libros"],
+    """SELECT id, estado, CASE WHEN duplicado_de IN (SELECT id FROM libros
+        WHERE estado = 'pendiente') THEN NULL ELSE duplicado_de END AS duplicado_de
+    FROM libros WHERE estado <> 'pendiente'""",
+)
+define(
+    "delete_shop",
+    ["librerias", "lotes", "fotos", "libros", "eventos"],
+    """, quedan AS (SELECT id FROM librerias WHERE activa)
+    SELECT id, 'librerias' AS tabla FROM quedan
+    UNION ALL SELECT id, 'lotes' FROM lotes WHERE libreria_id IN (FROM quedan)
+    UNION ALL SELECT f.id, 'fotos' FROM fotos f JOIN lotes l ON l.id = f.lote_id
+        WHERE l.libreria_id IN (FROM quedan)
+    UNION ALL SELECT id, 'libros' FROM libros WHERE libreria_id IN (FROM quedan)
+    UNION ALL SELECT id, 'eventos' FROM eventos WHERE libreria_id IN (FROM quedan)""",
+)
+define(
+    "state_check",
+    ["ediciones", "lotes"],
+    """SELECT estado, CASE WHEN estado = 'perdido' THEN 'estado' END AS motivo, count(*) AS n
+    FROM (SELECT estado FROM ediciones UNION ALL SELECT estado FROM lotes) GROUP BY 1, 2""",
+)
+
+# --- cohorts ------------------------------------------------------------------------------
+
+_MONDAY = "date_trunc('week', {})"
+_READ = f"""SELECT libreria_id, {_MONDAY.format('creado_en')} AS semana,
+    count(*) AS libros_leidos,
+    sum((titulo <> titulo_raw OR autor <> autor_raw)::INT)::BIGINT AS corregidos
+    FROM libros GROUP BY 1, 2"""
+_WEEKS = f"""SELECT libreria_id, {_MONDAY.format('creado_en')} AS semana,
+    count(*) FILTER (tipo = 'lote_publicado') AS lotes_publicados,
+    coalesce(sum(publicados), 0)::BIGINT AS libros_publicados,
+    count(*) FILTER (tipo = 'vista') AS vistas, count(*) FILTER (tipo = 'busqueda') AS busquedas,
+    count(*) FILTER (tipo = 'clic_whatsapp') AS clics FROM marcas GROUP BY 1, 2"""
+_SESSIONS = """SELECT libreria_id, session_id, min(creado_en) AS inicio, max(creado_en) AS fin,
+    count(*) FILTER (tipo = 'busqueda') AS busquedas,
+    count(*) FILTER (tipo = 'clic_whatsapp') AS clics
+    FROM marcas WHERE session_id <> '' GROUP BY 1, 2"""
+define(
+    "weekly_cohort",
+    ["librerias", "libros", "marcas"],
+    f"""SELECT s.libreria_id, strftime(s.semana, '%Y-%m-%d') AS semana,
+    coalesce(lotes_publicados, 0) AS lotes_publicados,
+    coalesce(libros_publicados, 0) AS libros_publicados, coalesce(vistas, 0) AS vistas,
+    coalesce(busquedas, 0) AS busquedas, coalesce(clics, 0) AS clics,
+    coalesce(libros_leidos, 0) AS libros_leidos, coalesce(corregidos, 0) AS corregidos,
+    corregidos / libros_leidos AS parte_corregida
+    FROM (SELECT id AS libreria_id, unnest(generate_series(
+            CAST({_MONDAY.format('creado_en')} AS TIMESTAMP),
+            (SELECT CAST(max({_MONDAY.format('creado_en')}) AS TIMESTAMP) FROM marcas),
+            INTERVAL 7 DAY)) AS semana FROM librerias) s
+    LEFT JOIN ({_WEEKS}) w ON w.libreria_id = s.libreria_id AND w.semana = s.semana
+    LEFT JOIN ({_READ}) r ON r.libreria_id = s.libreria_id AND r.semana = s.semana""",
+)
+define(
+    "weekly_shop_edits",
+    ["libros", "ediciones"],
+    f"""SELECT libreria_id, strftime({_MONDAY.format('creado_en')}, '%Y-%m-%d') AS semana,
+    count(*) AS libros_leidos, count(*) FILTER (EXISTS (SELECT 1 FROM ediciones e
+        WHERE e.libro_id = b.id AND (trim(e.titulo) <> trim(b.titulo)
+            OR trim(e.autor) <> trim(b.autor)))) AS editados
+    FROM libros b GROUP BY 1, 2""",
+)
+define(
+    "innovation_metrics",
+    ["libros", "marcas"],
+    f"""SELECT libreria_id, strftime(semana, '%Y-%m-%d') AS semana,
+    corregidos / libros_leidos AS parte_corregida, coalesce(escaneos_qr, 0) AS escaneos_qr,
+    mediana_busquedas, con_clic / sesiones AS parte_clic,
+    corregidos / libros_leidos < 0.2 AS correccion_bien, coalesce(escaneos_qr, 0) > 0 AS qr_bien,
+    mediana_busquedas >= 1 AS busqueda_bien, con_clic / sesiones >= 0.05 AS clic_bien
+    FROM ({_READ}) FULL JOIN (SELECT libreria_id, {_MONDAY.format('inicio')} AS semana,
+        count(*) AS sesiones, median(busquedas) AS mediana_busquedas,
+        count(*) FILTER (clics > 0) AS con_clic FROM ({_SESSIONS}) GROUP BY 1, 2)
+        USING (libreria_id, semana)
+    FULL JOIN (SELECT libreria_id, {_MONDAY.format('creado_en')} AS semana,
+        count(*) FILTER (es_qr) AS escaneos_qr FROM marcas GROUP BY 1, 2)
+        USING (libreria_id, semana)""",
+)
+define(
+    "bounce_share",
+    ["marcas"],
+    f"""SELECT libreria_id, count(*) AS sesiones, count(*) FILTER (busquedas = 0 AND clics = 0
+        AND fin - inicio < INTERVAL 20 SECOND) AS rebotes,
+    count(*) FILTER (busquedas = 0 AND clics = 0 AND fin - inicio < INTERVAL 20 SECOND) / count(*)
+        AS parte_rebote FROM ({_SESSIONS}) GROUP BY libreria_id""",
+)
+define(
+    "demand_gap_share",
+    ["marcas"],
+    """SELECT libreria_id, count(*) AS busquedas, count(*) FILTER (sin_resultado) AS sin_resultado,
+    count(*) FILTER (sin_resultado) / count(*) AS brecha
+    FROM marcas WHERE tipo = 'busqueda' GROUP BY libreria_id""",
+)
+define(
+    "batch_gaps",
+    ["lotes"],
+    f"""SELECT id, libreria_id, {stamp('creado_en')} AS creado_en,
+    date_diff('second', creado_en, lead(creado_en) OVER (PARTITION BY libreria_id
+        ORDER BY creado_en, id)) / 3600 AS horas_al_siguiente FROM lotes""",
+)
+define(
+    "batch_cadence",
+    ["librerias", "lotes"],
+    """SELECT l.id AS libreria_id, date_diff('second', l.creado_en, b.primero) / 3600
+        AS horas_primer_lote,
+    coalesce(date_diff('second', l.creado_en, b.primero) <= 72 * 3600, false) AS a_tiempo,
+    coalesce(b.n, 0) AS lotes, coalesce(b.n, 0) > 1 AS segunda_tanda
+    FROM librerias l LEFT JOIN (SELECT libreria_id, min(creado_en) AS primero, count(*) AS n
+        FROM lotes GROUP BY 1) b ON b.libreria_id = l.id""",
+)
+define(
+    "retention",
+    ["librerias", "lotes", "eventos"],
+    """, actos AS (SELECT l.id AS libreria_id, a.lote,
+        date_diff('day', CAST(l.creado_en AS DATE), CAST(a.creado_en AS DATE)) // 7 + 1 AS w
+      FROM librerias l JOIN (SELECT libreria_id, creado_en, true AS lote FROM lotes
+          UNION ALL SELECT libreria_id, creado_en, false FROM eventos) a ON a.libreria_id = l.id
+      WHERE a.creado_en >= l.creado_en)
+    SELECT l.id AS libreria_id, """
+    + ", ".join(f"count(*) FILTER (w = {w}) AS s{w}" for w in range(1, 10))
+    + """, coalesce(bool_or(w = 4), false) AS retiene_4,
+    coalesce(bool_or(w = 2 AND lote), false) AS lote_semana_2,
+    coalesce(bool_or(w = 3 AND lote), false) AS lote_semana_3
+    FROM librerias l LEFT JOIN actos a ON a.libreria_id = l.id GROUP BY l.id""",
+)
+define(
+    "cycles",
+    ["libros"],
+    """SELECT libreria_id, ciclo, abierto, libros, publicados, vendidos,
+    libros - lag(libros) OVER (PARTITION BY libreria_id ORDER BY ciclo) AS cambio_libros
+    FROM (SELECT libreria_id, ciclo, bool_and(archivado_en IS NULL) AS abierto, count(*) AS libros,
+            count(*) FILTER (estado = 'publicado') AS publicados,
+            count(*) FILTER (estado = 'vendido') AS vendidos
+          FROM (SELECT *, dense_rank() OVER (PARTITION BY libreria_id
+                ORDER BY archivado_en NULLS LAST)::INT AS ciclo FROM libros) GROUP BY 1, 2)""",
+)
+define(
+    "no_click_shops",
+    ["librerias", "eventos"],
+    """SELECT l.id AS libreria_id, count(e.id) AS clics, count(e.id) = 0 AS sin_consultas
+    FROM librerias l LEFT JOIN eventos e ON e.libreria_id = l.id AND e.tipo = 'clic_whatsapp'
+      AND e.creado_en >= l.creado_en AND e.creado_en < l.creado_en + INTERVAL 21 DAY
+    GROUP BY l.id""",
+)
+define(
+    "shop_signal",
+    ["librerias", "lotes", "eventos"],
+    """SELECT id AS libreria_id, lotes, clics, busquedas, CASE WHEN lotes = 0 THEN 'sin_lotes'
+        WHEN lotes < 2 THEN 'pivot_de_canal'
+        WHEN clics + busquedas = 0 THEN 'pivot_de_segmento'
+        WHEN clics = 0 THEN 'sin_consultas' ELSE 'perseverar' END AS senal
+    FROM (SELECT l.id, (SELECT count(*) FROM lotes b WHERE b.libreria_id = l.id) AS lotes,
+        (SELECT count(*) FROM eventos e WHERE e.libreria_id = l.id AND tipo = 'clic_whatsapp')
+            AS clics,
+        (SELECT count(*) FROM eventos e WHERE e.libreria_id = l.id AND tipo = 'busqueda')
+            AS busquedas FROM librerias l)""",
+)
+
+# --- quality ------------------------------------------------------------------------------
+
+_TRUTH = f"""esperados AS MATERIALIZED (SELECT foto_id,
+      (row_number() OVER (PARTITION BY foto_id ORDER BY id DESC) - 1)::INT AS pos,
+      titulo, autor, {key('titulo')} AS t, {key('autor')} AS a FROM lineas)"""
+_PAIRS = f"""{_TRUTH}, leidos AS MATERIALIZED (SELECT modelo, foto_id, pos::INT AS pos,
+      {key('titulo_corregido')} AS t, {key('autor_corregido')} AS a FROM detecciones),
+    pares AS MATERIALIZED (SELECT d.modelo, e.foto_id, e.pos AS pe, d.pos AS pd, e.a AS ea, d.a AS da,
+      len(list_intersect(list_distinct(string_split(e.t, ' ')),
+          list_distinct(string_split(d.t, ' ')))) AS comunes
+      FROM esperados e JOIN leidos d ON d.foto_id = e.foto_id
+      WHERE contains(d.t, e.t) OR contains(e.t, d.t)
+        OR len(list_intersect(list_distinct(string_split(e.t, ' ')),
+            list_distinct(string_split(d.t, ' ')))) >= greatest(1.0::DOUBLE,
+            0.6::DOUBLE * least(len(string_split(e.t, ' ')), len(string_split(d.t, ' ')))))"""
+_CHOICE = f"""{_PAIRS}, fotos_leidas AS (SELECT r.modelo, r.foto_id,
+        (SELECT count(*) FROM esperados e WHERE e.foto_id = r.foto_id) AS n
+      FROM respuestas r WHERE legible),
+    reparto(modelo, foto_id, n, pos, usados, elegido) AS (
+      SELECT modelo, foto_id, n, -1, CAST([] AS INT[]), -1 FROM fotos_leidas
+      UNION ALL
+      SELECT modelo, foto_id, n, pos,
+        CASE WHEN p IS NULL THEN usados ELSE list_append(usados, p) END, coalesce(p, -1)
+      FROM (SELECT r.modelo, r.foto_id, r.n, r.pos + 1 AS pos, r.usados, min(q.pd) AS p
+            FROM reparto r LEFT JOIN pares q ON q.foto_id = r.foto_id AND q.pe = r.pos + 1
+              AND NOT list_contains(r.usados, q.pd)
+            WHERE r.pos + 1 < r.n GROUP BY ALL))"""
+define(
+    "truth_flatten",
+    ["lineas"],
+    f""", {_TRUTH} SELECT CAST(foto_id AS VARCHAR) AS foto, pos, titulo, autor,
+    autor <> '' AS autor_visible_en_foto FROM esperados""",
+)
+define(
+    "title_match_pairs",
+    ["detecciones"],
+    f""", {_PAIRS} SELECT modelo, CAST(foto_id AS VARCHAR) AS foto, pe AS pos_esperado,
+    pd AS pos_detectado, comunes::INT AS comunes FROM pares""",
+)
+define(
+    "greedy_assignment",
+    ["detecciones"],
+    f""", {_CHOICE} SELECT modelo, CAST(foto_id AS VARCHAR) AS foto, pos AS pos_esperado, elegido
+    FROM reparto WHERE pos >= 0""",
+    recursive=True,
+)
+define(
+    "extraction_scores",
+    ["detecciones"],
+    f""", {_CHOICE}, elegidos AS (SELECT r.modelo, r.foto_id, e.a AS ea, d.a AS da
+        FROM reparto r JOIN esperados e ON e.foto_id = r.foto_id AND e.pos = r.pos
+        JOIN leidos d ON d.foto_id = r.foto_id AND d.pos = r.elegido),
+      bien AS (SELECT modelo, count(*) AS titulos_ok,
+        count(*) FILTER (ea <> '' AND da <> '' AND (contains(ea, da) OR contains(da, ea)
+            OR len(list_intersect(string_split(ea, ' '), string_split(da, ' '))) >= 1))
+            AS autores_ok,
+        count(*) FILTER (ea <> '') AS autores_total,
+        count(*) FILTER (ea = '' AND da <> '') AS autores_inventados
+        FROM elegidos GROUP BY modelo)
+    SELECT r.modelo, b.titulos_ok, sum(len(r.libros))::BIGINT AS titulos_total, b.autores_ok,
+      b.autores_total, b.autores_inventados,
+      sum(CASE WHEN legible THEN len(r.libros) ELSE 0 END)::BIGINT AS libros_devueltos,
+      count(*) FILTER (NOT legible) AS fotos_fallidas,
+      round(sum(CASE WHEN legible THEN costo ELSE 0 END), 6) AS costo,
+      round_even(sum(latencia_ms) / count(*), 0)::BIGINT AS latencia_media
+    FROM respuestas r JOIN bien b ON b.modelo = r.modelo
+    GROUP BY r.modelo, b.titulos_ok, b.autores_ok, b.autores_total, b.autores_inventados""",
+    recursive=True,
+)
+_WIDE = "4611686018427387904"
+_STUDY = f""", suma AS (SELECT modelo, foto_id, count(*) AS n,
+        list_reduce(list_prepend(0.0::DOUBLE, list(confianza ORDER BY pos)), lambda a, b: a + b)
+            / count(*) AS x,
+        count(autor_descartado) AS frenados FROM detecciones GROUP BY modelo, foto_id),
+    exacta AS (SELECT *, CAST(x * {_WIDE}::DOUBLE AS HUGEINT) * 100 AS m FROM suma),
+    estudio AS (SELECT e.modelo, e.foto_id, n::INT AS cant_libros,
+        (m // {_WIDE} + CASE WHEN m % {_WIDE} > 2305843009213693952
+            OR (m % {_WIDE} = 2305843009213693952 AND (m // {_WIDE}) % 2 = 1)
+            THEN 1 ELSE 0 END)::DOUBLE / 100 AS confianza_media,
+        frenados::INT AS guardrail_disparado, r.costo, r.latencia_ms
+      FROM exacta e JOIN respuestas r ON r.foto_id = e.foto_id)"""
+define("image_metrics", ["detecciones"], f"{_STUDY} SELECT * FROM estudio")
+define(
+    "study_cost",
+    ["respuestas"],
+    "SELECT round(sum(costo), 6) AS costo_total FROM respuestas WHERE legible",
+)
+define(
+    "guardrail_crosstab",
+    ["detecciones"],
+    f"""{_STUDY} SELECT CASE WHEN cant_libros = 1 THEN '1-1' WHEN cant_libros = 2 THEN '2-2'
+        ELSE '3-9' END AS banda, count(*) AS fotos,
+    count(*) FILTER (guardrail_disparado / cant_libros > 0.2) AS alto,
+    count(*) FILTER (guardrail_disparado / cant_libros <= 0.1) AS bajo
+    FROM estudio WHERE cant_libros BETWEEN 1 AND 9 GROUP BY 1""",
+)
+define(
+    "variant_pivot",
+    ["detecciones"],
+    f"""{_STUDY} SELECT (foto_id // 10) || '.jpg' AS foto, """
+    + ", ".join(
+        f"max(cant_libros) FILTER (foto_id % 4 = {i}) AS {v}_libros, "
+        f"max(confianza_media) FILTER (foto_id % 4 = {i}) AS {v}_confianza"
+        for i, v in enumerate(["original", "bn", "mas_contraste", "mas_brillo"])
+    )
+    + " FROM estudio GROUP BY 1",
+)
+
+_CALLS = """SELECT *, CASE WHEN event_type IN ('view', 'click', 'error') THEN 'vision_ok'
+    WHEN event_type = 'signup' THEN 'lote_procesado' WHEN k % 3 = 0 THEN 'vision_fallo' END AS clase
+    FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"""
+_CALL_ROWS = f"""SELECT clase,
+    CASE WHEN clase <> 'lote_procesado' THEN k % 2 + 1 END AS intento,
+    CASE WHEN clase <> 'lote_procesado' THEN 'modelo-' || (user_id % 4) END AS modelo,
+    CASE clase WHEN 'vision_ok' THEN k * 10 + 500 WHEN 'vision_fallo' THEN k * 20 + 900 END
+        AS latencia_ms,
+    CASE clase WHEN 'vision_ok' THEN k + 1000 END AS tokens_entrada,
+    CASE clase WHEN 'vision_ok' THEN k * 3 END AS tokens_salida,
+    CASE clase WHEN 'vision_ok' THEN CAST('0.00' || (k % 9 + 1) AS DOUBLE) END AS costo,
+    CASE clase WHEN 'lote_procesado' THEN event_id END AS lote_id,
+    CASE clase WHEN 'lote_procesado' THEN user_id END AS libreria_id,
+    CASE clase WHEN 'lote_procesado' THEN k % 40 END AS nuevos,
+    CASE clase WHEN 'lote_procesado' THEN k % 7 END AS duplicados
+    FROM ({_CALLS}) WHERE clase IS NOT NULL"""
+STATEMENTS["call_log_rows"] = _CALL_ROWS
+STATEMENTS["call_log_economics"] = f"""SELECT modelo, count(*) AS llamadas,
+    count(*) FILTER (intento > 1) AS reintentos,
+    count(*) FILTER (clase = 'vision_fallo') AS fallos,
+    count(*) FILTER (clase = 'vision_fallo') / count(*) AS tasa_fallo,
+    sum(latencia_ms) / count(*) AS latencia_media, max(latencia_ms) AS latencia_max,
+    sum(tokens_entrada)::BIGINT AS tokens_entrada, sum(tokens_salida)::BIGINT AS tokens_salida,
+    round(sum(costo), 6) AS costo FROM ({_CALL_ROWS}) WHERE modelo IS NOT NULL GROUP BY modelo"""
+STATEMENTS["batch_costs"] = f"""SELECT count(*) FILTER (clase = 'lote_procesado') AS lotes,
+    sum(nuevos)::BIGINT AS nuevos, sum(duplicados)::BIGINT AS duplicados,
+    round(sum(costo) / count(*) FILTER (clase = 'lote_procesado'), 6) AS costo_por_lote
+    FROM ({_CALL_ROWS})"""
+STATEMENTS["exact_duplicate_docs"] = """SELECT doc_id, md5(text) AS huella,
+    nullif(min(doc_id) OVER (PARTITION BY text), doc_id) AS duplicado_exacto_de FROM documents"""
+STATEMENTS["unique_docs"] = """SELECT min(doc_id) AS doc_id, md5(text) AS huella
+    FROM documents GROUP BY text"""
+
+# --- streams ------------------------------------------------------------------------------
+
+define(
+    "stream_ingest",
+    ["eventos_raw", "librerias"],
+    f"""SELECT e.id, l.id AS libreria_id, tipo, payload, nullif(session_id, '') AS session_id
+    FROM eventos_raw e JOIN librerias l ON l.slug = e.slug
+    WHERE l.activa AND tipo IN {_PUBLIC_TYPES}""",
+)
+define(
+    "stream_weekly",
+    ["marcas"],
+    f"SELECT * REPLACE (strftime(semana, '%Y-%m-%d') AS semana) FROM ({_WEEKS})",
+)
+define(
+    "stream_sessions",
+    ["marcas"],
+    f""", saltos AS (SELECT *, CASE WHEN creado_en - lag(creado_en) OVER w < INTERVAL 30 MINUTE
+            THEN 0 ELSE 1 END AS salto FROM marcas WHERE session_id <> ''
+        WINDOW w AS (PARTITION BY libreria_id, session_id ORDER BY creado_en, id)),
+    tramos AS (SELECT *, sum(salto) OVER (PARTITION BY libreria_id, session_id
+        ORDER BY creado_en, id) AS tramo FROM saltos),
+    cerrados AS (SELECT libreria_id, session_id, tramo, min(creado_en) AS inicio,
+        max(creado_en) + INTERVAL 30 MINUTE AS cierre, count(*) AS eventos,
+        count(*) FILTER (tipo = 'busqueda') AS busquedas,
+        count(*) FILTER (tipo = 'clic_whatsapp') AS clics FROM tramos GROUP BY 1, 2, 3)
+    SELECT libreria_id, session_id, {stamp('inicio')} AS inicio, {stamp('cierre')} AS cierre,
+    eventos, busquedas, clics FROM cerrados
+    WHERE cierre <= (SELECT max(creado_en) FROM marcas WHERE session_id <> '') - INTERVAL 1 HOUR""",
+)
+define(
+    "stream_progress",
+    ["lineas"],
+    """SELECT lote_id, count(*) FILTER (NOT repetido) AS libros,
+    count(*) FILTER (repetido) AS duplicados, count(DISTINCT foto_id)::INT AS fotos_listas
+    FROM (SELECT *, estado = 'descartado' AND l_partkey % 2 = 0 AS repetido FROM lineas)
+    GROUP BY lote_id""",
+)

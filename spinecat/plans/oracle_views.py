@@ -94,9 +94,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "lineas": (
         [],
         f"""SELECT CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey,
-            l_linenumber, CAST(round(l_quantity * 100) AS BIGINT),
-            CAST(round(l_extendedprice * 100) AS BIGINT),
-            CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT),
+            l_linenumber, CAST(floor(l_quantity * 100 + 0.5) AS BIGINT),
+            CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT),
+            CAST(floor(l_discount * 100 + 0.5) AS BIGINT), CAST(floor(l_tax * 100 + 0.5) AS BIGINT),
             l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'))), 1, 15) AS BIGINT) AS id,
         l_orderkey AS lote_id, l_orderkey * 10 + l_linenumber AS foto_id,
         l_linenumber - 1 AS orden,
@@ -104,7 +104,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
             WHEN 2 THEN p_name || ': ' || lower(p_type) ELSE p_name || ' ' || p_size END AS titulo,
         CASE WHEN l_partkey % 5 = 0 THEN '' ELSE 'Ana ' || lower(p_type) END AS autor,
         l_suppkey % 3 = 0 AS en_mayusculas,
-        round(l_discount * 100) / 10 AS confianza,
+        floor(l_discount * 100 + 0.5) / 10 AS confianza,
         CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'pendiente'
              WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'descartado'
              WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'vendido'

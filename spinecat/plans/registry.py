@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 
 from spinecat import schemas
 from spinecat.functions import text
-from spinecat.operators import catalog, metrics, search
+from spinecat.operators import (
+    catalog,
+    cohorts,
+    dedup,
+    intake,
+    lifecycle,
+    metrics,
+    quality,
+    search,
+)
 from spinecat.plans import adapters as A
-from spinecat.session import configure
+from spinecat.session import configure, run_dir
+from spinecat.sources import files, responses
+from spinecat.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,3 +247,489 @@ def document_keys(spark, sf):
         F.md5(text.slug("text")).alias("slug"),
         F.md5(text.main_title("text")).alias("principal"),
     )
+
+
+# --- model answers ------------------------------------------------------------------------
+
+
+def _answers(spark, sf):
+    good, failed = responses.parse(A.respuestas(spark, sf))
+    return responses.with_books(good), failed
+
+
+@query
+def response_parse(spark, sf):
+    good, _ = responses.parse(A.respuestas(spark, sf))
+    rows, _ = responses.readings(good)
+    return rows.select(
+        "modelo", "lote_id", "foto_id", "pos", *responses.TEXTS, "confianza", "autor_descartado"
+    )
+
+
+@query
+def failed_responses(spark, sf):
+    _, failed = responses.parse(A.respuestas(spark, sf))
+    return failed.select("modelo", "foto_id", "motivo")
+
+
+@query
+def author_guardrail(spark, sf):
+    rows = A.lecturas(spark, sf).select("id", *responses.TEXTS, "confianza")
+    return responses.guard_author(rows).select(
+        "id", "autor_corregido", "confianza", "autor_descartado"
+    )
+
+
+# --- dedup --------------------------------------------------------------------------------
+
+
+@query
+def dedup_against_catalog(spark, sf):
+    """Readings of unprocessed batches against the books of all other batches."""
+    open_batches = A.lotes(spark, sf).filter(F.col("estado") == "procesando").select(
+        F.col("id").alias("lote_id")
+    )
+    readings = A.lecturas(spark, sf).join(open_batches, "lote_id", "left_semi")
+    books = A.libros(spark, sf).join(open_batches, "lote_id", "left_anti")
+    return dedup.match_catalog(readings, books).select("id", "libreria_id", "duplicado_de")
+
+
+def _rebuilt(spark, sf):
+    nothing = spark.createDataFrame(
+        [],
+        "id long, libreria_id long, titulo string, autor string, estado string, "
+        "archivado_en timestamp",
+    )
+    return dedup.dedup_batches(A.lecturas(spark, sf), nothing)
+
+
+@query
+def dedup_sequential(spark, sf):
+    """All readings of all shops, batch after batch, from an empty catalogue."""
+    return _rebuilt(spark, sf).select(
+        "id", "libreria_id", "lote_id", "titulo", "autor", "estado", "duplicado_de"
+    )
+
+
+@query
+def dedup_counters(spark, sf):
+    return dedup.batch_counters(_rebuilt(spark, sf))
+
+
+# --- intake -------------------------------------------------------------------------------
+
+
+@query
+def event_validation(spark, sf):
+    accepted, refused = intake.ingest(
+        A.eventos_raw(spark, sf).drop("creado_en"), A.librerias(spark, sf)
+    )
+    good = accepted.select(
+        "id", "libreria_id", "tipo", "payload", "session_id", F.lit(None).cast("string").alias("motivo")
+    )
+    bad = refused.select(
+        "id", F.lit(None).cast("long").alias("libreria_id"), "tipo", "payload", "session_id", "motivo"
+    )
+    return good.unionByName(bad)
+
+
+@query
+def shop_registration(spark, sf):
+    accepted, rejected = intake.register_shops(A.librerias(spark, sf), A.altas(spark, sf))
+    columns = ["solicitud", "slug", "nombre", "whatsapp", "mensaje_wa_template"]
+    return accepted.select(*columns, F.lit(None).cast("string").alias("motivo")).unionByName(
+        rejected.select(*columns, "motivo")
+    )
+
+
+def _uploads(spark, sf):
+    """Line items as uploads: each line of an order is a file of its batch."""
+    return A.libros(spark, sf).select(
+        "lote_id",
+        "libreria_id",
+        F.col("id").alias("subida"),
+        F.concat_ws("/", F.col("foto_id").cast("string"), F.col("id").cast("string")).alias("path"),
+    )
+
+
+@query
+def batch_size_check(spark, sf):
+    batches, _, rejected = intake.make_batches(_uploads(spark, sf))
+    return batches.select(
+        F.col("id").alias("lote_id"), "libreria_id", "cant_fotos", F.lit("").alias("motivo")
+    ).unionByName(rejected.select("lote_id", "libreria_id", "cant_fotos", "motivo"))
+
+
+@query
+def batch_photos(spark, sf):
+    _, photos, _ = intake.make_batches(_uploads(spark, sf))
+    return photos
+
+
+# --- lifecycle ----------------------------------------------------------------------------
+
+NOW = "2024-03-01 12:00:00"
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def _book_state(books):
+    return books.select(
+        "id", "lote_id", "titulo", "autor", "estado", stamp("publicado_en"), stamp("vendido_en")
+    )
+
+
+@query
+def apply_edits(spark, sf):
+    books, _ = lifecycle.apply_edits(A.libros(spark, sf), A.ediciones(spark, sf))
+    return _book_state(books)
+
+
+@query
+def rejected_edits(spark, sf):
+    _, rejected = lifecycle.apply_edits(A.libros(spark, sf), A.ediciones(spark, sf))
+    return rejected.select("libro_id", "estado", "motivo")
+
+
+@query
+def review_decisions(spark, sf):
+    """Publish batches in review, discard those still processing, book by book."""
+    decisions = A.lotes(spark, sf).filter(F.col("estado").isin("revision", "procesando")).select(
+        F.col("id").alias("lote_id"),
+        F.when(F.col("estado") == "revision", "publicar").otherwise("descartar").alias("accion"),
+    )
+    books = A.libros(spark, sf)
+    edited, _ = lifecycle.apply_edits(books, lifecycle.review_edits(books, decisions, _now()))
+    return _book_state(edited)
+
+
+def _waiting(spark, sf, estado):
+    return A.lotes(spark, sf).filter(F.col("estado") == estado).select("id")
+
+
+@query
+def publish_books(spark, sf):
+    books, _, _ = lifecycle.publish(
+        A.libros(spark, sf), A.lotes(spark, sf), _waiting(spark, sf, "revision"), _now()
+    )
+    return _book_state(books)
+
+
+@query
+def publish_batches(spark, sf):
+    _, batches, _ = lifecycle.publish(
+        A.libros(spark, sf), A.lotes(spark, sf), _waiting(spark, sf, "revision"), _now()
+    )
+    return batches.select("id", "libreria_id", "estado", "cant_fotos", stamp("publicado_en"))
+
+
+@query
+def publish_events(spark, sf):
+    _, _, events = lifecycle.publish(
+        A.libros(spark, sf), A.lotes(spark, sf), _waiting(spark, sf, "revision"), _now()
+    )
+    return events.withColumn("creado_en", stamp("creado_en"))
+
+
+@query
+def discard_batch(spark, sf):
+    books, batches = lifecycle.discard(
+        A.libros(spark, sf), A.lotes(spark, sf), _waiting(spark, sf, "procesando")
+    )
+    return books.select("id", F.lit("libro").alias("clase"), "estado").unionByName(
+        batches.select("id", F.lit("lote").alias("clase"), "estado")
+    )
+
+
+@query
+def close_processing(spark, sf):
+    batches = A.lotes(spark, sf)
+    done = lifecycle.close_processing(batches, _waiting(spark, sf, "procesando"))
+    return done.select("id", "libreria_id", "estado")
+
+
+def _closed_shops(spark, sf):
+    return A.librerias(spark, sf).filter(~F.col("activa")).select("id")
+
+
+@query
+def reset_inventory(spark, sf):
+    books, batches, _ = lifecycle.reset(
+        A.libros(spark, sf), A.lotes(spark, sf), _closed_shops(spark, sf), _now()
+    )
+    return books.select("id", F.lit("libro").alias("clase"), stamp("archivado_en")).unionByName(
+        batches.select("id", F.lit("lote").alias("clase"), stamp("archivado_en"))
+    )
+
+
+@query
+def reset_events(spark, sf):
+    _, _, events = lifecycle.reset(
+        A.libros(spark, sf), A.lotes(spark, sf), _closed_shops(spark, sf), _now()
+    )
+    return events.withColumn("creado_en", stamp("creado_en"))
+
+
+@query
+def mark_sold(spark, sf):
+    """Sell every published book that was restored to its raw reading."""
+    books = A.libros(spark, sf)
+    ids = catalog.public_books(books).select("id")
+    sold, _ = lifecycle.apply_edits(books, lifecycle.mark_sold(books, ids, _now()))
+    return _book_state(sold)
+
+
+@query
+def restore_raw(spark, sf):
+    books = A.libros(spark, sf)
+    ids = books.filter(catalog.was_corrected()).select("id")
+    restored, _ = lifecycle.apply_edits(books, lifecycle.restore_raw(books, ids, _now()))
+    return restored.select("id", "titulo", "autor", "estado")
+
+
+@query
+def delete_book(spark, sf):
+    books = A.libros(spark, sf)
+    gone = books.filter(F.col("estado") == "pendiente").select("id")
+    return lifecycle.delete_books(books, gone).select("id", "estado", "duplicado_de")
+
+
+@query
+def delete_shop(spark, sf):
+    """Rows left in each table after the closed shops are gone."""
+    tables = {
+        name: getattr(A, name)(spark, sf)
+        for name in ("librerias", "lotes", "fotos", "libros", "eventos")
+    }
+    left = lifecycle.delete_shops(tables, _closed_shops(spark, sf))
+    parts = [df.select("id", F.lit(name).alias("tabla")) for name, df in left.items()]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+@query
+def state_check(spark, sf):
+    """Edits and batches by whether their state is on the list of their table."""
+    edits = A.ediciones(spark, sf).select(F.col("libro_id").alias("id"), "estado")
+    good, bad = intake.check_states(edits, schemas.BOOK_STATES)
+    batch_good, batch_bad = intake.check_states(
+        A.lotes(spark, sf).select("id", "estado"), schemas.BATCH_STATES
+    )
+    fine = good.unionByName(batch_good).withColumn("motivo", F.lit(None).cast("string"))
+    rows = fine.unionByName(bad).unionByName(batch_bad)
+    return rows.groupBy("estado", "motivo").agg(F.count("*").alias("n"))
+
+
+# --- cohorts ------------------------------------------------------------------------------
+
+
+@query
+def weekly_cohort(spark, sf):
+    out = cohorts.weekly_cohort(A.librerias(spark, sf), A.libros(spark, sf), A.eventos(spark, sf))
+    return out.withColumn("semana", text.iso_date("semana"))
+
+
+@query
+def weekly_shop_edits(spark, sf):
+    out = cohorts.weekly_shop_edits(A.libros(spark, sf), A.ediciones(spark, sf))
+    return out.withColumn("semana", text.iso_date("semana"))
+
+
+@query
+def innovation_metrics(spark, sf):
+    out = cohorts.innovation_metrics(A.libros(spark, sf), A.eventos(spark, sf))
+    return out.withColumn("semana", text.iso_date("semana"))
+
+
+@query
+def bounce_share(spark, sf):
+    return cohorts.bounce_share(A.eventos(spark, sf))
+
+
+@query
+def demand_gap_share(spark, sf):
+    return cohorts.demand_gap_share(A.eventos(spark, sf))
+
+
+@query
+def batch_gaps(spark, sf):
+    out = cohorts.batch_gaps(A.lotes(spark, sf))
+    return out.withColumn("creado_en", stamp("creado_en"))
+
+
+@query
+def batch_cadence(spark, sf):
+    return cohorts.batch_cadence(A.librerias(spark, sf), A.lotes(spark, sf))
+
+
+@query
+def retention(spark, sf):
+    return cohorts.retention(A.librerias(spark, sf), A.lotes(spark, sf), A.eventos(spark, sf))
+
+
+@query
+def cycles(spark, sf):
+    return cohorts.cycles(A.libros(spark, sf))
+
+
+@query
+def no_click_shops(spark, sf):
+    return cohorts.no_click_shops(A.librerias(spark, sf), A.eventos(spark, sf))
+
+
+@query
+def shop_signal(spark, sf):
+    return cohorts.shop_signal(A.librerias(spark, sf), A.lotes(spark, sf), A.eventos(spark, sf))
+
+
+# --- quality ------------------------------------------------------------------------------
+
+
+def _lenient_answers(spark, sf):
+    good, failed = responses.parse(A.respuestas(spark, sf), lenient=True)
+    return responses.with_books(good), failed
+
+
+@query
+def truth_flatten(spark, sf):
+    return files.truth_rows(A.verdad(spark, sf)).select(
+        "foto", "pos", "titulo", "autor", "autor_visible_en_foto"
+    )
+
+
+@query
+def title_match_pairs(spark, sf):
+    answers, _ = _lenient_answers(spark, sf)
+    return quality.title_match_pairs(answers, files.truth_photos(A.verdad(spark, sf)))
+
+
+@query
+def greedy_assignment(spark, sf):
+    answers, _ = _lenient_answers(spark, sf)
+    rows = quality.assigned(answers, files.truth_photos(A.verdad(spark, sf)))
+    return rows.select("modelo", "foto", F.posexplode("elegido").alias("pos_esperado", "elegido"))
+
+
+@query
+def extraction_scores(spark, sf):
+    answers, failed = _lenient_answers(spark, sf)
+    return quality.scores(answers, files.truth_photos(A.verdad(spark, sf)), failed)
+
+
+@query
+def image_metrics(spark, sf):
+    answers, _ = _answers(spark, sf)
+    return quality.image_metrics(answers)
+
+
+@query
+def study_cost(spark, sf):
+    answers, _ = _answers(spark, sf)
+    return quality.total_cost(quality.image_metrics(answers))
+
+
+@query
+def guardrail_crosstab(spark, sf):
+    """Bands scaled to the test photos, which show one to nine books."""
+    answers, _ = _answers(spark, sf)
+    return quality.guard_crosstab(quality.image_metrics(answers), [(1, 1), (2, 2), (3, 9)])
+
+
+@query
+def variant_pivot(spark, sf):
+    """Photos of a batch stand for the retouched versions of one photo."""
+    answers, _ = _answers(spark, sf)
+    variants = F.array(*[F.lit(v) for v in ["", " [bn]", " [mas_contraste]", " [mas_brillo]"]])
+    rows = quality.image_metrics(answers).withColumn(
+        "etiqueta",
+        F.concat(
+            F.floor(F.col("foto_id") / 10).cast("string"),
+            F.lit(".jpg"),
+            F.get(variants, (F.col("foto_id") % 4).cast("int")),
+        ),
+    )
+    return quality.variant_pivot(rows)
+
+
+@query
+def call_log_economics(spark, sf):
+    return quality.call_economics(files.parse_log(A.registro_llamadas(spark, sf)))
+
+
+@query
+def call_log_rows(spark, sf):
+    return files.parse_log(A.registro_llamadas(spark, sf))
+
+
+@query
+def batch_costs(spark, sf):
+    return quality.batch_costs(files.parse_log(A.registro_llamadas(spark, sf)))
+
+
+@query
+def exact_duplicate_docs(spark, sf):
+    docs = A.table(spark, sf, "documents").select("doc_id", F.md5("text").alias("huella"))
+    return quality.mark_copies(docs, "doc_id", "huella")
+
+
+@query
+def unique_docs(spark, sf):
+    docs = A.table(spark, sf, "documents").select("doc_id", F.md5("text").alias("huella"))
+    copies = quality.mark_copies(docs, "doc_id", "huella").filter(
+        F.col("duplicado_exacto_de").isNotNull()
+    )
+    return quality.unique_files(docs, copies, "doc_id")
+
+
+# --- streams, run to the end of what is there ---------------------------------------------
+
+
+@query
+def stream_ingest(spark, sf):
+    folder = run_dir(spark, "ingesta")
+    raw = A.stream_raw_events(spark, sf).drop("creado_en")
+    jobs.start_ingest(raw, A.librerias(spark, sf), folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/aceptados").select(
+        "id", "libreria_id", "tipo", "payload", "session_id"
+    )
+
+
+@query
+def stream_weekly(spark, sf):
+    folder = run_dir(spark, "semanas")
+    counts = jobs.weekly_counts(A.stream_eventos(spark, sf))
+    jobs.start_table(counts, folder).awaitTermination()
+    rows = jobs.newest(
+        jobs.read_parts(spark, folder + "/datos", counts.schema), ["libreria_id", "semana"]
+    )
+    return rows.withColumn("semana", text.iso_date("semana"))
+
+
+@query
+def stream_sessions(spark, sf):
+    folder = run_dir(spark, "sesiones")
+    rows = jobs.session_activity(A.stream_eventos(spark, sf))
+    jobs.start_table(rows, folder, mode="append").awaitTermination()
+    closed = jobs.read_parts(spark, folder + "/datos", rows.schema).drop("epoca")
+    return closed.withColumns({"inicio": stamp("inicio"), "cierre": stamp("cierre")})
+
+
+@query
+def stream_dedup(spark, sf):
+    folder = run_dir(spark, "repetidos")
+    jobs.start_dedup(A.stream_lecturas(spark, sf), folder).awaitTermination()
+    return jobs.stored_books(spark, folder).select(
+        "id", "libreria_id", "lote_id", "titulo", "autor", "estado", "duplicado_de"
+    )
+
+
+@query
+def stream_progress(spark, sf):
+    folder = run_dir(spark, "progreso")
+    rows = jobs.batch_progress(A.stream_libros(spark, sf))
+    jobs.start_table(rows, folder).awaitTermination()
+    return jobs.newest(jobs.read_parts(spark, folder + "/datos", rows.schema), ["lote_id"])
