@@ -34,24 +34,33 @@ def equals(payload: Column, name: str, value: str) -> Column:
     return F.coalesce(text(payload, name) == value, F.lit(False))
 
 
-def truthy(payload: Column, name: str) -> Column:
-    rendered = field(payload, name)
+def counts(rendered: Column) -> Column:
+    """Truth of a member's JSON text; NULL (missing) does not count."""
     return F.coalesce(~rendered.rlike(_NOTHING), F.lit(False))
 
 
+def truthy(payload: Column, name: str) -> Column:
+    return counts(field(payload, name))
+
+
 def zero(payload: Column, name: str) -> Column:
     """Missing, null or zero-like; the text ``"0"`` is not zero."""
     return ~truthy(payload, name)
 
 
-def shown(payload: Column, name: str) -> Column:
-    """Member as display text: nothing when missing, words for null and booleans."""
-    rendered = field(payload, name)
+def shown_text(rendered: Column, value: Column) -> Column:
+    """Display text of a member: nothing when missing, words for null and booleans."""
     return (
         F.when(rendered.isNull(), F.lit(""))
-        .when(is_text(payload, name), F.try_variant_get(payload, f"$.{name}", "string"))
+        .when(rendered.startswith('"'), value)
         .when(rendered == "null", F.lit("None"))
         .when(rendered == "true", F.lit("True"))
         .when(rendered == "false", F.lit("False"))
         .otherwise(rendered)
     )
+
+
+def shown(payload: Column, name: str) -> Column:
+    return shown_text(
+        field(payload, name), F.try_variant_get(payload, f"$.{name}", "string")
+    )

@@ -14,33 +14,6 @@ LOW_SHARE = 0.1
 VARIANTS = ["original", "bn", "mas_contraste", "mas_brillo"]
 
 
-def _prepared_truth(expected: Column) -> Column:
-    return F.transform(
-        expected,
-        lambda e: F.struct(
-            text.key(e["titulo"]).alias("t"),
-            text.tokens(text.key(e["titulo"])).alias("w"),
-            text.key(e["autor"]).alias("a"),
-            e["autor_visible_en_foto"].alias("visible"),
-        ),
-    )
-
-
-def _prepared_answer(books: Column) -> Column:
-    title = lambda d: text.key(
-        F.coalesce(F.nullif(d["titulo_corregido"], F.lit("")), d["titulo_detectado"])
-    )
-    return F.transform(
-        books,
-        lambda d, i: F.struct(
-            i.alias("i"),
-            title(d).alias("t"),
-            text.tokens(title(d)).alias("w"),
-            text.key(d["autor_corregido"]).alias("a"),
-        ),
-    )
-
-
 def _title_fits(e: Column, d: Column) -> Column:
     return (d["t"] != "") & (
         text.contained(e["t"], d["t"]) | text.enough_overlap(e["w"], d["w"])
@@ -54,102 +27,118 @@ def _author_fits(e: Column, d: Column) -> Column:
     )
 
 
-def side_by_side(answers: DataFrame, truth: DataFrame) -> DataFrame:
-    """Answers with ``libros`` next to the expected books of their photo, one row each.
+def _expected(truth: DataFrame) -> DataFrame:
+    """Expected books of each photo as one array of keys."""
+    rows = truth.withColumns({"t": text.key("titulo"), "a": text.key("autor")})
+    book = F.struct(
+        "pos",
+        "t",
+        text.tokens("t").alias("w"),
+        "a",
+        F.col("autor_visible_en_foto").alias("visible"),
+    )
+    return rows.groupBy("foto").agg(F.sort_array(F.collect_list(book)).alias("e"))
+
+
+def _detected(books: DataFrame) -> DataFrame:
+    """Detected books of each answer as one array of keys."""
+    title = F.coalesce(F.nullif("titulo_corregido", F.lit("")), F.col("titulo_detectado"))
+    # Partitioned by photo alone, so that the join with the truth needs no second shuffle; the
+    # keys come after it to keep the generated code of parsing and matching apart.
+    spread = books.withColumn("foto", F.col("foto_id").cast("string")).repartition("foto")
+    rows = spread.withColumns({"t": text.key(title), "a": text.key("autor_corregido")})
+    book = F.struct("pos", "t", text.tokens("t").alias("w"), "a")
+    return (
+        rows.groupBy("modelo", "foto")
+        .agg(
+            F.any_value("costo").alias("costo"),
+            F.any_value("latencia_ms").alias("latencia_ms"),
+            F.any_value("motivo").alias("motivo"),
+            F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), book))).alias("d"),
+        )
+    )
+
+
+def side_by_side(books: DataFrame, truth: DataFrame) -> DataFrame:
+    """Detected books next to the expected books of their photo, one row per answer.
 
-    Both lists come out of single JSON documents, so they stay small arrays of one row; no
-    rows are paired up, and a photo is never a shuffle group.
+    Both arrays come out of single JSON documents, an answer and a label entry, which bounds
+    them; no rows are paired up.
     """
-    joined = answers.join(truth, answers.foto_id.cast("string") == truth.foto)
-    return joined.withColumns(
-        {"e": _prepared_truth(F.col("esperados")), "d": _prepared_answer(F.col("libros"))}
-    )
+    return _detected(books).join(_expected(truth), "foto")
 
 
-def title_match_pairs(answers: DataFrame, truth: DataFrame) -> DataFrame:
+def title_match_pairs(books: DataFrame, truth: DataFrame) -> DataFrame:
     """Every expected and detected title of a photo that fit together."""
-    sides = side_by_side(answers, truth).select(
-        "modelo", "foto", "d", F.posexplode("e").alias("pos_esperado", "e1")
-    )
+    sides = side_by_side(books, truth).select("modelo", "foto", "d", F.explode("e").alias("e1"))
     fits = sides.select(
         "modelo",
         "foto",
-        "pos_esperado",
         "e1",
         F.explode(F.filter("d", lambda d: _title_fits(F.col("e1"), d))).alias("d1"),
     )
     return fits.select(
         "modelo",
         "foto",
-        "pos_esperado",
-        F.col("d1.i").alias("pos_detectado"),
+        F.col("e1.pos").alias("pos_esperado"),
+        F.col("d1.pos").alias("pos_detectado"),
         text.common_words(F.col("e1.w"), F.col("d1.w")).alias("comunes"),
     )
 
 
-def assigned(answers: DataFrame, truth: DataFrame) -> DataFrame:
+def assigned(books: DataFrame, truth: DataFrame) -> DataFrame:
     """Adds ``elegido``: for each expected book the first free detected book that fits, or -1."""
 
     def pick(taken: Column, e: Column) -> Column:
         free = F.filter(
-            F.col("d"), lambda d: ~F.array_contains(taken, d["i"]) & _title_fits(e, d)
+            F.col("d"), lambda d: ~F.array_contains(taken, d["pos"]) & _title_fits(e, d)
         )
-        return F.concat(taken, F.array(F.coalesce(F.get(free, F.lit(0))["i"], F.lit(-1))))
+        return F.concat(taken, F.array(F.coalesce(F.get(free, F.lit(0))["pos"], F.lit(-1))))
 
-    return side_by_side(answers, truth).withColumn(
+    return side_by_side(books, truth).withColumn(
         "elegido", F.aggregate("e", F.array().cast("array<int>"), pick)
     )
 
 
-def scores(answers: DataFrame, truth: DataFrame, failed: DataFrame) -> DataFrame:
+def scores(books: DataFrame, truth: DataFrame) -> DataFrame:
     """Titles and authors right, authors made up, cost and latency of each model.
 
-    ``answers`` and ``failed`` need modelo, foto_id, costo, latencia_ms; a failed answer counts
-    with its expected titles, no books and no cost.
+    ``books`` are the ``responses.book_rows`` of all answers; a failed one counts with its
+    expected titles, no books and no cost.
     """
-    keep = ["modelo", "foto_id", "costo", "latencia_ms"]
-    empty = answers.schema["libros"].dataType
-    rows = answers.select(*keep, "libros", F.lit(True).alias("ok")).unionByName(
-        failed.select(
-            "modelo",
-            "foto_id",
-            F.lit(0.0).alias("costo"),
-            "latencia_ms",
-            F.array().cast(empty).alias("libros"),
-            F.lit(False).alias("ok"),
-        )
-    )
-    both = assigned(rows, truth)
-    paired = F.transform(
+    rows = assigned(books, truth)
+    ok = F.col("motivo").isNull()
+    pairs = F.transform(
         "e",
         lambda e, i: F.struct(
             e.alias("e"),
-            F.when(
-                F.get("elegido", i) >= 0, F.get("d", F.get("elegido", i))
+            F.get(
+                F.filter("d", lambda d: d["pos"] == F.get("elegido", i)), F.lit(0)
             ).alias("d"),
         ),
     )
-    per_photo = both.withColumn("p", F.filter(paired, lambda p: p["d"].isNotNull())).select(
+    hits = rows.withColumn("p", F.filter(pairs, lambda p: p["d"].isNotNull()))
+
+    def count(condition) -> Column:
+        return F.size(F.filter("p", condition))
+
+    per_answer = hits.select(
         "modelo",
-        "ok",
-        "costo",
         "latencia_ms",
-        F.size("libros").alias("libros"),
+        ok.alias("ok"),
+        F.when(ok, F.col("costo")).otherwise(F.lit(0.0)).alias("costo"),
         F.size("e").alias("titulos"),
-        F.size("p").alias("aciertos"),
-        F.size(F.filter("p", lambda p: p["e"]["visible"])).alias("con_autor"),
-        F.size(F.filter("p", lambda p: p["e"]["visible"] & _author_fits(p["e"], p["d"]))).alias(
-            "autor_bien"
-        ),
-        F.size(F.filter("p", lambda p: ~p["e"]["visible"] & (p["d"]["a"] != ""))).alias(
-            "inventados"
-        ),
+        F.size("d").alias("libros"),
+        F.size("p").alias("titulos_ok"),
+        count(lambda p: p["e"]["visible"]).alias("autores"),
+        count(lambda p: p["e"]["visible"] & _author_fits(p["e"], p["d"])).alias("autores_ok"),
+        count(lambda p: ~p["e"]["visible"] & (p["d"]["a"] != "")).alias("inventados"),
     )
-    return per_photo.groupBy("modelo").agg(
-        F.sum("aciertos").alias("titulos_ok"),
+    return per_answer.groupBy("modelo").agg(
+        F.sum("titulos_ok").alias("titulos_ok"),
         F.sum("titulos").alias("titulos_total"),
-        F.sum("autor_bien").alias("autores_ok"),
-        F.sum("con_autor").alias("autores_total"),
+        F.sum("autores_ok").alias("autores_ok"),
+        F.sum("autores").alias("autores_total"),
         F.sum("inventados").alias("autores_inventados"),
         F.sum("libros").alias("libros_devueltos"),
         F.count_if(~F.col("ok")).alias("fotos_fallidas"),
@@ -158,19 +147,24 @@ def scores(answers: DataFrame, truth: DataFrame, failed: DataFrame) -> DataFrame
     )
 
 
-def image_metrics(answers: DataFrame) -> DataFrame:
+def image_metrics(books: DataFrame) -> DataFrame:
     """Books, mean confidence and dropped authors of each answer; summed in book order."""
-    total = F.aggregate(
-        F.col("libros"), F.lit(0.0), lambda s, b: s + F.coalesce(b["confianza"], F.lit(0.0))
+    level = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("confianza", F.lit(0.0)).alias("c")))
+    grouped = books.groupBy("modelo", "foto_id").agg(
+        F.count("pos").cast("int").alias("cant_libros"),
+        F.sort_array(F.collect_list(level)).alias("niveles"),
+        F.count("autor_descartado").cast("int").alias("guardrail_disparado"),
+        F.any_value("costo").alias("costo"),
+        F.any_value("latencia_ms").alias("latencia_ms"),
     )
-    return answers.select(
+    total = F.aggregate("niveles", F.lit(0.0), lambda s, b: s + b["c"])
+    mean = total / F.greatest(F.col("cant_libros"), F.lit(1))
+    return grouped.select(
         "modelo",
         "foto_id",
-        F.size("libros").alias("cant_libros"),
-        text.round_share(total / F.greatest(F.size("libros"), F.lit(1))).alias("confianza_media"),
-        F.size(F.filter("libros", lambda b: b["autor_descartado"].isNotNull())).alias(
-            "guardrail_disparado"
-        ),
+        "cant_libros",
+        text.round_share(mean).alias("confianza_media"),
+        "guardrail_disparado",
         "costo",
         "latencia_ms",
     )

@@ -20,20 +20,13 @@ GRAM = 3
 
 
 def _pieces(col: Column, size: int) -> Column:
-    starts = F.when(
-        F.length(col) >= size, F.sequence(F.lit(1), F.length(col) - (size - 1))
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substr(col, i, F.lit(size)))
+    """All substrings of one length; the lookahead lets matches overlap."""
+    return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
 
 
-def _all_pieces(col: Column) -> Column:
-    return F.concat(*[_pieces(col, size) for size in range(1, GRAM + 1)])
-
-
-def _asked_pieces(col: Column) -> Column:
-    return F.when(F.length(col) >= GRAM, F.array_distinct(_pieces(col, GRAM))).otherwise(
-        F.array(col)
-    )
+def _face_pieces(faces: DataFrame, sizes: list[int]) -> DataFrame:
+    parts = [_pieces(F.col(c), size) for c in ("t", "a") for size in sizes]
+    return faces.withColumn("pieza", F.explode(F.array_distinct(F.concat(*parts))))
 
 
 def _prepare(
@@ -46,18 +39,32 @@ def _prepare(
 
 def _matches(terms: DataFrame, faces: DataFrame) -> DataFrame:
     """(libreria_id, termino) x (t, a) pairs where the term occurs in title or author."""
-    pieces = faces.withColumn(
-        "pieza", F.explode(F.array_distinct(F.concat(_all_pieces(F.col("t")), _all_pieces(F.col("a")))))
+    keys = ["libreria_id", "pieza"]
+    short = F.length("termino") < GRAM
+    asked = terms.withColumn(
+        "pieza",
+        F.explode(
+            F.when(short, F.array("termino")).otherwise(
+                F.array_distinct(_pieces(F.col("termino"), GRAM))
+            )
+        ),
+    )
+    # Short pieces only where a shop was asked for one; only pieces somebody asks with go on.
+    short_shops = terms.filter(short).select("libreria_id").distinct()
+    pieces = _face_pieces(faces, [GRAM]).unionByName(
+        _face_pieces(
+            faces.join(short_shops, "libreria_id", "left_semi"), list(range(1, GRAM))
+        )
     )
-    asked = terms.withColumn("pieza", F.explode(_asked_pieces(F.col("termino"))))
-    frequency = pieces.groupBy("libreria_id", "pieza").agg(F.count("*").alias("veces"))
+    pieces = pieces.join(asked.select(*keys).distinct(), keys, "left_semi")
+    frequency = pieces.groupBy(*keys).agg(F.count("*").alias("veces"))
     # A piece the shop does not have sorts first and then simply finds no partner.
     chosen = (
-        asked.join(frequency, ["libreria_id", "pieza"], "left")
+        asked.join(frequency, keys, "left")
         .groupBy("libreria_id", "termino")
         .agg(F.min_by("pieza", F.struct(F.coalesce("veces", F.lit(0)), "pieza")).alias("pieza"))
     )
-    found = pieces.join(chosen, ["libreria_id", "pieza"])
+    found = pieces.join(chosen, keys)
     return found.filter(F.contains("t", "termino") | F.contains("a", "termino")).drop("pieza")
 
 

@@ -253,14 +253,13 @@ def document_keys(spark, sf):
 
 
 def _answers(spark, sf):
-    good, failed = responses.parse(A.respuestas(spark, sf))
-    return responses.with_books(good), failed
+    rows = responses.book_rows(responses.read(A.respuestas(spark, sf)))
+    return rows.filter(F.col("motivo").isNull())
 
 
 @query
 def response_parse(spark, sf):
-    good, _ = responses.parse(A.respuestas(spark, sf))
-    rows, _ = responses.readings(good)
+    rows, _ = responses.readings(responses.read(A.respuestas(spark, sf)))
     return rows.select(
         "modelo", "lote_id", "foto_id", "pos", *responses.TEXTS, "confianza", "autor_descartado"
     )
@@ -589,9 +588,8 @@ def shop_signal(spark, sf):
 # --- quality ------------------------------------------------------------------------------
 
 
-def _lenient_answers(spark, sf):
-    good, failed = responses.parse(A.respuestas(spark, sf), lenient=True)
-    return responses.with_books(good), failed
+def _evaluated(spark, sf):
+    return responses.book_rows(responses.read(A.respuestas(spark, sf), lenient=True))
 
 
 @query
@@ -603,46 +601,48 @@ def truth_flatten(spark, sf):
 
 @query
 def title_match_pairs(spark, sf):
-    answers, _ = _lenient_answers(spark, sf)
-    return quality.title_match_pairs(answers, files.truth_photos(A.verdad(spark, sf)))
+    return quality.title_match_pairs(
+        _evaluated(spark, sf), files.truth_rows(A.verdad(spark, sf))
+    )
 
 
 @query
 def greedy_assignment(spark, sf):
-    answers, _ = _lenient_answers(spark, sf)
-    rows = quality.assigned(answers, files.truth_photos(A.verdad(spark, sf)))
-    return rows.select("modelo", "foto", F.posexplode("elegido").alias("pos_esperado", "elegido"))
+    rows = quality.assigned(_evaluated(spark, sf), files.truth_rows(A.verdad(spark, sf)))
+    answered = rows.filter(F.col("motivo").isNull())
+    return answered.select(
+        "modelo", "foto", F.posexplode("elegido").alias("pos_esperado", "elegido")
+    )
 
 
 @query
 def extraction_scores(spark, sf):
-    answers, failed = _lenient_answers(spark, sf)
-    return quality.scores(answers, files.truth_photos(A.verdad(spark, sf)), failed)
+    return quality.scores(_evaluated(spark, sf), files.truth_rows(A.verdad(spark, sf)))
 
 
 @query
 def image_metrics(spark, sf):
-    answers, _ = _answers(spark, sf)
+    answers = _answers(spark, sf)
     return quality.image_metrics(answers)
 
 
 @query
 def study_cost(spark, sf):
-    answers, _ = _answers(spark, sf)
+    answers = _answers(spark, sf)
     return quality.total_cost(quality.image_metrics(answers))
 
 
 @query
 def guardrail_crosstab(spark, sf):
     """Bands scaled to the test photos, which show one to nine books."""
-    answers, _ = _answers(spark, sf)
+    answers = _answers(spark, sf)
     return quality.guard_crosstab(quality.image_metrics(answers), [(1, 1), (2, 2), (3, 9)])
 
 
 @query
 def variant_pivot(spark, sf):
     """Photos of a batch stand for the retouched versions of one photo."""
-    answers, _ = _answers(spark, sf)
+    answers = _answers(spark, sf)
     variants = F.array(*[F.lit(v) for v in ["", " [bn]", " [mas_contraste]", " [mas_brillo]"]])
     rows = quality.image_metrics(answers).withColumn(
         "etiqueta",

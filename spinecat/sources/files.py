@@ -42,12 +42,6 @@ def truth_rows(docs: DataFrame, col: str = "texto") -> DataFrame:
     )
 
 
-def truth_photos(docs: DataFrame, col: str = "texto") -> DataFrame:
-    """One row per photo with its expected books as an array."""
-    parsed = docs.select(F.from_json(col, schemas.VERDAD).alias("m"))
-    return parsed.select(F.explode("m").alias("foto", "esperados"))
-
-
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return truth_rows(spark.read.text(path, wholetext=True).withColumnRenamed("value", "texto"))
 

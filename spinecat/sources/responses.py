@@ -28,92 +28,117 @@ def unfence(col: Column | str, lenient: bool = False) -> Column:
     return F.when(braces != "", braces).otherwise(plain)
 
 
-def _kind(variant: Column) -> Column:
-    return F.substring(F.schema_of_variant(variant), 1, 5)
+def _is_object(variant: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
 
 
-def parse(responses: DataFrame, lenient: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(readable answers with ``libros`` as an array of objects, failed answers with a reason).
+def read(responses: DataFrame, lenient: bool = False) -> DataFrame:
+    """Answers with ``libros`` as an array of variants, or the reason why there is none.
 
     The lenient form reads answers for evaluation, where a missing list counts as empty.
     """
     doc = responses.withColumn("doc", F.try_parse_json(unfence("texto", lenient)))
-    doc = doc.withColumn("lista", F.try_variant_get("doc", f"$.{LIST}", "variant"))
-    is_object = F.coalesce(_kind(F.col("doc")) == "OBJEC", F.lit(False))
-    is_list = F.coalesce(_kind(F.col("lista")) == "ARRAY", F.lit(False))
-    missing = is_object & F.col("lista").isNull()
-    marked = doc.withColumn(
-        "motivo",
-        F.when(F.col("doc").isNull(), "json")
-        .when(~is_object, "objeto")
-        .when(F.lit(lenient) & missing, F.lit(None))
-        .when(missing, "clave")
-        .when(~is_list, "lista"),
-    )
-    elements = F.coalesce(
-        F.try_variant_get("lista", "$", "array<variant>"), F.array().cast("array<variant>")
+    lists = doc.withColumn(LIST, F.try_variant_get("doc", f"$.{LIST}", "array<variant>"))
+    missing = F.try_variant_get("doc", f"$.{LIST}", "variant").isNull()
+    # The chain stops at the first branch for good answers; the rest is for failed ones only.
+    reason = (
+        F.when(F.col(LIST).isNotNull(), F.lit(None))
+        .when(F.col("doc").isNull(), "json")
+        .when(~_is_object(F.col("doc")), "objeto")
+        .when(missing, F.lit(None) if lenient else F.lit("clave"))
+        .otherwise("lista")
     )
-    good = marked.filter(F.col("motivo").isNull()).withColumn(
-        LIST, F.filter(elements, lambda x: F.coalesce(_kind(x) == "OBJEC", F.lit(False)))
+    return lists.withColumn("motivo", reason).drop("doc", "texto")
+
+
+def parse(responses: DataFrame, lenient: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(readable answers, failed answers with a reason)."""
+    answers = read(responses, lenient)
+    return (
+        answers.filter(F.col("motivo").isNull()).drop("motivo"),
+        answers.filter(F.col("motivo").isNotNull()).drop(LIST),
     )
-    failed = marked.filter(F.col("motivo").isNotNull())
-    return good.drop("doc", "lista", "motivo"), failed.drop("doc", "lista")
 
 
-def read_book(book: Column) -> Column:
-    """Struct of the five members of one detected book; falsy members become empty or zero."""
+# Texts that may be a falsy value or a word of another type; only these look at the JSON type.
+_AMBIGUOUS = r"^(true|false|-?[0.]+([eE][+-]?\d+)?)?$"
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    """The five members of each book as columns; falsy members become empty or zero."""
+    others = [c for c in rows.columns if c != "libro"]
+    book = F.col("libro")
+    raw = rows.select(
+        *others,
+        "libro",
+        *[F.try_variant_get(book, f"$.{n}", "string").alias(f"s_{n}") for n in TEXTS],
+        F.try_variant_get(book, "$.confianza", "double").alias("d_confianza"),
+    )
 
     def words(name: str) -> Column:
-        shown = F.when(P.truthy(book, name), P.shown(book, name)).otherwise(F.lit(""))
-        return text.strip(shown).alias(name)
+        value = F.col(f"s_{name}")
+        typed = F.when(P.truthy(book, name), P.shown(book, name)).otherwise(F.lit(""))
+        unsure = value.isNull() | value.rlike(_AMBIGUOUS)
+        return text.strip(F.when(unsure, typed).otherwise(value)).alias(name)
 
-    level = F.when(P.truthy(book, "confianza"), P.shown(book, "confianza")).otherwise(F.lit("0"))
-    level = F.when(level == "True", F.lit("1")).otherwise(level)
-    return F.struct(*[words(name) for name in TEXTS], level.try_cast("double").alias("confianza"))
+    level = F.when(F.col("d_confianza").isNotNull(), F.col("d_confianza")).when(
+        ~P.truthy(book, "confianza"), F.lit(0.0)
+    )
+    return raw.select(*others, *[words(name) for name in TEXTS], level.alias("confianza"))
 
 
-def guarded(book: Column) -> Column:
+def guard_author(rows: DataFrame) -> DataFrame:
     """Blank an author the model made up: a corrected author without a person on the spine.
 
     The dropped name is kept apart and the confidence capped, so that review marks it.
     """
-    made_up = (book["autor_corregido"] != "") & ~text.looks_like_person(book["autor_detectado"])
-    return F.struct(
-        book["titulo_detectado"].alias("titulo_detectado"),
-        book["autor_detectado"].alias("autor_detectado"),
-        book["titulo_corregido"].alias("titulo_corregido"),
-        F.when(made_up, F.lit("")).otherwise(book["autor_corregido"]).alias("autor_corregido"),
-        F.when(
-            made_up & book["confianza"].isNotNull(),
-            F.least(book["confianza"], F.lit(schemas.GUARD_CONFIDENCE)),
+    made_up = (F.col("autor_corregido") != "") & ~text.looks_like_person("autor_detectado")
+    return (
+        rows.withColumn("frenado", made_up)
+        .withColumn("autor_descartado", F.when(F.col("frenado"), F.col("autor_corregido")))
+        .withColumn(
+            "autor_corregido",
+            F.when(F.col("frenado"), F.lit("")).otherwise(F.col("autor_corregido")),
+        )
+        .withColumn(
+            "confianza",
+            F.when(
+                F.col("frenado") & F.col("confianza").isNotNull(),
+                F.least(F.col("confianza"), F.lit(schemas.GUARD_CONFIDENCE)),
+            ).otherwise(F.col("confianza")),
         )
-        .otherwise(book["confianza"])
-        .alias("confianza"),
-        F.when(made_up, book["autor_corregido"]).alias("autor_descartado"),
+        .drop("frenado")
     )
 
 
-def with_books(good: DataFrame) -> DataFrame:
-    """Readable answers with their books as typed, guarded structs, still one row per photo."""
-    typed = good.withColumn(LIST, F.transform(LIST, read_book))
-    return typed.withColumn(LIST, F.transform(LIST, guarded))
+def _detected(answers: DataFrame) -> DataFrame:
+    photo = [c for c in answers.columns if c != LIST]
+    exploded = answers.select(*photo, F.posexplode_outer(LIST).alias("pos", "libro"))
+    objects = exploded.withColumn("pos", F.when(_is_object(F.col("libro")), F.col("pos")))
+    return _members(objects)
 
 
-def readings(good: DataFrame) -> tuple[DataFrame, DataFrame]:
+def book_rows(answers: DataFrame) -> DataFrame:
+    """One guarded row per detected book of ``read`` answers.
+
+    ``pos`` is NULL in the single row that an answer without books, or a failed one, keeps and
+    in rows of list elements that are no objects. No filter stands on the parsed list: it
+    would be pushed below the parsing and parse every text twice.
+    """
+    return guard_author(_detected(answers))
+
+
+def readings(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row per usable detected book, rows whose confidence is not a number)."""
-    keep = [c for c in good.columns if c != LIST and c != "texto"]
-    rows = with_books(good).select(*keep, F.posexplode(LIST).alias("pos", "libro"))
-    rows = rows.select(*keep, "pos", "libro.*").filter(F.col("titulo_detectado") != "")
-    rows = rows.withColumn(
-        "titulo_corregido",
-        F.coalesce(F.nullif("titulo_corregido", F.lit("")), F.col("titulo_detectado")),
+    usable = _detected(answers).filter(
+        F.col("pos").isNotNull() & (F.col("titulo_detectado") != "")
     )
     bad = F.col("confianza").isNull()
-    return rows.filter(~bad), rows.filter(bad)
 
+    def finish(rows: DataFrame) -> DataFrame:
+        return guard_author(rows).withColumn(
+            "titulo_corregido",
+            F.coalesce(F.nullif("titulo_corregido", F.lit("")), F.col("titulo_detectado")),
+        )
 
-def guard_author(df: DataFrame) -> DataFrame:
-    """The guardrail on flat rows with the five member columns."""
-    book = F.struct(*TEXTS, "confianza")
-    others = [c for c in df.columns if c not in [*TEXTS, "confianza"]]
-    return df.withColumn("libro", guarded(book)).select(*others, "libro.*")
+    return finish(usable.filter(~bad)), finish(usable.filter(bad))
