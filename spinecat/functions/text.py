@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 from functools import cache
 
@@ -55,12 +54,15 @@ def or_empty(col: Column | str) -> Column:
 
 # --- accent folding -----------------------------------------------------------------------
 
+# No character from here on decomposes to anything with ASCII letters or accents.
+_CODE_POINTS = range(0x80, 0x30000)
+
 
 @cache
 def _ascii_tables() -> tuple[str, str, dict[str, str]]:
     """Compatibility decompositions with an ASCII part: one-letter pairs, and longer ones."""
     source, target, longer = [], [], {}
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in _CODE_POINTS:
         char = chr(code)
         plain = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
         if len(plain) == 1:
@@ -75,7 +77,7 @@ def _ascii_tables() -> tuple[str, str, dict[str, str]]:
 def _search_tables() -> tuple[str, str, dict[str, str]]:
     """Canonical decompositions without U+0300..U+036F, Hangul syllables left out."""
     source, target, longer = [], [], {}
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in _CODE_POINTS:
         char = chr(code)
         if 0x300 <= code <= 0x36F or 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
             continue

@@ -240,7 +240,7 @@ def text_keys(spark, sf):
 @query
 def document_keys(spark, sf):
     """The folding rules on whole documents in several languages."""
-    return A.table(spark, sf, "documents").select(
+    return A.spread(A.table(spark, sf, "documents")).select(
         "doc_id",
         F.md5(text.normal("text")).alias("normal"),
         F.md5(text.key("text")).alias("clave"),
