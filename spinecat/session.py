@@ -24,6 +24,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **extra: str) -
         .appName("spinecat")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in {**SETTINGS, **extra}.items():
