@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spinecat import schemas
 from spinecat.functions import text
+from spinecat.operators.joins import join_unique
 
 
 def register_shops(existing: DataFrame, new: DataFrame, now: Column | None = None):
@@ -34,8 +35,7 @@ def register_shops(existing: DataFrame, new: DataFrame, now: Column | None = Non
     )
     taken = existing.select("slug").distinct().withColumn("ocupado", F.lit(True))
     decided = (
-        clean.join(firsts, "slug", "left")
-        .join(taken, "slug", "left")
+        join_unique(join_unique(clean, firsts, ["slug"]), taken, ["slug"])
         .withColumn(
             "motivo",
             F.when(~F.col("telefono_bien"), "whatsapp").when(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spinecat import schemas
 from spinecat.functions import text
 from spinecat.operators.catalog import approved
+from spinecat.operators.joins import join_unique
 
 EVENT_COLUMNS = ["libreria_id", "tipo", "payload", "session_id", "creado_en"]
 
@@ -108,8 +109,10 @@ def restore_raw(books: DataFrame, ids: DataFrame, now: Column | None = None) ->
 def _settle(books: DataFrame, batch_ids: DataFrame, estado: str, now: Column) -> DataFrame:
     """Give the still pending books of the batches a state; rows without a batch pass."""
     ids = batch_ids.select(F.col("id").alias("lote_hecho")).distinct()
-    joined = books.join(ids, _spread("lote_id") == F.col("lote_hecho"), "left")
-    hit = F.col("lote_hecho").isNotNull() & (F.col("estado") == "pendiente")
+    joined = join_unique(
+        books.withColumn("lote_hecho", _spread("lote_id")), ids.withColumn("hecho", F.lit(True)), ["lote_hecho"]
+    )
+    hit = F.col("hecho").isNotNull() & (F.col("estado") == "pendiente")
     result = joined.withColumn("toca", hit)
     if estado == "publicado":
         result = result.withColumn(
@@ -187,7 +190,7 @@ def reset(
         stamp = F.when(F.col("reinicia"), F.coalesce("archivado_en", at)).otherwise(
             F.col("archivado_en")
         )
-        joined = df.join(marked, "libreria_id", "left")
+        joined = join_unique(df, marked, ["libreria_id"])
         return joined.withColumn("archivado_en", stamp).select(*df.columns)
 
     counts = (
@@ -210,9 +213,11 @@ def reset(
 def _clear(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     """Null a reference to removed rows."""
     ids = gone.select(F.col("id").alias("quitado")).distinct()
-    joined = df.join(ids, _spread(column) == F.col("quitado"), "left")
+    joined = join_unique(
+        df.withColumn("quitado", _spread(column)), ids.withColumn("falta", F.lit(True)), ["quitado"]
+    )
     return joined.withColumn(
-        column, F.when(F.col("quitado").isNull(), F.col(column))
+        column, F.when(F.col("falta").isNull(), F.col(column))
     ).select(*df.columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinecat.functions import text
+from spinecat.operators.joins import join_unique
 
 # Bands of the books-per-photo and dropped-author study.
 BOOK_BANDS = [(5, 13), (14, 19), (20, 28)]
@@ -257,7 +258,7 @@ def mark_copies(files: DataFrame, name: str, digest: str) -> DataFrame:
     """
     groups = files.groupBy(digest).agg(F.min(name).alias("conservado"), F.count("*").alias("n"))
     repeated = groups.filter(F.col("n") > 1).select(digest, "conservado")
-    joined = files.join(repeated, digest, "left")
+    joined = join_unique(files, repeated, [digest])
     return joined.withColumn(
         "duplicado_exacto_de",
         F.when(F.col("conservado") != F.col(name), F.col("conservado")),

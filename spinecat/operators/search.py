@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinecat.functions import text
+from spinecat.operators.joins import join_unique
 
 GRAM = 3
 
@@ -85,7 +86,7 @@ def result_counts(
         everything = shelf.groupBy("libreria_id").agg(F.count("*").alias("resultados"))
         counts = counts.unionByName(everything.withColumn("termino", F.lit("")))
     return (
-        asked.join(counts, ["libreria_id", "termino"], "left")
+        join_unique(asked, counts, ["libreria_id", "termino"])
         .fillna(0, ["resultados"])
         .select("consulta_id", "libreria_id", "termino", "resultados")
     )
