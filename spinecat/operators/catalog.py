@@ -107,9 +107,8 @@ def review_flags(books: DataFrame) -> DataFrame:
 
 
 def approved(confidence: Column | str) -> Column:
-    return F.coalesce(F.col(confidence) if isinstance(confidence, str) else confidence, F.lit(0.0)) >= F.lit(
-        schemas.CONFIDENCE_GATE
-    )
+    level = F.col(confidence) if isinstance(confidence, str) else confidence
+    return F.coalesce(level, F.lit(0.0)) >= F.lit(schemas.CONFIDENCE_GATE)
 
 
 def was_corrected() -> Column:
@@ -185,7 +184,9 @@ def owned(requests: DataFrame, things: DataFrame) -> tuple[DataFrame, DataFrame]
     )
 
 
-def consult_links(shops: DataFrame, books: DataFrame, base: str = "https://example.org") -> DataFrame:
+def consult_links(
+    shops: DataFrame, books: DataFrame, base: str = "https://example.org"
+) -> DataFrame:
     """Chat link of each published book and the QR target of its shop."""
     info = active(shops).select(
         F.col("id").alias("libreria_id"), "slug", "whatsapp", "mensaje_wa_template"

@@ -56,11 +56,11 @@ def weekly_corrections(books: DataFrame) -> DataFrame:
 
 def weekly_shop_edits(books: DataFrame, edits: DataFrame) -> DataFrame:
     """Books per week of reading that the shop itself gave another title or author."""
+    before = books.select(
+        F.col("id").alias("libro_id"), F.col("titulo").alias("t0"), F.col("autor").alias("a0")
+    )
     touched = (
-        edits.join(
-            books.select(F.col("id").alias("libro_id"), F.col("titulo").alias("t0"), F.col("autor").alias("a0")),
-            "libro_id",
-        )
+        edits.join(before, "libro_id")
         .filter(
             (F.trim("titulo") != F.trim("t0"))
             | (F.trim(F.coalesce("autor", F.lit(""))) != F.trim("a0"))
@@ -209,7 +209,9 @@ def retention(shops: DataFrame, batches: DataFrame, events: DataFrame) -> DataFr
             .agg(F.sum("n").alias(name))
         )
 
-    active = weekly(batches, "lotes").join(weekly(events, "eventos"), ["libreria_id", "semana"], "full")
+    active = weekly(batches, "lotes").join(
+        weekly(events, "eventos"), ["libreria_id", "semana"], "full"
+    )
     wide = active.groupBy("libreria_id").agg(
         *[
             F.sum(

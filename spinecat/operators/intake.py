@@ -91,7 +91,8 @@ def _resolved(raw: DataFrame, shops: DataFrame) -> DataFrame:
 
 
 def accepted_events(marked: DataFrame, now: Column | None = None) -> DataFrame:
-    extra = [c for c in marked.columns if c not in ("slug", "motivo", "libreria_id", "tipo", "payload", "session_id", "creado_en")]
+    stored = {"slug", "motivo", "libreria_id", "tipo", "payload", "session_id", "creado_en"}
+    extra = [c for c in marked.columns if c not in stored]
     return marked.filter(F.col("motivo").isNull()).select(
         *extra,
         "libreria_id",

@@ -14,9 +14,6 @@ from spinecat.functions import text
 from spinecat.operators.catalog import approved
 from spinecat.operators.joins import join_unique
 
-EVENT_COLUMNS = ["libreria_id", "tipo", "payload", "session_id", "creado_en"]
-
-
 def _spread(reference: str, row_id: str = "id") -> Column:
     """Join key for an optional reference: rows without one get a key of their own.
 
@@ -110,7 +107,9 @@ def _settle(books: DataFrame, batch_ids: DataFrame, estado: str, now: Column) ->
     """Give the still pending books of the batches a state; rows without a batch pass."""
     ids = batch_ids.select(F.col("id").alias("lote_hecho")).distinct()
     joined = join_unique(
-        books.withColumn("lote_hecho", _spread("lote_id")), ids.withColumn("hecho", F.lit(True)), ["lote_hecho"]
+        books.withColumn("lote_hecho", _spread("lote_id")),
+        ids.withColumn("hecho", F.lit(True)),
+        ["lote_hecho"],
     )
     hit = F.col("hecho").isNotNull() & (F.col("estado") == "pendiente")
     result = joined.withColumn("toca", hit)
@@ -214,7 +213,9 @@ def _clear(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     """Null a reference to removed rows."""
     ids = gone.select(F.col("id").alias("quitado")).distinct()
     joined = join_unique(
-        df.withColumn("quitado", _spread(column)), ids.withColumn("falta", F.lit(True)), ["quitado"]
+        df.withColumn("quitado", _spread(column)),
+        ids.withColumn("falta", F.lit(True)),
+        ["quitado"],
     )
     return joined.withColumn(
         column, F.when(F.col("falta").isNull(), F.col(column))

@@ -150,7 +150,9 @@ def scores(books: DataFrame, truth: DataFrame) -> DataFrame:
 
 def image_metrics(books: DataFrame) -> DataFrame:
     """Books, mean confidence and dropped authors of each answer; summed in book order."""
-    level = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("confianza", F.lit(0.0)).alias("c")))
+    level = F.when(
+        F.col("pos").isNotNull(), F.struct("pos", F.coalesce("confianza", F.lit(0.0)).alias("c"))
+    )
     grouped = books.groupBy("modelo", "foto_id").agg(
         F.count("pos").cast("int").alias("cant_libros"),
         F.sort_array(F.collect_list(level)).alias("niveles"),

@@ -310,7 +310,7 @@ def event_rows(events: DataFrame, shops: Column) -> DataFrame:
 
 
 def eventos(spark: SparkSession, sf: str) -> DataFrame:
-    return event_rows(table(spark, sf, "events"), shop_count(spark, sf))
+    return event_rows(spread(table(spark, sf, "events")), shop_count(spark, sf))
 
 
 def raw_events(log: DataFrame, shops: DataFrame) -> DataFrame:

@@ -226,13 +226,15 @@ def demand_gap(spark, sf):
 
 @query
 def text_keys(spark, sf):
+    title_key, author_key = text.book_key("titulo", "autor")
     return A.libros(spark, sf).select(
         "id",
         text.slug("titulo").alias("slug"),
         text.normal("titulo_raw").alias("normal"),
         text.search_form("titulo_raw").alias("busqueda"),
         text.inventory_form("titulo_raw").alias("panel"),
-        *[c.alias(n) for c, n in zip(text.book_key("titulo", "autor"), ("clave_titulo", "clave_autor"))],
+        title_key.alias("clave_titulo"),
+        author_key.alias("clave_autor"),
         text.main_title("titulo").alias("principal"),
     )
 
@@ -323,12 +325,9 @@ def event_validation(spark, sf):
     accepted, refused = intake.ingest(
         A.eventos_raw(spark, sf).drop("creado_en"), A.librerias(spark, sf)
     )
-    good = accepted.select(
-        "id", "libreria_id", "tipo", "payload", "session_id", F.lit(None).cast("string").alias("motivo")
-    )
-    bad = refused.select(
-        "id", F.lit(None).cast("long").alias("libreria_id"), "tipo", "payload", "session_id", "motivo"
-    )
+    columns = ["id", "tipo", "payload", "session_id"]
+    good = accepted.select(*columns, "libreria_id", F.lit(None).cast("string").alias("motivo"))
+    bad = refused.select(*columns, F.lit(None).cast("long").alias("libreria_id"), "motivo")
     return good.unionByName(bad)
 
 
@@ -623,7 +622,7 @@ def extraction_scores(spark, sf):
 @query
 def image_metrics(spark, sf):
     answers = _answers(spark, sf)
-    return quality.image_metrics(answers)
+    return quality.image_metrics(answers).orderBy(F.desc("cant_libros"), "foto_id", "modelo")
 
 
 @query
