@@ -296,15 +296,18 @@ def round_share(col: Column | str) -> Column:
     """Two decimals, half to even on the exact binary value, for numbers from 0 to 1.
 
     ``bround`` works on the shortest decimal text of the double, so 0.175 (stored a little
-    lower) would go up; scaling by a power of two is exact and keeps the true side.
+    lower) would go up; scaling by a power of two is exact and keeps the true side. Numbers
+    outside the range, which no confidence should be, fall back to ``bround``.
     """
+    value = _text(col)
     scale = 1 << 62
     wide = F.lit(scale).cast("decimal(20,0)")
-    exact = (_text(col) * F.lit(float(scale))).cast("long").cast("decimal(20,0)") * F.lit(
-        100
-    ).cast("decimal(3,0)")
+    exact = (value * F.lit(float(scale))).cast("long").cast("decimal(20,0)") * F.lit(100).cast(
+        "decimal(3,0)"
+    )
     whole = F.floor(exact / wide).cast("long")
     rest = exact - whole.cast("decimal(5,0)") * wide
     half = F.lit(scale // 2).cast("decimal(20,0)")
     up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    return (whole + up.cast("long")) / F.lit(100.0)
+    rounded = (whole + up.cast("long")) / F.lit(100.0)
+    return F.when(value.between(0, 1), rounded).otherwise(F.bround(value, 2))

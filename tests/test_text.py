@@ -91,6 +91,8 @@ def test_round_share_is_exact(spark):
         "x", text.round_share("x").alias("r")
     )
     assert all(r.r == round(r.x, 2) for r in rows.collect())
+    beyond = spark.createDataFrame([(7.256,)], "x double").select(text.round_share("x").alias("r"))
+    assert beyond.first().r == 7.26
 
 
 def test_messages_and_links(spark):
