@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spinecat.functions import text
 from spinecat.operators.joins import join_unique
+from spinecat.session import materialise
 
 GRAM = 3
 
@@ -38,34 +39,38 @@ def _prepare(
     return asked, shelf
 
 
-def _matches(terms: DataFrame, faces: DataFrame) -> DataFrame:
-    """(libreria_id, termino) x (t, a) pairs where the term occurs in title or author."""
-    keys = ["libreria_id", "pieza"]
-    short = F.length("termino") < GRAM
-    asked = terms.withColumn(
-        "pieza",
-        F.explode(
-            F.when(short, F.array("termino")).otherwise(
-                F.array_distinct(_pieces(F.col("termino"), GRAM))
-            )
-        ),
-    )
-    # Short pieces only where a shop was asked for one; only pieces somebody asks with go on.
-    short_shops = terms.filter(short).select("libreria_id").distinct()
-    pieces = _face_pieces(faces, [GRAM]).unionByName(
+def _offered(faces: DataFrame, terms: DataFrame) -> DataFrame:
+    """Pieces of the texts; the short ones only in shops that were asked for a short term."""
+    short_shops = terms.filter(F.length("termino") < GRAM).select("libreria_id").distinct()
+    return _face_pieces(faces, [GRAM]).unionByName(
         _face_pieces(
             faces.join(short_shops, "libreria_id", "left_semi"), list(range(1, GRAM))
         )
     )
-    pieces = pieces.join(asked.select(*keys).distinct(), keys, "left_semi")
-    frequency = pieces.groupBy(*keys).agg(F.count("*").alias("veces"))
+
+
+def _chosen_pieces(terms: DataFrame, faces: DataFrame) -> DataFrame:
+    """Each term with the one of its pieces that the fewest texts of the shop contain."""
+    keys = ["libreria_id", "pieza"]
+    own = F.when(F.length("termino") < GRAM, F.array("termino")).otherwise(
+        F.array_distinct(_pieces(F.col("termino"), GRAM))
+    )
+    asked = terms.withColumn("pieza", F.explode(own))
+    wanted = _offered(faces, terms).join(asked.select(*keys).distinct(), keys, "left_semi")
+    frequency = wanted.groupBy(*keys).agg(F.count("*").alias("veces"))
     # A piece the shop does not have sorts first and then simply finds no partner.
-    chosen = (
-        asked.join(frequency, keys, "left")
+    rarest = F.min_by("pieza", F.struct(F.coalesce("veces", F.lit(0)), "pieza"))
+    return (
+        join_unique(asked, frequency, keys)
         .groupBy("libreria_id", "termino")
-        .agg(F.min_by("pieza", F.struct(F.coalesce("veces", F.lit(0)), "pieza")).alias("pieza"))
+        .agg(rarest.alias("pieza"))
     )
-    found = pieces.join(chosen, keys)
+
+
+def _matches(terms: DataFrame, faces: DataFrame) -> DataFrame:
+    """(libreria_id, termino) x (t, a) pairs where the term occurs in title or author."""
+    chosen = materialise(_chosen_pieces(terms, faces))
+    found = _offered(faces, chosen).join(chosen, ["libreria_id", "pieza"])
     return found.filter(F.contains("t", "termino") | F.contains("a", "termino")).drop("pieza")
 
 
