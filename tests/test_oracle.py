@@ -6,6 +6,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from spinecat.plans import oracle, registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,10 +17,11 @@ def con():
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(oracle.STATEMENTS) == set(registry.QUERIES)
+    assert set(registry.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_same_rows(spark, con, name):
     assert compare(spark, con, SF, name) == ""
 
