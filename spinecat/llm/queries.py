@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinecat.llm import chat, decontaminate, host_rules, language, mixing, pii, simhash
+from spinecat.llm import chat, decontaminate, host_rules, html_extract, language, mixing, pii, simhash, substrings
 from spinecat.llm.common import ready, table
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    done = html_extract.main_text(pages)
+    return done.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weight for every source, at the size of the corpus."""
     ready(spark)
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return substrings.cut(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,7 +85,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op3_mixing": op3_mixing,
+    "op4_substrings": op4_substrings,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
