@@ -19,6 +19,7 @@ Columns other than the named ones are ignored.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -203,8 +204,9 @@ def _judge(scorer: Scorer, texts: list[str], switch: float):
     words = [WORD.findall(x) for x in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     lookup = scorer.words.__getitem__
-    ids = np.fromiter((lookup(w) for own in words for w in own), np.int64, int(sizes.sum()))
-    letters = np.fromiter((len(w) for own in words for w in own), np.int64, len(ids))
+    flat = list(chain.from_iterable(words))
+    ids = np.fromiter(map(lookup, flat), np.int64, len(flat))
+    letters = np.fromiter(map(len, flat), np.int64, len(flat))
     scorer.update()
     starts = np.cumsum(sizes) - sizes
     scores = scorer.scores[ids]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinecat.llm import chat, decontaminate, host_rules, html_extract, language, mixing, pii, simhash, substrings
+from spinecat.llm import chat, decontaminate, host_rules, html_extract, language, mixing, pii, simhash, substrings, toxicity
 from spinecat.llm.common import ready, table
 
 
@@ -16,6 +16,15 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return done.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weight for every source, at the size of the corpus."""
     ready(spark)
@@ -86,6 +95,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_main_text": op1_main_text,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_substrings": op4_substrings,
     "op5_decontaminate": op5_decontaminate,
