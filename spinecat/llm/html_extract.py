@@ -374,7 +374,19 @@ def _layout(rng: random.Random, paragraphs: list[str], other: list[str]) -> str:
     return f"<html><head><title>x</title></head><body>{''.join(parts)}{''.join(before)}{whole}{''.join(after)}{foot}{tail}"
 
 
-FILLER = ("The first paragraph of a plain text, with a comma and an end.", "Another one follows it, somewhat longer than the first, and also ends.")
+def _filler(rng: random.Random) -> tuple[list[str], list[str]]:
+    """Made-up paragraphs, and words for the rest of a page."""
+
+    def word():
+        return "".join(rng.choice("aeiou") + rng.choice("bcdfglmnprstv") for _ in range(rng.randint(1, 4)))
+
+    def sentence():
+        return " ".join(word() + ("," if rng.random() < 0.08 else "") for _ in range(rng.randint(3, 20))).capitalize() + "."
+
+    return (
+        [" ".join(sentence() for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 12))],
+        [word() for _ in range(60)],
+    )
 
 
 def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) -> trees.Boosted:
@@ -390,9 +402,10 @@ def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) -> trees.Boost
         ys.append(y)
         kept = [t for node, t, _ in page.blocks if y[node]]
         rest = [w for node, t, _ in page.blocks if not y[node] for w in t.split()]
-        pool.append((kept[:30] or list(FILLER), rest or ["more"]))
-    pool = pool or [(list(FILLER), "home about more contact news terms share".split())]
-    for paragraphs, other in pool * (layouts if len(pool) > 20 else 100):
+        if kept:
+            pool.append((kept[:30], rest or ["more"]))
+    pool += [_filler(rng) for _ in range(100 - len(pool))]
+    for paragraphs, other in pool * layouts:
         own = paragraphs if rng.random() < 0.7 else paragraphs[: rng.randint(1, 3)]
         page = parse(_layout(rng, own, other))
         xs.append(features(page))

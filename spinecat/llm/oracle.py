@@ -2,4 +2,136 @@
 
 from __future__ import annotations
 
-STATEMENTS: dict[str, str] = {}
+import re
+
+from spinecat.llm import chat, mixing
+
+SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALNUM_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+def _windows(words: str, size: int) -> str:
+    """First places (from 1) of the windows of a word list."""
+    return f"unnest(range(1, len({words}) - {size - 2}))"
+
+
+OP3 = f"""
+WITH rates AS (
+  SELECT coalesce('s' || source, '') AS source_key,
+         (SELECT count(*) FROM documents)
+         * (1.0 / (SELECT count(DISTINCT coalesce('s' || source, '')) FROM documents))::DOUBLE / count(*) AS rate
+  FROM documents GROUP BY 1),
+means AS (SELECT source_key, greatest(ceil(rate / {mixing.SPLIT}), 1)::INT AS parts, rate FROM rates),
+terms AS (
+  SELECT source_key, k, exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1)) AS term
+  FROM means, unnest(range(0, 128)) AS t(k)),
+sums AS (SELECT source_key, k, sum(term) OVER (PARTITION BY source_key ORDER BY k) AS total FROM terms),
+docs AS (SELECT *, coalesce('s' || source, '') AS source_key, coalesce(doc_id::VARCHAR, 'null') AS ident FROM documents),
+ids AS (SELECT DISTINCT ident, source_key FROM docs),
+draws AS (
+  SELECT ident, source_key, j,
+         (('0x' || substr(md5(concat_ws(':', '{mixing.SEED}', ident, j::VARCHAR)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+  FROM ids JOIN means USING (source_key), unnest(range(0, parts)) AS t(j)),
+counts AS (
+  SELECT ident, source_key, count(*) FILTER (WHERE total < u) AS n
+  FROM draws JOIN sums USING (source_key) GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy,
+       md5(concat_ws(':', '{mixing.SEED}', 'order', ident, copy::VARCHAR)) AS shuffle_key
+FROM docs JOIN counts USING (ident, source_key), unnest(range(0, n)) AS t(copy)
+"""
+
+OP4 = f"""
+WITH w AS (SELECT doc_id, {SPACE_WORDS} AS ws FROM documents),
+places AS (SELECT doc_id, ws, {_windows('ws', 13)} AS i FROM w),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM places),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN least USING (k), unnest(range(0, 13)) AS t(j) WHERE m < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (
+  SELECT words.doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS kept
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY words.doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+OP5 = f"""
+WITH items AS (SELECT item_id::VARCHAR AS item, {ALNUM_WORDS} AS ws FROM benchmark),
+item_places AS (SELECT item, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM items WHERE len(ws) > 0),
+item_win AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i:i + 9], ' ') AS k FROM item_places),
+w AS (SELECT doc_id, {ALNUM_WORDS} AS ws FROM documents),
+sizes AS (SELECT DISTINCT n FROM item_win),
+places AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, sizes),
+hits AS (
+  SELECT doc_id, item, i, n FROM (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k FROM places) p
+  JOIN item_win USING (n, k)),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hits, unnest(range(0, n)) AS t(j) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list FROM hits GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP8 = f"""
+WITH w AS (SELECT doc_id, coalesce('h' || source, '') AS host, coalesce(text, '') AS text, {SPACE_WORDS} AS ws FROM documents),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+places AS (SELECT doc_id, ws, {_windows('ws', 5)} AS i FROM w),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM places),
+twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
+again AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words
+  FROM win JOIN twice USING (doc_id, k), unnest(range(0, 5)) AS t(j) GROUP BY doc_id),
+base AS (
+  SELECT doc_id, host, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+hosts AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS bad FROM failed GROUP BY host),
+moments AS (
+  SELECT sum(n) AS n, count(*) AS hosts, sum(bad) / sum(n) AS m, sum(bad * bad / n) / sum(n) AS squares FROM hosts),
+spread AS (
+  SELECT m, greatest(squares - m * m - m * (1 - m) * hosts / n, m * (1 - m) / 10000, 1e-9) AS v FROM moments),
+prior AS (SELECT m, greatest(m * (1 - m) / v - 1, 1.0) AS s FROM spread),
+rates AS (SELECT host, (bad + m * s) / (n + s) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate <= 0.5 AS kept
+FROM failed JOIN rates USING (host)
+"""
+
+_CONTROL = "|".join(re.sub(r"([\[\]|])", r"\\\1", x) for x in (*chat.MARKS, *chat.FOREIGN))
+_LENGTH = (
+    "(length({x}) + length({x}) - length(replace({x}, '" + chat.ESCAPE + "', '')) "
+    "+ 2 * len(regexp_extract_all(replace({x}, '" + chat.ESCAPE + "', '" + chat.ESCAPE + "0'), '" + _CONTROL + "')))"
+)
+
+OP10 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+texts AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum({sum(map(len, chat.MARKS))} + {_LENGTH.format(x='role')} + {_LENGTH.format(x='text')}) AS chars
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+       sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars
+FROM texts
+"""
+
+STATEMENTS: dict[str, str] = {
+    "op3_mixing": OP3,
+    "op4_substrings": OP4,
+    "op5_decontaminate": OP5,
+    "op8_host_rules": OP8,
+    "op10_chat": OP10,
+}
