@@ -165,7 +165,9 @@ def batch_status(
     joined = batches.select("id", "estado", "cant_fotos").join(progress, "id", "left")
     return (
         joined.join(listed, "id", "left")
-        .fillna({"fotos_listas": 0, "duplicados": 0, "cant_libros": 0, "pagina": 0, "libros": "[]"})
+        .fillna(
+            {"fotos_listas": 0, "duplicados": 0, "cant_libros": 0, "pagina": 0, "paginas": 1, "libros": "[]"}
+        )
     )
 
 

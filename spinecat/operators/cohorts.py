@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinecat.operators.catalog import was_corrected
+from spinecat.operators.joins import join_unique
+from spinecat.operators.lifecycle import split_edits
 from spinecat.operators.metrics import flagged
+from spinecat.operators.pages import ranged
 
 # Thresholds of the learning metrics.
 MAX_EDITED = 0.20
@@ -15,21 +18,25 @@ MIN_MEDIAN_SEARCHES = 1
 FIRST_BATCH_HOURS = 72
 BOUNCE_SECONDS = 20
 ATTRIBUTION_DAYS = 21
-WEEKS = 9
 
 
 def week_of(col: str) -> Column:
     return F.date_trunc("week", F.col(col)).alias("semana")
 
 
-def spine(shops: DataFrame, events: DataFrame) -> DataFrame:
-    """Every week of every shop, from its sign-up to the last week in the log."""
-    last = events.agg(F.max(F.date_trunc("week", "creado_en"))).scalar()
-    weeks = F.sequence(F.date_trunc("week", "creado_en"), last, F.expr("INTERVAL 7 DAYS"))
-    return (
-        shops.filter(F.date_trunc("week", "creado_en") <= last)
-        .select(F.col("id").alias("libreria_id"), F.explode(weeks).alias("semana"))
-    )
+def spine(shops: DataFrame, *activity: DataFrame) -> DataFrame:
+    """Every week of every shop, from its sign-up or first activity to the last week of any input.
+
+    ``activity`` are tables of one row per libreria_id and semana. Shops that only they know
+    have a spine too.
+    """
+    firsts = shops.select(F.col("id").alias("libreria_id"), week_of("creado_en"))
+    for rows in activity:
+        firsts = firsts.unionByName(rows.select("libreria_id", "semana"))
+    last = firsts.agg(F.max("semana")).scalar()
+    weeks = F.sequence(F.col("primera"), last, F.expr("INTERVAL 7 DAYS"))
+    per_shop = firsts.groupBy("libreria_id").agg(F.min("semana").alias("primera"))
+    return per_shop.select("libreria_id", F.explode(weeks).alias("semana"))
 
 
 def weekly_activity(events: DataFrame) -> DataFrame:
@@ -55,12 +62,16 @@ def weekly_corrections(books: DataFrame) -> DataFrame:
 
 
 def weekly_shop_edits(books: DataFrame, edits: DataFrame) -> DataFrame:
-    """Books per week of reading that the shop itself gave another title or author."""
+    """Books per week of reading that the shop itself gave another title or author.
+
+    Rejected edits change nothing and do not count.
+    """
     before = books.select(
         F.col("id").alias("libro_id"), F.col("titulo").alias("t0"), F.col("autor").alias("a0")
     )
+    valid, _ = split_edits(edits)
     touched = (
-        edits.join(before, "libro_id")
+        valid.join(before, "libro_id")
         .filter(
             (F.trim("titulo") != F.trim("t0"))
             | (F.trim(F.coalesce("autor", F.lit(""))) != F.trim("a0"))
@@ -81,10 +92,11 @@ def weekly_cohort(shops: DataFrame, books: DataFrame, events: DataFrame) -> Data
         "libros_leidos", "corregidos",
     ]
     keys = ["libreria_id", "semana"]
+    active, read = weekly_activity(events), weekly_corrections(books)
     table = (
-        spine(shops, events)
-        .join(weekly_activity(events), keys, "left")
-        .join(weekly_corrections(books), keys, "left")
+        spine(shops, active, read)
+        .join(active, keys, "left")
+        .join(read, keys, "left")
         .fillna(0, counts)
     )
     return table.withColumn(
@@ -160,20 +172,19 @@ def demand_gap_share(events: DataFrame) -> DataFrame:
 def batch_gaps(batches: DataFrame) -> DataFrame:
     """Hours from each batch to the next one of its shop.
 
-    The successor is looked up inside one day of a shop; only the last batch of a day asks
-    for the first of the shop's next active day, from one row per shop and day. So no task
-    has to sort all batches of a shop.
+    The batches are range-partitioned by shop and time over the whole cluster. The successor is
+    looked up inside a range; only the last batch of a shop in its range asks for the shop's first
+    one in a later range, from one row per shop and range. So no task sorts all batches of a shop,
+    also when an import brings a whole catalogue in one day.
     """
-    moment = F.struct("creado_en", "id")
-    daily = batches.withColumn("dia", F.to_date("creado_en"))
-    by_time = Window.partitionBy("libreria_id", "dia").orderBy("creado_en", "id")
-    inside = daily.withColumn("sigue", F.lead("creado_en").over(by_time))
-    days = daily.groupBy("libreria_id", "dia").agg(F.min("creado_en").alias("primero"))
-    next_day = Window.partitionBy("libreria_id").orderBy("dia")
-    follow = days.select("libreria_id", "dia", F.lead("primero").over(next_day).alias("otro_dia"))
-    joined = inside.join(follow, ["libreria_id", "dia"])
-    later = F.coalesce("sigue", "otro_dia")
-    hours = (F.unix_seconds(later) - F.unix_seconds("creado_en")) / 3600
+    fixed = ranged(batches.select("id", "libreria_id", "creado_en"), ["libreria_id"], ["creado_en", "id"])
+    keys = ["libreria_id", "tramo"]
+    inside = fixed.withColumn("sigue", F.lead("creado_en").over(Window.partitionBy(*keys).orderBy("creado_en", "id")))
+    ranges = fixed.groupBy(*keys).agg(F.min("creado_en").alias("primero"))
+    later = Window.partitionBy("libreria_id").orderBy("tramo")
+    follow = ranges.select(*keys, F.lead("primero").over(later).alias("otro"))
+    joined = join_unique(inside, follow, keys)
+    hours = (F.unix_seconds(F.coalesce("sigue", "otro")) - F.unix_seconds("creado_en")) / 3600
     return joined.select("id", "libreria_id", "creado_en", hours.alias("horas_al_siguiente"))
 
 
@@ -194,41 +205,42 @@ def batch_cadence(shops: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def retention(shops: DataFrame, batches: DataFrame, events: DataFrame) -> DataFrame:
-    """Activity by week since sign-up, week-4 retention and batches in weeks 2 and 3."""
-    joined_on = shops.select(F.col("id").alias("libreria_id"), F.col("creado_en").alias("alta"))
+    """Batches and events of each shop by week since sign-up (1 is the first; 0 and less: before).
+
+    One row for every week with activity, however many there are.
+    """
+    signed = shops.select(F.col("id").alias("libreria_id"), F.col("creado_en").alias("alta"))
 
     def weekly(df: DataFrame, name: str) -> DataFrame:
         daily = df.groupBy("libreria_id", F.to_date("creado_en").alias("dia")).agg(
             F.count("*").alias("n")
         )
         week = F.floor(F.date_diff("dia", F.to_date("alta")) / 7) + 1
-        weeks = daily.join(joined_on, "libreria_id").withColumn("semana", week)
         return (
-            weeks.filter(F.col("semana").between(1, WEEKS))
-            .groupBy("libreria_id", "semana")
+            daily.join(signed, "libreria_id")
+            .groupBy("libreria_id", week.alias("semana"))
             .agg(F.sum("n").alias(name))
         )
 
-    active = weekly(batches, "lotes").join(
-        weekly(events, "eventos"), ["libreria_id", "semana"], "full"
+    keys = ["libreria_id", "semana"]
+    both = weekly(batches, "lotes").join(weekly(events, "eventos"), keys, "full")
+    return both.fillna(0, ["lotes", "eventos"])
+
+
+def retention_flags(shops: DataFrame, batches: DataFrame, events: DataFrame) -> DataFrame:
+    """Active weeks of each shop, week-4 retention and batches in weeks 2 and 3."""
+    week, brought = F.col("semana"), F.col("lotes") > 0
+    flags = retention(shops, batches, events).groupBy("libreria_id").agg(
+        F.count_if(week >= 1).alias("semanas_activas"),
+        F.max(week).alias("ultima_semana"),
+        F.max(week == 4).alias("retiene_4"),
+        F.max((week == 2) & brought).alias("lote_semana_2"),
+        F.max((week == 3) & brought).alias("lote_semana_3"),
     )
-    wide = active.groupBy("libreria_id").agg(
-        *[
-            F.sum(
-                F.when(
-                    F.col("semana") == w,
-                    F.coalesce("lotes", F.lit(0)) + F.coalesce("eventos", F.lit(0)),
-                ).otherwise(0)
-            ).alias(f"s{w}")
-            for w in range(1, WEEKS + 1)
-        ],
-        F.max(F.col("semana") == 4).alias("retiene_4"),
-        F.max((F.col("semana") == 2) & (F.col("lotes") > 0)).alias("lote_semana_2"),
-        F.max((F.col("semana") == 3) & (F.col("lotes") > 0)).alias("lote_semana_3"),
+    named = shops.select(F.col("id").alias("libreria_id")).join(flags, "libreria_id", "left")
+    return named.fillna(0, ["semanas_activas"]).fillna(
+        False, ["retiene_4", "lote_semana_2", "lote_semana_3"]
     )
-    flags = ["retiene_4", "lote_semana_2", "lote_semana_3"]
-    result = joined_on.select("libreria_id").join(wide, "libreria_id", "left")
-    return result.fillna(0, [f"s{w}" for w in range(1, WEEKS + 1)]).fillna(False, flags)
 
 
 def cycles(books: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     A table that comes out of ``groupBy(keys)`` is already partitioned by the join keys, so
     Spark would join it in place, and adaptive execution can only split hot partitions of
     joins that shuffle both sides. One more join column, always zero, makes it shuffle both.
-    A right side below the broadcast threshold is still broadcast.
+    A right side below the broadcast threshold is still broadcast. Semi and anti joins work alike.
     """
     zero = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long"))
     joined = left.withColumn(_EXTRA, zero).join(

@@ -81,6 +81,54 @@ def review_edits(books: DataFrame, decisions: DataFrame, now: Column | None = No
     )
 
 
+def review_books(books: DataFrame, decisions: DataFrame, now: Column | None = None) -> DataFrame:
+    """The books after the edits of ``review_edits``, in one join with the decisions."""
+    marks = decisions.withColumnRenamed("lote_id", "lote_decidido")
+    joined = join_unique(
+        books.withColumn("lote_decidido", _spread("lote_id")), marks, ["lote_decidido"]
+    )
+    ok = approved("confianza")
+    if "aprobados" in decisions.columns:
+        ok = F.coalesce(F.try_element_at("aprobados", F.col("id")), ok)
+    target = F.when((F.col("accion") == "publicar") & ok, "publicado").otherwise("descartado")
+    hit = F.col("accion").isNotNull() & F.col("duplicado_de").isNull()
+    return _edited(joined, hit, _now(now), books.columns, estado=target)
+
+
+def _edited(rows: DataFrame, hit: Column, now: Column, columns: list[str], **changes: Column) -> DataFrame:
+    """Rows as one edit leaves them where ``hit``: texts stripped, state set, its date stamped."""
+    estado = changes.get("estado", F.col("estado"))
+    title, author = changes.get("titulo", F.col("titulo")), changes.get("autor", F.col("autor"))
+    new = {
+        "titulo": text.strip(title),
+        "autor": text.strip(text.or_empty(author)),
+        "estado": estado,
+        "publicado_en": F.when(estado == "publicado", now).otherwise(F.col("publicado_en")),
+        "vendido_en": F.when(estado == "vendido", now).otherwise(F.col("vendido_en")),
+    }
+    marked = F.coalesce(hit, F.lit(False))
+    return rows.withColumns(
+        {k: F.when(marked, v).otherwise(F.col(k)) for k, v in new.items()}
+    ).select(*columns)
+
+
+def _asked(books: DataFrame, ids: DataFrame) -> DataFrame:
+    return books.join(ids.select("id").distinct().withColumn("pedido", F.lit(True)), "id", "left")
+
+
+def sell_books(books: DataFrame, ids: DataFrame, now: Column | None = None) -> DataFrame:
+    """The books with those of ``ids`` (id) sold, in one join."""
+    return _edited(_asked(books, ids), F.col("pedido"), _now(now), books.columns, estado=F.lit("vendido"))
+
+
+def restored_books(books: DataFrame, ids: DataFrame, now: Column | None = None) -> DataFrame:
+    """The books with the model's own reading back in those of ``ids``, in one join."""
+    return _edited(
+        _asked(books, ids), F.col("pedido"), _now(now), books.columns,
+        titulo=F.col("titulo_raw"), autor=F.col("autor_raw"),
+    )
+
+
 def mark_sold(books: DataFrame, ids: DataFrame, now: Column | None = None) -> DataFrame:
     """Edits that sell the books of ``ids`` (id)."""
     return books.join(ids.select("id").distinct(), "id", "left_semi").select(
@@ -236,12 +284,12 @@ def delete_shops(tables: dict[str, DataFrame], shop_ids: DataFrame) -> dict[str,
     """
     ids = shop_ids.select(F.col("id").alias("libreria_id")).distinct()
     batches, books = tables["lotes"], tables["libros"]
-    gone_batches = batches.join(ids, "libreria_id", "left_semi").select("id")
-    gone_photos = tables["fotos"].join(
-        gone_batches.withColumnRenamed("id", "lote_id"), "lote_id", "left_semi"
+    gone_batches = join_unique(batches, ids, ["libreria_id"], "left_semi").select("id")
+    gone_photos = join_unique(
+        tables["fotos"], gone_batches.withColumnRenamed("id", "lote_id"), ["lote_id"], "left_semi"
     ).select("id")
-    gone_books = books.join(ids, "libreria_id", "left_semi").select("id")
-    kept_books = books.join(ids, "libreria_id", "left_anti").select(*books.columns)
+    gone_books = join_unique(books, ids, ["libreria_id"], "left_semi").select("id")
+    kept_books = join_unique(books, ids, ["libreria_id"], "left_anti").select(*books.columns)
     for column, gone in (
         ("lote_id", gone_batches),
         ("foto_id", gone_photos),
@@ -252,12 +300,12 @@ def delete_shops(tables: dict[str, DataFrame], shop_ids: DataFrame) -> dict[str,
         "librerias": tables["librerias"].join(
             shop_ids.select("id"), "id", "left_anti"
         ),
-        "lotes": batches.join(ids, "libreria_id", "left_anti").select(*batches.columns),
-        "fotos": tables["fotos"]
-        .join(gone_batches.withColumnRenamed("id", "lote_id"), "lote_id", "left_anti")
-        .select(*tables["fotos"].columns),
+        "lotes": join_unique(batches, ids, ["libreria_id"], "left_anti").select(*batches.columns),
+        "fotos": join_unique(
+            tables["fotos"], gone_batches.withColumnRenamed("id", "lote_id"), ["lote_id"], "left_anti"
+        ).select(*tables["fotos"].columns),
         "libros": kept_books,
-        "eventos": tables["eventos"]
-        .join(ids, "libreria_id", "left_anti")
-        .select(*tables["eventos"].columns),
+        "eventos": join_unique(tables["eventos"], ids, ["libreria_id"], "left_anti").select(
+            *tables["eventos"].columns
+        ),
     }

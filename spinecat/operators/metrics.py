@@ -24,7 +24,9 @@ def flagged(events: DataFrame) -> DataFrame:
         ((tipo == "busqueda") & P.zero(F.col("p"), "resultados")).alias("sin_resultado"),
         ((tipo == "clic_whatsapp") & P.truthy(F.col("p"), "generico")).alias("generico"),
         F.when(tipo == "busqueda", text.term_key(P.text(F.col("p"), "q"))).alias("termino"),
-        F.when(tipo == "clic_whatsapp", P.text(F.col("p"), "titulo")).alias("titulo"),
+        F.when(
+            (tipo == "clic_whatsapp") & P.truthy(F.col("p"), "titulo"), P.shown(F.col("p"), "titulo")
+        ).alias("titulo"),
         F.when(tipo == "lote_publicado", P.shown(F.col("p"), "publicados"))
         .try_cast("long")
         .alias("publicados"),
@@ -124,7 +126,8 @@ def describe(tipo: Column, p: Column) -> Column:
     """One display line per event."""
 
     def plural(name: str) -> Column:
-        return F.when(P.shown(p, name) == "1", F.lit("")).otherwise(F.lit("s"))
+        # The number one and true, but not the text "1".
+        return F.when(P.field(p, name).rlike(r"^(true|1(\.0*)?)$"), F.lit("")).otherwise(F.lit("s"))
 
     src, title = P.shown(p, "src"), P.shown(p, "titulo")
     return (

@@ -1,10 +1,11 @@
-"""Ordered JSON documents of bounded size."""
+"""Ordered JSON documents of bounded size, and positions in ordered lists."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spinecat.operators.joins import join_unique
 from spinecat.session import materialise
 
 
@@ -13,42 +14,36 @@ def json_pages(
 ) -> DataFrame:
     """Rows of each key as JSON arrays of at most ``page_size`` records, in order.
 
-    A key that fits one page is collected directly, which the count proves to be bounded.
-    The rows of larger keys are range-partitioned over the whole cluster and numbered there,
-    so no task ever holds a whole key.
+    ``pagina`` counts from 0, ``paginas`` is the number of pages of the key. Rows are numbered
+    over range partitions, so no task ever holds a whole key, and a page is bounded by its size.
     """
-    rows = df.withColumn("registro", record)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("total"))
-    large = sizes.filter(F.col("total") > page_size)
-    if large.isEmpty():
-        return _documents(rows.withColumn("pagina", F.lit(0).cast("long")), keys, order)
-    small_rows = rows.join(large, keys, "left_anti").withColumn("pagina", F.lit(0).cast("long"))
-    large_rows = _number(rows.join(large.select(*keys), keys, "left_semi"), keys, order)
-    large_rows = large_rows.withColumn(
-        "pagina", F.floor((F.col("numero") - 1) / page_size).cast("long")
-    ).drop("numero")
-    return _documents(small_rows.unionByName(large_rows), keys, order)
-
-
-def _documents(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    entry = F.struct(*order, F.struct("registro").alias("r"))
+    rows = numbered(df.withColumn("registro", record), keys, order)
+    rows = rows.withColumn("pagina", F.floor((F.col("numero") - 1) / page_size).cast("long"))
+    entry = F.struct("numero", F.struct("registro").alias("r"))
     pages = rows.groupBy(*keys, "pagina").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    return pages.select(
+    documents = pages.select(
         *keys,
         "pagina",
         F.size("e").cast("long").alias("n"),
         F.to_json(F.col("e.r.registro")).alias("documento"),
     )
+    total = documents.groupBy(*keys).agg(F.count("*").alias("paginas"))
+    return join_unique(documents, total, keys)
 
 
-def _number(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Position of each row within its key, without a task that sees the whole key.
+def ranged(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows dealt into ranges of (keys, order); ``tramo`` is the number of the range.
 
-    The checkpoint fixes the range partitions, so that a lost executor cannot move a row
-    between the counting pass and the numbering pass.
+    The checkpoint fixes the ranges, so that a lost executor cannot move a row between two
+    passes over them.
     """
     spread = rows.repartitionByRange(*keys, *order).withColumn("tramo", F.spark_partition_id())
-    fixed = materialise(spread)
+    return materialise(spread)
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Position ``numero`` of each row within its key, without a task that sees the whole key."""
+    fixed = ranged(rows, keys, order)
     counts = fixed.groupBy(*keys, "tramo").agg(F.count("*").alias("m"))
     before = Window.partitionBy(*keys).orderBy("tramo").rowsBetween(
         Window.unboundedPreceding, -1
@@ -57,7 +52,7 @@ def _number(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         *keys, "tramo", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("previos")
     )
     local = Window.partitionBy(*keys, "tramo").orderBy(*order)
-    numbered = fixed.withColumn("local", F.row_number().over(local))
-    return numbered.join(offsets, [*keys, "tramo"]).select(
+    here = fixed.withColumn("local", F.row_number().over(local))
+    return join_unique(here, offsets, [*keys, "tramo"]).select(
         *rows.columns, (F.col("local") + F.col("previos")).alias("numero")
     )

@@ -12,7 +12,6 @@ from spinecat.operators.joins import join_unique
 BOOK_BANDS = [(5, 13), (14, 19), (20, 28)]
 HIGH_SHARE = 0.2
 LOW_SHARE = 0.1
-VARIANTS = ["original", "bn", "mas_contraste", "mas_brillo"]
 
 
 def _title_fits(e: Column, d: Column) -> Column:
@@ -28,50 +27,41 @@ def _author_fits(e: Column, d: Column) -> Column:
     )
 
 
-def _expected(truth: DataFrame) -> DataFrame:
-    """Expected books of each photo as one array of keys."""
-    rows = truth.withColumns({"t": text.key("titulo"), "a": text.key("autor")})
-    book = F.struct(
-        "pos",
-        "t",
-        text.tokens("t").alias("w"),
-        "a",
-        F.col("autor_visible_en_foto").alias("visible"),
-    )
-    return rows.groupBy("foto").agg(F.sort_array(F.collect_list(book)).alias("e"))
-
-
-def _detected(books: DataFrame) -> DataFrame:
-    """Detected books of each answer as one array of keys."""
-    title = F.coalesce(F.nullif("titulo_corregido", F.lit("")), F.col("titulo_detectado"))
-    # Partitioned by photo alone, so that the join with the truth needs no second shuffle; the
-    # keys come after it to keep the generated code of parsing and matching apart.
-    spread = books.withColumn("foto", F.col("foto_id").cast("string")).repartition("foto")
-    rows = spread.withColumns({"t": text.key(title), "a": text.key("autor_corregido")})
-    book = F.struct("pos", "t", text.tokens("t").alias("w"), "a")
-    return (
-        rows.groupBy("modelo", "foto")
-        .agg(
-            F.any_value("costo").alias("costo"),
-            F.any_value("latencia_ms").alias("latencia_ms"),
-            F.any_value("motivo").alias("motivo"),
-            F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), book))).alias("d"),
-        )
+def _keyed(books: Column, title: str, author: str, *more: str) -> Column:
+    """Books of an array with their keys: pos, t, w (words of t), a and the named members."""
+    keys = F.transform(
+        books,
+        lambda b, i: F.struct(
+            i.alias("i"), text.key(b[title]).alias("t"), text.key(b[author]).alias("a"), b.alias("b")
+        ),
     )
+    return F.transform(
+        keys,
+        lambda k: F.struct(
+            k["i"].alias("i"), k["t"].alias("t"), text.tokens(k["t"]).alias("w"), k["a"].alias("a"),
+            *[k["b"][m].alias(m) for m in more],
+        ),
+    )
 
 
-def side_by_side(books: DataFrame, truth: DataFrame) -> DataFrame:
-    """Detected books next to the expected books of their photo, one row per answer.
+def side_by_side(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """Detected books (d) next to the expected books (e) of their photo, one row per answer.
 
-    Both arrays come out of single JSON documents, an answer and a label entry, which bounds
-    them; no rows are paired up.
+    ``answers`` are ``responses.books``, ``truth`` is ``files.truth_photos``. Both sides bring
+    their books as one array out of one JSON document; one join by photo brings them together,
+    and nothing is exploded or collected. Two answers to a photo are two rows.
     """
-    return _detected(books).join(_expected(truth), "foto")
+    detected = answers.withColumn("foto", F.col("foto_id").cast("string")).withColumn(
+        "d", _keyed(F.col("libros"), "titulo", "autor", "pos")
+    )
+    visible = "autor_visible_en_foto"
+    expected = truth.select("foto", _keyed(F.col("esperados"), "titulo", "autor", visible).alias("e"))
+    return detected.drop("libros").join(expected, "foto")
 
 
-def title_match_pairs(books: DataFrame, truth: DataFrame) -> DataFrame:
+def title_match_pairs(answers: DataFrame, truth: DataFrame) -> DataFrame:
     """Every expected and detected title of a photo that fit together."""
-    sides = side_by_side(books, truth).select("modelo", "foto", "d", F.explode("e").alias("e1"))
+    sides = side_by_side(answers, truth).select("modelo", "foto", "d", F.explode("e").alias("e1"))
     fits = sides.select(
         "modelo",
         "foto",
@@ -81,13 +71,13 @@ def title_match_pairs(books: DataFrame, truth: DataFrame) -> DataFrame:
     return fits.select(
         "modelo",
         "foto",
-        F.col("e1.pos").alias("pos_esperado"),
+        F.col("e1.i").alias("pos_esperado"),
         F.col("d1.pos").alias("pos_detectado"),
         text.common_words(F.col("e1.w"), F.col("d1.w")).alias("comunes"),
     )
 
 
-def assigned(books: DataFrame, truth: DataFrame) -> DataFrame:
+def assigned(answers: DataFrame, truth: DataFrame) -> DataFrame:
     """Adds ``elegido``: for each expected book the first free detected book that fits, or -1."""
 
     def pick(taken: Column, e: Column) -> Column:
@@ -96,18 +86,18 @@ def assigned(books: DataFrame, truth: DataFrame) -> DataFrame:
         )
         return F.concat(taken, F.array(F.coalesce(F.get(free, F.lit(0))["pos"], F.lit(-1))))
 
-    return side_by_side(books, truth).withColumn(
+    return side_by_side(answers, truth).withColumn(
         "elegido", F.aggregate("e", F.array().cast("array<int>"), pick)
     )
 
 
-def scores(books: DataFrame, truth: DataFrame) -> DataFrame:
+def scores(answers: DataFrame, truth: DataFrame) -> DataFrame:
     """Titles and authors right, authors made up, cost and latency of each model.
 
-    ``books`` are the ``responses.book_rows`` of all answers; a failed one counts with its
-    expected titles, no books and no cost.
+    Every answer is scored on its own; a failed one counts with its expected titles, no books
+    and no cost.
     """
-    rows = assigned(books, truth)
+    rows = assigned(answers, truth)
     ok = F.col("motivo").isNull()
     pairs = F.transform(
         "e",
@@ -131,9 +121,9 @@ def scores(books: DataFrame, truth: DataFrame) -> DataFrame:
         F.size("e").alias("titulos"),
         F.size("d").alias("libros"),
         F.size("p").alias("titulos_ok"),
-        count(lambda p: p["e"]["visible"]).alias("autores"),
-        count(lambda p: p["e"]["visible"] & _author_fits(p["e"], p["d"])).alias("autores_ok"),
-        count(lambda p: ~p["e"]["visible"] & (p["d"]["a"] != "")).alias("inventados"),
+        count(lambda p: p["e"]["autor_visible_en_foto"]).alias("autores"),
+        count(lambda p: p["e"]["autor_visible_en_foto"] & _author_fits(p["e"], p["d"])).alias("autores_ok"),
+        count(lambda p: ~p["e"]["autor_visible_en_foto"] & (p["d"]["a"] != "")).alias("inventados"),
     )
     return per_answer.groupBy("modelo").agg(
         F.sum("titulos_ok").alias("titulos_ok"),
@@ -148,27 +138,22 @@ def scores(books: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def image_metrics(books: DataFrame) -> DataFrame:
-    """Books, mean confidence and dropped authors of each answer; summed in book order."""
-    level = F.when(
-        F.col("pos").isNotNull(), F.struct("pos", F.coalesce("confianza", F.lit(0.0)).alias("c"))
-    )
-    grouped = books.groupBy("modelo", "foto_id").agg(
-        F.count("pos").cast("int").alias("cant_libros"),
-        F.sort_array(F.collect_list(level)).alias("niveles"),
-        F.count("autor_descartado").cast("int").alias("guardrail_disparado"),
-        F.any_value("costo").alias("costo"),
-        F.any_value("latencia_ms").alias("latencia_ms"),
-    )
-    total = F.aggregate("niveles", F.lit(0.0), lambda s, b: s + b["c"])
-    mean = total / F.greatest(F.col("cant_libros"), F.lit(1))
-    return grouped.select(
+def image_metrics(answers: DataFrame) -> DataFrame:
+    """Books, mean confidence and dropped authors of each answer; summed in book order.
+
+    A failed answer keeps its row, with ``ok`` false, no books and no cost.
+    """
+    ok = F.col("motivo").isNull()
+    count = F.size("libros")
+    total = F.aggregate("libros", F.lit(0.0), lambda s, b: s + F.coalesce(b["confianza"], F.lit(0.0)))
+    return answers.select(
         "modelo",
         "foto_id",
-        "cant_libros",
-        text.round_share(mean).alias("confianza_media"),
-        "guardrail_disparado",
-        "costo",
+        ok.alias("ok"),
+        count.alias("cant_libros"),
+        text.round_share(total / F.greatest(count, F.lit(1))).alias("confianza_media"),
+        F.size(F.filter("libros", lambda b: b["autor_descartado"].isNotNull())).alias("guardrail_disparado"),
+        F.when(ok, F.col("costo")).otherwise(F.lit(0.0)).alias("costo"),
         "latencia_ms",
     )
 
@@ -180,38 +165,44 @@ def total_cost(results: DataFrame) -> DataFrame:
 def guard_crosstab(
     results: DataFrame, bands: list[tuple[int, int]] | None = None
 ) -> DataFrame:
-    """Photos with a high or low share of dropped authors, by books per photo."""
-    label = F.lit(None).cast("string")
-    for low, high in reversed(BOOK_BANDS if bands is None else bands):
-        label = F.when(
-            F.col("cant_libros").between(low, high), F.lit(f"{low}-{high}")
-        ).otherwise(label)
-    share = F.col("guardrail_disparado") / F.greatest(F.col("cant_libros"), F.lit(1))
-    banded = results.withColumns({"banda": label, "cuota": share}).filter(
-        F.col("banda").isNotNull()
-    )
-    return banded.groupBy("banda").agg(
+    """Photos with a high, middle or low share of dropped authors, by books per photo.
+
+    What lies outside the bands has a band of its own (``<5``, ``>28``), and so has a gap between
+    two, so every photo counts once.
+    """
+    chosen = BOOK_BANDS if bands is None else bands
+    count = F.col("cant_libros")
+    label = F.lit(f">{chosen[-1][1]}")
+    for k in range(len(chosen) - 1, -1, -1):
+        low, high = chosen[k]
+        label = F.when(count <= high, f"{low}-{high}").otherwise(label)
+        below = f"{chosen[k - 1][1] + 1}-{low - 1}" if k else f"<{low}"
+        label = F.when(count < low, below).otherwise(label)
+    share = F.col("guardrail_disparado") / F.greatest(count, F.lit(1))
+    high, low = F.col("cuota") > HIGH_SHARE, F.col("cuota") <= LOW_SHARE
+    return results.withColumns({"banda": label, "cuota": share}).groupBy("banda").agg(
         F.count("*").alias("fotos"),
-        F.count_if(F.col("cuota") > HIGH_SHARE).alias("alto"),
-        F.count_if(F.col("cuota") <= LOW_SHARE).alias("bajo"),
+        F.count_if(high).alias("alto"),
+        F.count_if(~high & ~low).alias("medio"),
+        F.count_if(low).alias("bajo"),
     )
 
 
-def variant_pivot(results: DataFrame, variants: list[str] | None = None) -> DataFrame:
-    """Books and mean confidence of each photo under each retouch, from ``name [variant]``."""
-    names = VARIANTS if variants is None else variants
-    tail = F.regexp_extract("etiqueta", r"^(.*) \[([^\]]*)\]$", 2)
-    split = results.withColumns(
+def variants(results: DataFrame) -> DataFrame:
+    """Photo and variant of each result from ``name [variant]``; no brackets is the original.
+
+    Long form: one row per result and whatever variant it names; pivot it for display.
+    """
+    parts = r"^(.*) \[([^\]]*)\]$"
+    tail = F.regexp_extract("etiqueta", parts, 2)
+    return results.withColumns(
         {
             "variante": F.when(tail == "", F.lit("original")).otherwise(tail),
             "foto": F.when(tail == "", F.col("etiqueta")).otherwise(
-                F.regexp_extract("etiqueta", r"^(.*) \[([^\]]*)\]$", 1)
+                F.regexp_extract("etiqueta", parts, 1)
             ),
         }
     )
-    return split.groupBy("foto").pivot("variante", names).agg(
-        F.max("cant_libros").alias("libros"), F.max("confianza_media").alias("confianza")
-    )
 
 
 def call_economics(calls: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def _offered(faces: DataFrame, terms: DataFrame) -> DataFrame:
     short_shops = terms.filter(F.length("termino") < GRAM).select("libreria_id").distinct()
     return _face_pieces(faces, [GRAM]).unionByName(
         _face_pieces(
-            faces.join(short_shops, "libreria_id", "left_semi"), list(range(1, GRAM))
+            join_unique(faces, short_shops, ["libreria_id"], "left_semi"), list(range(1, GRAM))
         )
     )
 
@@ -56,7 +56,7 @@ def _chosen_pieces(terms: DataFrame, faces: DataFrame) -> DataFrame:
         F.array_distinct(_pieces(F.col("termino"), GRAM))
     )
     asked = terms.withColumn("pieza", F.explode(own))
-    wanted = _offered(faces, terms).join(asked.select(*keys).distinct(), keys, "left_semi")
+    wanted = join_unique(_offered(faces, terms), asked.select(*keys).distinct(), keys, "left_semi")
     frequency = wanted.groupBy(*keys).agg(F.count("*").alias("veces"))
     # A piece the shop does not have sorts first and then simply finds no partner.
     rarest = F.min_by("pieza", F.struct(F.coalesce("veces", F.lit(0)), "pieza"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from spinecat import schemas
 from spinecat.functions import text
@@ -18,25 +17,9 @@ FOLD_TO = "2024-01-01"
 ARCHIVED = "2024-02-15"
 
 
-_KNOWN: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A test table; its schema is read from the files once per process."""
-    path = f"{sf}/{name}.parquet"
-    if path not in _KNOWN:
-        _KNOWN[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_KNOWN[path]).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores when its files give fewer splits than that.
-
-    The test tables are single files with one row group, which one task would read and then
-    transform alone. A table of many files is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A test table."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def shop_count(spark: SparkSession, sf: str) -> Column:
@@ -189,7 +172,9 @@ def _book_rows(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def _line_books(spark: SparkSession, sf: str) -> DataFrame:
-    return _book_rows(spread(table(spark, sf, "lineitem")), table(spark, sf, "part"))
+    lines = table(spark, sf, "lineitem")
+    # By batch, as the joins and groups that follow need it.
+    return _book_rows(lines, table(spark, sf, "part")).repartition("lote_id")
 
 
 def libros(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,7 +243,7 @@ def event_rows(events: DataFrame, shops: Column) -> DataFrame:
                     F.lit('{"q":" Term'),
                     (k % 20).cast("string"),
                     F.lit(' ","resultados":'),
-                    (k % 4).cast("string"),
+                    F.when(k % 20 == 1, F.lit('"1"')).when(k % 20 == 2, F.lit("true")).otherwise((k % 4).cast("string")),
                     F.lit("}"),
                 )
             ),
@@ -267,6 +252,7 @@ def event_rows(events: DataFrame, shops: Column) -> DataFrame:
             tipo == "clic_whatsapp",
             F.when(k % 5 == 0, F.lit('{"libro_id":null,"generico":true,"q":"t"}'))
             .when(k % 5 == 1, j(F.lit('{"libro_id":'), ks, F.lit(',"titulo":"","generico":false}')))
+            .when(k % 30 == 7, j(F.lit('{"libro_id":'), ks, F.lit(',"titulo":1984}')))
             .otherwise(
                 j(
                     F.lit('{"libro_id":'),
@@ -310,7 +296,7 @@ def event_rows(events: DataFrame, shops: Column) -> DataFrame:
 
 
 def eventos(spark: SparkSession, sf: str) -> DataFrame:
-    return event_rows(spread(table(spark, sf, "events")), shop_count(spark, sf))
+    return event_rows(table(spark, sf, "events"), shop_count(spark, sf))
 
 
 def raw_events(log: DataFrame, shops: DataFrame) -> DataFrame:
@@ -347,13 +333,17 @@ def lecturas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def respuestas(spark: SparkSession, sf: str) -> DataFrame:
-    """One model answer per photo: a JSON document, some fenced, some cut short."""
+    """One model answer per photo: a JSON document, some fenced, some cut short.
+
+    Some corrected titles are blank, some empty.
+    """
+    size = F.length("titulo") % 13
     book = F.struct(
         "id",
         F.struct(
             F.col("titulo_raw").alias("titulo_detectado"),
             F.col("autor_leido").alias("autor_detectado"),
-            F.col("titulo").alias("titulo_corregido"),
+            F.when(size == 5, F.lit("   ")).when(size == 6, F.lit("")).otherwise(F.col("titulo")).alias("titulo_corregido"),
             F.col("autor").alias("autor_corregido"),
             "confianza",
         ).alias("libro"),
@@ -417,7 +407,14 @@ def ediciones(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("estado") == "pendiente", "publicado").otherwise("vendido").alias("estado"),
         shift(F.col("creado_en"), 4).alias("ts"),
     )
-    return first.unionByName(later)
+    refused = books.filter(F.col("orden") % 3 == 1).select(
+        F.col("id").alias("libro_id"),
+        F.concat(F.col("titulo"), F.lit(" III")).alias("titulo"),
+        F.col("autor"),
+        F.lit("perdido").alias("estado"),
+        shift(F.col("creado_en"), 6).alias("ts"),
+    )
+    return first.unionByName(later).unionByName(refused)
 
 
 def altas(spark: SparkSession, sf: str) -> DataFrame:

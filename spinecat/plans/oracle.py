@@ -55,13 +55,14 @@ define(
 define(
     "public_catalog",
     ["librerias", "libros"],
-    f"""SELECT slug, b.id, titulo, autor, strftime(b.creado_en, '%Y-%m-%d') AS visto
+    f"""SELECT slug, b.id, titulo, autor, strftime(b.creado_en, '%Y-%m-%d') AS visto,
+    row_number() OVER (PARTITION BY slug ORDER BY titulo, b.id) AS puesto
     FROM libros b JOIN librerias l ON l.id = libreria_id WHERE activa AND {PUBLIC}""",
 )
 define(
     "catalog_export_json",
     ["librerias", "libros"],
-    f"""SELECT slug, CAST(0 AS BIGINT) AS pagina, count(*) AS n, '[' || string_agg(
+    f"""SELECT slug, CAST(0 AS BIGINT) AS pagina, CAST(1 AS BIGINT) AS paginas, count(*) AS n, '[' || string_agg(
         to_json({{'id': b.id, 'titulo': titulo, 'autor': autor,
             'visto': strftime(b.creado_en, '%Y-%m-%d')}})::VARCHAR, ',' ORDER BY titulo, b.id)
         || ']' AS documento
@@ -71,7 +72,9 @@ define(
 define(
     "inventory_list",
     ["libros"],
-    f"SELECT libreria_id, id, titulo, autor, estado FROM libros WHERE {INVENTORY}",
+    f"""SELECT libreria_id, id, titulo, autor, estado,
+    row_number() OVER (PARTITION BY libreria_id ORDER BY titulo, id) AS puesto
+    FROM libros WHERE {INVENTORY}""",
 )
 define(
     "inventory_search",
@@ -124,7 +127,7 @@ define(
     ["lotes", "libros"],
     """SELECT l.id, l.estado, l.cant_fotos,
     count(DISTINCT b.foto_id) AS fotos_listas, count(b.duplicado_de) AS duplicados,
-    CAST(0 AS BIGINT) AS pagina,
+    CAST(0 AS BIGINT) AS pagina, CAST(1 AS BIGINT) AS paginas,
     count(b.id) FILTER (b.duplicado_de IS NULL) AS cant_libros,
     coalesce('[' || string_agg(to_json({'id': b.id, 'foto_id': b.foto_id, 'titulo': b.titulo,
         'autor': b.autor, 'titulo_raw': b.titulo_raw, 'autor_raw': b.autor_raw,
@@ -142,17 +145,22 @@ define(
 define(
     "review_order",
     ["libros"],
-    "SELECT lote_id, foto_id, id, titulo, confianza FROM libros WHERE duplicado_de IS NULL",
+    """SELECT lote_id, foto_id, id, titulo, confianza, row_number() OVER (PARTITION BY lote_id
+        ORDER BY foto_id, confianza >= 0.7 DESC, confianza, id)::INT AS puesto,
+    row_number() OVER (PARTITION BY lote_id ORDER BY foto_id, confianza, id)::INT AS puesto_foto
+    FROM libros WHERE duplicado_de IS NULL""",
 )
 define(
     "batch_books_by_confidence",
     ["libros"],
-    "SELECT lote_id, id, titulo, confianza FROM libros WHERE duplicado_de IS NULL",
+    """SELECT lote_id, id, titulo, confianza, row_number() OVER (PARTITION BY lote_id
+        ORDER BY confianza, id)::INT AS puesto FROM libros WHERE duplicado_de IS NULL""",
 )
 define(
     "repeated_books",
     ["libros"],
-    """SELECT lote_id, foto_id, id, titulo, autor, duplicado_de FROM libros
+    """SELECT lote_id, foto_id, id, titulo, autor, duplicado_de,
+    row_number() OVER (PARTITION BY lote_id ORDER BY foto_id, titulo, id)::INT AS puesto FROM libros
     WHERE duplicado_de IS NOT NULL""",
 )
 define(
@@ -249,8 +257,9 @@ define(
     f"""SELECT libreria_id, puesto, id, CASE tipo
       WHEN 'vista' THEN '👀 Vista (' || json_extract_string(payload, '$.src') || ')'
       WHEN 'busqueda' THEN '🔎 Búsqueda: "' || json_extract_string(payload, '$.q') || '" — '
-        || coalesce({member('resultados')}, '') || ' resultado'
-        || CASE WHEN {member('resultados')} = '1' THEN '' ELSE 's' END
+        || CASE {member('resultados')} WHEN 'true' THEN 'True'
+            ELSE coalesce(json_extract_string(payload, '$.resultados'), '') END || ' resultado'
+        || CASE WHEN {member('resultados')} IN ('1', 'true') THEN '' ELSE 's' END
       WHEN 'clic_whatsapp' THEN '💬 WhatsApp' || CASE
         WHEN NOT {nothing(member('generico'))} THEN ' (genérico)'
         WHEN NOT {nothing(member('titulo'))} THEN ': ' || json_extract_string(payload, '$.titulo')
@@ -570,16 +579,18 @@ _SESSIONS = """SELECT libreria_id, session_id, min(creado_en) AS inicio, max(cre
 define(
     "weekly_cohort",
     ["librerias", "libros", "marcas"],
-    f"""SELECT s.libreria_id, strftime(s.semana, '%Y-%m-%d') AS semana,
+    f""", inicios AS (SELECT id AS libreria_id, {_MONDAY.format('creado_en')} AS semana FROM librerias
+        UNION ALL SELECT libreria_id, {_MONDAY.format('creado_en')} FROM marcas
+        UNION ALL SELECT libreria_id, {_MONDAY.format('creado_en')} FROM libros)
+    SELECT s.libreria_id, strftime(s.semana, '%Y-%m-%d') AS semana,
     coalesce(lotes_publicados, 0) AS lotes_publicados,
     coalesce(libros_publicados, 0) AS libros_publicados, coalesce(vistas, 0) AS vistas,
     coalesce(busquedas, 0) AS busquedas, coalesce(clics, 0) AS clics,
     coalesce(libros_leidos, 0) AS libros_leidos, coalesce(corregidos, 0) AS corregidos,
     corregidos / libros_leidos AS parte_corregida
-    FROM (SELECT id AS libreria_id, unnest(generate_series(
-            CAST({_MONDAY.format('creado_en')} AS TIMESTAMP),
-            (SELECT CAST(max({_MONDAY.format('creado_en')}) AS TIMESTAMP) FROM marcas),
-            INTERVAL 7 DAY)) AS semana FROM librerias) s
+    FROM (SELECT libreria_id, unnest(generate_series(CAST(min(semana) AS TIMESTAMP),
+            (SELECT CAST(max(semana) AS TIMESTAMP) FROM inicios), INTERVAL 7 DAY)) AS semana
+        FROM inicios GROUP BY libreria_id) s
     LEFT JOIN ({_WEEKS}) w ON w.libreria_id = s.libreria_id AND w.semana = s.semana
     LEFT JOIN ({_READ}) r ON r.libreria_id = s.libreria_id AND r.semana = s.semana""",
 )
@@ -588,7 +599,7 @@ define(
     ["libros", "ediciones"],
     f"""SELECT libreria_id, strftime({_MONDAY.format('creado_en')}, '%Y-%m-%d') AS semana,
     count(*) AS libros_leidos, count(*) FILTER (EXISTS (SELECT 1 FROM ediciones e
-        WHERE e.libro_id = b.id AND (trim(e.titulo) <> trim(b.titulo)
+        WHERE e.libro_id = b.id AND e.estado <> 'perdido' AND (trim(e.titulo) <> trim(b.titulo)
             OR trim(e.autor) <> trim(b.autor)))) AS editados
     FROM libros b GROUP BY 1, 2""",
 )
@@ -640,19 +651,25 @@ define(
     FROM librerias l LEFT JOIN (SELECT libreria_id, min(creado_en) AS primero, count(*) AS n
         FROM lotes GROUP BY 1) b ON b.libreria_id = l.id""",
 )
+_ACTS = """, actos AS (SELECT l.id AS libreria_id, a.lote,
+        CAST(floor(date_diff('day', CAST(l.creado_en AS DATE), CAST(a.creado_en AS DATE)) / 7) AS BIGINT)
+            + 1 AS semana
+      FROM librerias l JOIN (SELECT libreria_id, creado_en, true AS lote FROM lotes
+          UNION ALL SELECT libreria_id, creado_en, false FROM eventos) a ON a.libreria_id = l.id)"""
 define(
     "retention",
     ["librerias", "lotes", "eventos"],
-    """, actos AS (SELECT l.id AS libreria_id, a.lote,
-        date_diff('day', CAST(l.creado_en AS DATE), CAST(a.creado_en AS DATE)) // 7 + 1 AS w
-      FROM librerias l JOIN (SELECT libreria_id, creado_en, true AS lote FROM lotes
-          UNION ALL SELECT libreria_id, creado_en, false FROM eventos) a ON a.libreria_id = l.id
-      WHERE a.creado_en >= l.creado_en)
-    SELECT l.id AS libreria_id, """
-    + ", ".join(f"count(*) FILTER (w = {w}) AS s{w}" for w in range(1, 10))
-    + """, coalesce(bool_or(w = 4), false) AS retiene_4,
-    coalesce(bool_or(w = 2 AND lote), false) AS lote_semana_2,
-    coalesce(bool_or(w = 3 AND lote), false) AS lote_semana_3
+    f"""{_ACTS} SELECT libreria_id, semana, count(*) FILTER (lote) AS lotes,
+    count(*) FILTER (NOT lote) AS eventos FROM actos GROUP BY 1, 2""",
+)
+define(
+    "retention_flags",
+    ["librerias", "lotes", "eventos"],
+    f"""{_ACTS} SELECT l.id AS libreria_id,
+    count(DISTINCT semana) FILTER (semana >= 1) AS semanas_activas, max(semana) AS ultima_semana,
+    coalesce(bool_or(semana = 4), false) AS retiene_4,
+    coalesce(bool_or(semana = 2 AND lote), false) AS lote_semana_2,
+    coalesce(bool_or(semana = 3 AND lote), false) AS lote_semana_3
     FROM librerias l LEFT JOIN actos a ON a.libreria_id = l.id GROUP BY l.id""",
 )
 define(
@@ -699,10 +716,10 @@ _PAIRS = f"""{_TRUTH}, leidos AS MATERIALIZED (SELECT modelo, foto_id, pos::INT
       len(list_intersect(list_distinct(string_split(e.t, ' ')),
           list_distinct(string_split(d.t, ' ')))) AS comunes
       FROM esperados e JOIN leidos d ON d.foto_id = e.foto_id
-      WHERE contains(d.t, e.t) OR contains(e.t, d.t)
+      WHERE d.t <> '' AND (contains(d.t, e.t) OR contains(e.t, d.t)
         OR len(list_intersect(list_distinct(string_split(e.t, ' ')),
             list_distinct(string_split(d.t, ' ')))) >= greatest(1.0::DOUBLE,
-            0.6::DOUBLE * least(len(string_split(e.t, ' ')), len(string_split(d.t, ' ')))))"""
+            0.6::DOUBLE * least(len(string_split(e.t, ' ')), len(string_split(d.t, ' '))))))"""
 _CHOICE = f"""{_PAIRS}, fotos_leidas AS (SELECT r.modelo, r.foto_id,
         (SELECT count(*) FROM esperados e WHERE e.foto_id = r.foto_id) AS n
       FROM respuestas r WHERE legible),
@@ -763,12 +780,13 @@ _STUDY = f""", suma AS (SELECT modelo, foto_id, count(*) AS n,
             / count(*) AS x,
         count(autor_descartado) AS frenados FROM detecciones GROUP BY modelo, foto_id),
     exacta AS (SELECT *, CAST(x * {_WIDE}::DOUBLE AS HUGEINT) * 100 AS m FROM suma),
-    estudio AS (SELECT e.modelo, e.foto_id, n::INT AS cant_libros,
-        (m // {_WIDE} + CASE WHEN m % {_WIDE} > 2305843009213693952
+    estudio AS (SELECT r.modelo, r.foto_id, legible AS ok, coalesce(n, 0)::INT AS cant_libros,
+        coalesce((m // {_WIDE} + CASE WHEN m % {_WIDE} > 2305843009213693952
             OR (m % {_WIDE} = 2305843009213693952 AND (m // {_WIDE}) % 2 = 1)
-            THEN 1 ELSE 0 END)::DOUBLE / 100 AS confianza_media,
-        frenados::INT AS guardrail_disparado, r.costo, r.latencia_ms
-      FROM exacta e JOIN respuestas r ON r.foto_id = e.foto_id)"""
+            THEN 1 ELSE 0 END)::DOUBLE / 100, 0) AS confianza_media,
+        coalesce(frenados, 0)::INT AS guardrail_disparado,
+        CASE WHEN legible THEN r.costo ELSE 0 END AS costo, r.latencia_ms
+      FROM respuestas r LEFT JOIN exacta e ON r.foto_id = e.foto_id)"""
 define("image_metrics", ["detecciones"], f"{_STUDY} SELECT * FROM estudio")
 define(
     "study_cost",
@@ -778,22 +796,19 @@ define(
 define(
     "guardrail_crosstab",
     ["detecciones"],
-    f"""{_STUDY} SELECT CASE WHEN cant_libros = 1 THEN '1-1' WHEN cant_libros = 2 THEN '2-2'
-        ELSE '3-9' END AS banda, count(*) AS fotos,
-    count(*) FILTER (guardrail_disparado / cant_libros > 0.2) AS alto,
-    count(*) FILTER (guardrail_disparado / cant_libros <= 0.1) AS bajo
-    FROM estudio WHERE cant_libros BETWEEN 1 AND 9 GROUP BY 1""",
+    f"""{_STUDY} SELECT CASE WHEN cant_libros < 2 THEN '<2' WHEN cant_libros = 2 THEN '2-2'
+        WHEN cant_libros < 4 THEN '3-3' ELSE '>3' END AS banda, count(*) AS fotos,
+    count(*) FILTER (cuota > 0.2) AS alto, count(*) FILTER (cuota > 0.1 AND cuota <= 0.2) AS medio,
+    count(*) FILTER (cuota <= 0.1) AS bajo
+    FROM (SELECT *, guardrail_disparado / greatest(cant_libros, 1) AS cuota FROM estudio)
+    GROUP BY 1""",
 )
 define(
-    "variant_pivot",
+    "variant_results",
     ["detecciones"],
-    f"""{_STUDY} SELECT (foto_id // 10) || '.jpg' AS foto, """
-    + ", ".join(
-        f"max(cant_libros) FILTER (foto_id % 4 = {i}) AS {v}_libros, "
-        f"max(confianza_media) FILTER (foto_id % 4 = {i}) AS {v}_confianza"
-        for i, v in enumerate(["original", "bn", "mas_contraste", "mas_brillo"])
-    )
-    + " FROM estudio GROUP BY 1",
+    f"""{_STUDY} SELECT (foto_id // 10) || '.jpg' AS foto, CASE foto_id % 10 % 5 WHEN 0 THEN 'original'
+        WHEN 1 THEN 'bn' WHEN 2 THEN 'mas_contraste' WHEN 3 THEN 'mas_brillo' ELSE 'otra' END
+        AS variante, modelo, cant_libros, confianza_media, ok FROM estudio""",
 )
 
 _CALLS = """SELECT *, CASE WHEN event_type IN ('view', 'click', 'error') THEN 'vision_ok'
@@ -856,8 +871,8 @@ define(
         count(*) FILTER (tipo = 'busqueda') AS busquedas,
         count(*) FILTER (tipo = 'clic_whatsapp') AS clics FROM tramos GROUP BY 1, 2, 3)
     SELECT libreria_id, session_id, {stamp('inicio')} AS inicio, {stamp('cierre')} AS cierre,
-    eventos, busquedas, clics FROM cerrados
-    WHERE cierre <= (SELECT max(creado_en) FROM marcas WHERE session_id <> '') - INTERVAL 1 HOUR""",
+    eventos, busquedas, clics, cierre <= (SELECT max(creado_en) FROM marcas WHERE session_id <> '')
+        - INTERVAL 1 HOUR AS cerrada FROM cerrados""",
 )
 define(
     "stream_progress",

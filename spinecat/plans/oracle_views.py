@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from spinecat import schemas
+
 
 def fold(expr: str) -> str:
     return rf"regexp_replace(strip_accents({expr}), '[^\x00-\x7F]', '', 'g')"
@@ -60,7 +62,7 @@ def text_member(name: str, payload: str = "payload") -> str:
 
 
 N = "(SELECT count(*) FROM supplier)"
-TEMPLATE = "Hola, vi en el catalogo que tenes {titulo} de {autor}. Sigue disponible?"
+TEMPLATE = schemas.DEFAULT_TEMPLATE
 K = "CAST(json_extract(props, '$.k') AS INTEGER)"
 
 VIEWS: dict[str, tuple[list[str], str]] = {
@@ -134,11 +136,13 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         f"""SELECT id, libreria_id, tipo, CASE tipo
         WHEN 'vista' THEN CASE WHEN k % 3 = 0 THEN '{{"src":"qr"}}' ELSE '{{"src":"link"}}' END
         WHEN 'busqueda' THEN CASE WHEN k % 10 = 9 THEN '{{"q":" Term' || (k % 20) || ' "}}'
-            ELSE '{{"q":" Term' || (k % 20) || ' ","resultados":' || (k % 4) || '}}' END
+            ELSE '{{"q":" Term' || (k % 20) || ' ","resultados":' || CASE k % 20 WHEN 1 THEN '"1"'
+                WHEN 2 THEN 'true' ELSE CAST(k % 4 AS VARCHAR) END || '}}' END
         WHEN 'clic_whatsapp' THEN CASE k % 5
             WHEN 0 THEN '{{"libro_id":null,"generico":true,"q":"t"}}'
             WHEN 1 THEN '{{"libro_id":' || k || ',"titulo":"","generico":false}}'
-            ELSE '{{"libro_id":' || k || ',"titulo":"Libro ' || (k % 30) || '"}}' END
+            ELSE CASE WHEN k % 30 = 7 THEN '{{"libro_id":' || k || ',"titulo":1984}}'
+            ELSE '{{"libro_id":' || k || ',"titulo":"Libro ' || (k % 30) || '"}}' END END
         WHEN 'lote_publicado' THEN '{{"lote_id":' || k || ',"publicados":' || (k % 12) || '}}'
         WHEN 'inventario_reiniciado' THEN '{{"libros_archivados":' || k || '}}'
         ELSE '{{}}' END AS payload,
@@ -159,7 +163,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         tipo = 'busqueda' AND {nothing(member('resultados'))} AS sin_resultado,
         tipo = 'clic_whatsapp' AND NOT {nothing(member('generico'))} AS generico,
         CASE WHEN tipo = 'busqueda' THEN lower(trim({text_member('q')})) END AS termino,
-        CASE WHEN tipo = 'clic_whatsapp' THEN {text_member('titulo')} END AS titulo,
+        CASE WHEN tipo = 'clic_whatsapp' AND NOT {nothing(member('titulo'))}
+            THEN json_extract_string(payload, '$.titulo') END AS titulo,
         CASE WHEN tipo = 'lote_publicado'
             THEN TRY_CAST({member('publicados')} AS BIGINT) END AS publicados
         FROM eventos""",
@@ -178,7 +183,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         UNION ALL
         SELECT id, titulo || ' II', autor,
         CASE WHEN estado = 'pendiente' THEN 'publicado' ELSE 'vendido' END,
-        creado_en + INTERVAL 4 DAY FROM libros WHERE estado IN ('pendiente', 'descartado')""",
+        creado_en + INTERVAL 4 DAY FROM libros WHERE estado IN ('pendiente', 'descartado')
+        UNION ALL
+        SELECT id, titulo || ' III', autor, 'perdido', creado_en + INTERVAL 6 DAY
+        FROM libros WHERE orden % 3 = 1""",
     ),
     "altas": (
         [],
@@ -213,14 +221,17 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                 'titulo_detectado': CASE WHEN en_mayusculas THEN upper(titulo) ELSE titulo END,
                 'autor_detectado': CASE l_partkey % 7 WHEN 0 THEN ''
                     WHEN 1 THEN 'Coleccion ' || p_brand ELSE autor END,
-                'titulo_corregido': titulo, 'autor_corregido': autor,
+                'titulo_corregido': CASE length(titulo) % 13 WHEN 5 THEN '   ' WHEN 6 THEN ''
+                    ELSE titulo END, 'autor_corregido': autor,
                 'confianza': confianza} ORDER BY id) AS libros
             FROM lineas GROUP BY lote_id, foto_id)""",
     ),
     "detecciones": (
         ["respuestas"],
         """SELECT modelo, lote_id, foto_id, pos - 1 AS pos, libro.titulo_detectado AS titulo_detectado,
-        libro.autor_detectado AS autor_detectado, libro.titulo_corregido AS titulo_corregido,
+        libro.autor_detectado AS autor_detectado,
+        CASE WHEN libro.titulo_corregido = '' THEN libro.titulo_detectado
+            ELSE trim(libro.titulo_corregido) END AS titulo_corregido,
         CASE WHEN frenado THEN '' ELSE libro.autor_corregido END AS autor_corregido,
         CASE WHEN frenado THEN least(libro.confianza, 0.4) ELSE libro.confianza END AS confianza,
         CASE WHEN frenado THEN libro.autor_corregido END AS autor_descartado

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spinecat import schemas
@@ -16,6 +16,7 @@ from spinecat.operators import (
     intake,
     lifecycle,
     metrics,
+    pages,
     quality,
     search,
 )
@@ -41,6 +42,15 @@ def stamp(name: str):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
+def _batch(order):
+    return Window.partitionBy("lote_id").orderBy(*order)
+
+
+def _placed(rows: DataFrame, order) -> DataFrame:
+    """Place of each row in the list of its batch, which has at most ten photos."""
+    return rows.withColumn("puesto", F.row_number().over(_batch(order)))
+
+
 # --- catalogue and lists ------------------------------------------------------------------
 
 
@@ -64,7 +74,7 @@ def review_queue(spark, sf):
 @query
 def public_catalog(spark, sf):
     rows = catalog.public_catalog(A.librerias(spark, sf), A.libros(spark, sf))
-    return rows.orderBy("slug", *catalog.by_title())
+    return pages.numbered(rows, ["slug"], ["titulo", "id"]).withColumnRenamed("numero", "puesto")
 
 
 @query
@@ -74,7 +84,8 @@ def catalog_export_json(spark, sf):
 
 @query
 def inventory_list(spark, sf):
-    return catalog.inventory(A.libros(spark, sf)).orderBy("libreria_id", *catalog.by_title())
+    rows = catalog.inventory(A.libros(spark, sf))
+    return pages.numbered(rows, ["libreria_id"], ["titulo", "id"]).withColumnRenamed("numero", "puesto")
 
 
 @query
@@ -133,13 +144,15 @@ def review_order(spark, sf):
     rows = catalog.new_books(A.libros(spark, sf)).select(
         "lote_id", "foto_id", "id", "titulo", "confianza"
     )
-    return rows.orderBy("lote_id", *catalog.for_display())
+    return _placed(rows, catalog.for_display()).withColumn(
+        "puesto_foto", F.row_number().over(_batch(catalog.by_photo_then_confidence()))
+    )
 
 
 @query
 def batch_books_by_confidence(spark, sf):
     rows = catalog.new_books(A.libros(spark, sf)).select("lote_id", "id", "titulo", "confianza")
-    return rows.orderBy("lote_id", *catalog.by_confidence())
+    return _placed(rows, catalog.by_confidence())
 
 
 @query
@@ -147,7 +160,7 @@ def repeated_books(spark, sf):
     rows = catalog.repeated_books(A.libros(spark, sf)).select(
         "lote_id", "foto_id", "id", "titulo", "autor", "duplicado_de"
     )
-    return rows.orderBy("lote_id", *catalog.by_photo_then_title())
+    return _placed(rows, catalog.by_photo_then_title())
 
 
 @query
@@ -242,7 +255,7 @@ def text_keys(spark, sf):
 @query
 def document_keys(spark, sf):
     """The folding rules on whole documents in several languages."""
-    return A.spread(A.table(spark, sf, "documents")).select(
+    return A.table(spark, sf, "documents").select(
         "doc_id",
         F.md5(text.normal("text")).alias("normal"),
         F.md5(text.key("text")).alias("clave"),
@@ -255,8 +268,7 @@ def document_keys(spark, sf):
 
 
 def _answers(spark, sf):
-    rows = responses.book_rows(responses.read(A.respuestas(spark, sf)))
-    return rows.filter(F.col("motivo").isNull())
+    return responses.books(responses.read(A.respuestas(spark, sf)))
 
 
 @query
@@ -398,9 +410,7 @@ def review_decisions(spark, sf):
         F.col("id").alias("lote_id"),
         F.when(F.col("estado") == "revision", "publicar").otherwise("descartar").alias("accion"),
     )
-    books = A.libros(spark, sf)
-    edited, _ = lifecycle.apply_edits(books, lifecycle.review_edits(books, decisions, _now()))
-    return _book_state(edited)
+    return _book_state(lifecycle.review_books(A.libros(spark, sf), decisions, _now()))
 
 
 def _waiting(spark, sf, estado):
@@ -475,16 +485,14 @@ def mark_sold(spark, sf):
     """Sell every published book that was restored to its raw reading."""
     books = A.libros(spark, sf)
     ids = catalog.public_books(books).select("id")
-    sold, _ = lifecycle.apply_edits(books, lifecycle.mark_sold(books, ids, _now()))
-    return _book_state(sold)
+    return _book_state(lifecycle.sell_books(books, ids, _now()))
 
 
 @query
 def restore_raw(spark, sf):
     books = A.libros(spark, sf)
     ids = books.filter(catalog.was_corrected()).select("id")
-    restored, _ = lifecycle.apply_edits(books, lifecycle.restore_raw(books, ids, _now()))
-    return restored.select("id", "titulo", "autor", "estado")
+    return lifecycle.restored_books(books, ids, _now()).select("id", "titulo", "autor", "estado")
 
 
 @query
@@ -569,6 +577,11 @@ def retention(spark, sf):
     return cohorts.retention(A.librerias(spark, sf), A.lotes(spark, sf), A.eventos(spark, sf))
 
 
+@query
+def retention_flags(spark, sf):
+    return cohorts.retention_flags(A.librerias(spark, sf), A.lotes(spark, sf), A.eventos(spark, sf))
+
+
 @query
 def cycles(spark, sf):
     return cohorts.cycles(A.libros(spark, sf))
@@ -588,7 +601,7 @@ def shop_signal(spark, sf):
 
 
 def _evaluated(spark, sf):
-    return responses.book_rows(responses.read(A.respuestas(spark, sf), lenient=True))
+    return responses.books(responses.read(A.respuestas(spark, sf), lenient=True))
 
 
 @query
@@ -600,14 +613,12 @@ def truth_flatten(spark, sf):
 
 @query
 def title_match_pairs(spark, sf):
-    return quality.title_match_pairs(
-        _evaluated(spark, sf), files.truth_rows(A.verdad(spark, sf))
-    )
+    return quality.title_match_pairs(_evaluated(spark, sf), files.truth_photos(A.verdad(spark, sf)))
 
 
 @query
 def greedy_assignment(spark, sf):
-    rows = quality.assigned(_evaluated(spark, sf), files.truth_rows(A.verdad(spark, sf)))
+    rows = quality.assigned(_evaluated(spark, sf), files.truth_photos(A.verdad(spark, sf)))
     answered = rows.filter(F.col("motivo").isNull())
     return answered.select(
         "modelo", "foto", F.posexplode("elegido").alias("pos_esperado", "elegido")
@@ -616,13 +627,12 @@ def greedy_assignment(spark, sf):
 
 @query
 def extraction_scores(spark, sf):
-    return quality.scores(_evaluated(spark, sf), files.truth_rows(A.verdad(spark, sf)))
+    return quality.scores(_evaluated(spark, sf), files.truth_photos(A.verdad(spark, sf)))
 
 
 @query
 def image_metrics(spark, sf):
-    answers = _answers(spark, sf)
-    return quality.image_metrics(answers).orderBy(F.desc("cant_libros"), "foto_id", "modelo")
+    return quality.image_metrics(_answers(spark, sf))
 
 
 @query
@@ -633,25 +643,23 @@ def study_cost(spark, sf):
 
 @query
 def guardrail_crosstab(spark, sf):
-    """Bands scaled to the test photos, which show one to nine books."""
+    """Bands scaled to the test photos, which show a few books; the outer bands are open."""
     answers = _answers(spark, sf)
-    return quality.guard_crosstab(quality.image_metrics(answers), [(1, 1), (2, 2), (3, 9)])
+    return quality.guard_crosstab(quality.image_metrics(answers), [(2, 2), (3, 3)])
 
 
 @query
-def variant_pivot(spark, sf):
+def variant_results(spark, sf):
     """Photos of a batch stand for the retouched versions of one photo."""
-    answers = _answers(spark, sf)
-    variants = F.array(*[F.lit(v) for v in ["", " [bn]", " [mas_contraste]", " [mas_brillo]"]])
-    rows = quality.image_metrics(answers).withColumn(
+    names = F.array(*[F.lit(v) for v in ["", " [bn]", " [mas_contraste]", " [mas_brillo]", " [otra]"]])
+    photo = F.col("foto_id")
+    rows = quality.image_metrics(_answers(spark, sf)).withColumn(
         "etiqueta",
         F.concat(
-            F.floor(F.col("foto_id") / 10).cast("string"),
-            F.lit(".jpg"),
-            F.get(variants, (F.col("foto_id") % 4).cast("int")),
+            F.floor(photo / 10).cast("string"), F.lit(".jpg"), F.get(names, (photo % 10 % 5).cast("int"))
         ),
     )
-    return quality.variant_pivot(rows)
+    return quality.variants(rows).select("foto", "variante", "modelo", "cant_libros", "confianza_media", "ok")
 
 
 @query
@@ -714,7 +722,7 @@ def stream_sessions(spark, sf):
     rows = jobs.session_activity(A.stream_eventos(spark, sf))
     jobs.start_table(rows, folder, mode="append").awaitTermination()
     closed = jobs.read_parts(spark, folder + "/datos", rows.schema).drop("epoca")
-    return closed.withColumns({"inicio": stamp("inicio"), "cierre": stamp("cierre")})
+    return jobs.all_sessions(closed, A.eventos(spark, sf)).withColumns({"inicio": stamp("inicio"), "cierre": stamp("cierre")})
 
 
 @query

@@ -33,10 +33,15 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def truth_rows(docs: DataFrame, col: str = "texto") -> DataFrame:
-    """Flatten JSON maps photo -> expected books, keeping the position of each book."""
+def truth_photos(docs: DataFrame, col: str = "texto") -> DataFrame:
+    """Photo and its expected books (array) from JSON maps photo -> expected books."""
     parsed = docs.select(F.from_json(col, schemas.VERDAD).alias("m"))
-    photos = parsed.select(F.explode("m").alias("foto", "esperados"))
+    return parsed.select(F.explode("m").alias("foto", "esperados"))
+
+
+def truth_rows(docs: DataFrame, col: str = "texto") -> DataFrame:
+    """One row per expected book, keeping its position."""
+    photos = truth_photos(docs, col)
     return photos.select("foto", F.posexplode("esperados").alias("pos", "e")).select(
         "foto", "pos", "e.titulo", "e.autor", "e.autor_visible_en_foto", "e.nota"
     )

@@ -64,27 +64,33 @@ def parse(responses: DataFrame, lenient: bool = False) -> tuple[DataFrame, DataF
 _AMBIGUOUS = r"^(true|false|-?[0.]+([eE][+-]?\d+)?)?$"
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """The five members of each book as columns; falsy members become empty or zero."""
-    others = [c for c in rows.columns if c != "libro"]
-    book = F.col("libro")
-    raw = rows.select(
-        *others,
-        "libro",
-        *[F.try_variant_get(book, f"$.{n}", "string").alias(f"s_{n}") for n in TEXTS],
-        F.try_variant_get(book, "$.confianza", "double").alias("d_confianza"),
-    )
+def _words(book: Column, name: str) -> Column:
+    """Text of a member, trimmed; a falsy member is empty."""
+    value = F.try_variant_get(book, f"$.{name}", "string")
+    typed = F.when(P.truthy(book, name), P.shown(book, name)).otherwise(F.lit(""))
+    unsure = value.isNull() | value.rlike(_AMBIGUOUS)
+    return text.strip(F.when(unsure, typed).otherwise(value))
 
-    def words(name: str) -> Column:
-        value = F.col(f"s_{name}")
-        typed = F.when(P.truthy(book, name), P.shown(book, name)).otherwise(F.lit(""))
-        unsure = value.isNull() | value.rlike(_AMBIGUOUS)
-        return text.strip(F.when(unsure, typed).otherwise(value)).alias(name)
 
-    level = F.when(F.col("d_confianza").isNotNull(), F.col("d_confianza")).when(
-        ~P.truthy(book, "confianza"), F.lit(0.0)
-    )
-    return raw.select(*others, *[words(name) for name in TEXTS], level.alias("confianza"))
+def _filled(book: Column, name: str) -> Column:
+    """Truth of a text member as it stands, before trimming: blanks are a value."""
+    value = F.try_variant_get(book, f"$.{name}", "string")
+    unsure = value.isNull() | value.rlike(_AMBIGUOUS)
+    return F.when(unsure, P.truthy(book, name)).otherwise(F.lit(True))
+
+
+def _level(book: Column) -> Column:
+    number = F.try_variant_get(book, "$.confianza", "double")
+    return F.when(number.isNotNull(), number).when(~P.truthy(book, "confianza"), F.lit(0.0))
+
+
+def _made_up(corrected: Column, detected: Column) -> Column:
+    """An author without a person on the spine."""
+    return (corrected != "") & ~text.looks_like_person(detected)
+
+
+def _capped(level: Column) -> Column:
+    return F.when(level.isNotNull(), F.least(level, F.lit(schemas.GUARD_CONFIDENCE)))
 
 
 def guard_author(rows: DataFrame) -> DataFrame:
@@ -92,53 +98,74 @@ def guard_author(rows: DataFrame) -> DataFrame:
 
     The dropped name is kept apart and the confidence capped, so that review marks it.
     """
-    made_up = (F.col("autor_corregido") != "") & ~text.looks_like_person("autor_detectado")
+    author, level = F.col("autor_corregido"), F.col("confianza")
     return (
-        rows.withColumn("frenado", made_up)
-        .withColumn("autor_descartado", F.when(F.col("frenado"), F.col("autor_corregido")))
-        .withColumn(
-            "autor_corregido",
-            F.when(F.col("frenado"), F.lit("")).otherwise(F.col("autor_corregido")),
-        )
-        .withColumn(
-            "confianza",
-            F.when(
-                F.col("frenado") & F.col("confianza").isNotNull(),
-                F.least(F.col("confianza"), F.lit(schemas.GUARD_CONFIDENCE)),
-            ).otherwise(F.col("confianza")),
-        )
+        rows.withColumn("frenado", _made_up(author, F.col("autor_detectado")))
+        .withColumn("autor_descartado", F.when(F.col("frenado"), author))
+        .withColumn("autor_corregido", F.when(F.col("frenado"), F.lit("")).otherwise(author))
+        .withColumn("confianza", F.when(F.col("frenado"), _capped(level)).otherwise(level))
         .drop("frenado")
     )
 
 
-def _detected(answers: DataFrame) -> DataFrame:
-    photo = [c for c in answers.columns if c != LIST]
-    exploded = answers.select(*photo, F.posexplode_outer(LIST).alias("pos", "libro"))
-    objects = exploded.withColumn("pos", F.when(_is_object(F.col("libro")), F.col("pos")))
-    return _members(objects)
+def books(answers: DataFrame) -> DataFrame:
+    """``read`` answers with ``libros`` as guarded books, one struct for each JSON object.
 
+    ``pos`` is the place in the answer's list; ``titulo`` the corrected title or, where that
+    member is falsy, the detected one. An answer stays one row; a failed one has no books.
+    """
+    objects = F.filter(F.transform(LIST, lambda v, i: F.struct(i.alias("pos"), v.alias("v"))), lambda x: _is_object(x["v"]))
+    plain = F.transform(
+        objects,
+        lambda x: F.struct(
+            x["pos"].alias("pos"),
+            *[_words(x["v"], name).alias(name) for name in TEXTS],
+            _filled(x["v"], "titulo_corregido").alias("hay"),
+            _level(x["v"]).alias("confianza"),
+        ),
+    )
+    marked = F.transform(
+        plain,
+        lambda b: F.struct(b.alias("b"), _made_up(b["autor_corregido"], b["autor_detectado"]).alias("frenado")),
+    )
+    guarded = F.transform(
+        marked,
+        lambda m: F.struct(
+            m["b"]["pos"].alias("pos"),
+            F.when(m["b"]["hay"], m["b"]["titulo_corregido"]).otherwise(m["b"]["titulo_detectado"]).alias("titulo"),
+            F.when(m["frenado"], F.lit("")).otherwise(m["b"]["autor_corregido"]).alias("autor"),
+            F.when(m["frenado"], _capped(m["b"]["confianza"])).otherwise(m["b"]["confianza"]).alias("confianza"),
+            F.when(m["frenado"], m["b"]["autor_corregido"]).alias("autor_descartado"),
+        ),
+    )
+    return answers.withColumn(LIST, F.coalesce(guarded, F.array().cast(guarded_type())))
 
-def book_rows(answers: DataFrame) -> DataFrame:
-    """One guarded row per detected book of ``read`` answers.
 
-    ``pos`` is NULL in the single row that an answer without books, or a failed one, keeps and
-    in rows of list elements that are no objects. No filter stands on the parsed list: it
-    would be pushed below the parsing and parse every text twice.
-    """
-    return guard_author(_detected(answers))
+def guarded_type() -> str:
+    return "array<struct<pos:int,titulo:string,autor:string,confianza:double,autor_descartado:string>>"
 
 
 def readings(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per usable detected book, rows whose confidence is not a number)."""
-    usable = _detected(answers).filter(
-        F.col("pos").isNotNull() & (F.col("titulo_detectado") != "")
+    """(one row per usable detected book, rows whose confidence is not a number).
+
+    No filter stands on the parsed list: it would be pushed below the parsing and parse every
+    text twice.
+    """
+    photo = [c for c in answers.columns if c != LIST]
+    exploded = answers.select(*photo, F.posexplode_outer(LIST).alias("pos", "libro"))
+    book = F.col("libro")
+    rows = exploded.select(
+        *photo,
+        F.when(_is_object(book), F.col("pos")).alias("pos"),
+        *[_words(book, name).alias(name) for name in TEXTS],
+        _filled(book, "titulo_corregido").alias("hay"),
+        _level(book).alias("confianza"),
     )
+    usable = rows.filter(F.col("pos").isNotNull() & (F.col("titulo_detectado") != ""))
+    title = F.when(F.col("hay"), F.col("titulo_corregido")).otherwise(F.col("titulo_detectado"))
     bad = F.col("confianza").isNull()
 
-    def finish(rows: DataFrame) -> DataFrame:
-        return guard_author(rows).withColumn(
-            "titulo_corregido",
-            F.coalesce(F.nullif("titulo_corregido", F.lit("")), F.col("titulo_detectado")),
-        )
+    def finish(part: DataFrame) -> DataFrame:
+        return guard_author(part).withColumn("titulo_corregido", title).drop("hay")
 
     return finish(usable.filter(~bad)), finish(usable.filter(bad))

@@ -38,7 +38,7 @@ def build(spark, worlds):
         "modelo string, lote_id long, foto_id long, texto string, costo double, latencia_ms long",
     )
     ts = spark.createDataFrame([(json.dumps(truth),)], "texto string")
-    return responses.book_rows(responses.read(rs, lenient=True)), files.truth_rows(ts)
+    return responses.books(responses.read(rs, lenient=True)), files.truth_photos(ts)
 
 
 def test_greedy_assignment_matches_the_loop(spark):
@@ -85,7 +85,39 @@ def test_image_metrics_and_bands(spark):
     assert (rows[1].cant_libros, rows[1].confianza_media) == (6, 0.5)
     assert (rows[2].cant_libros, rows[2].confianza_media) == (0, 0.0)
     table = quality.guard_crosstab(quality.image_metrics(books)).collect()
-    assert sorted((r.banda, r.fotos, r.alto, r.bajo) for r in table) == [("14-19", 1, 0, 1), ("5-13", 1, 0, 1)]
+    assert sorted((r.banda, r.fotos, r.alto, r.medio, r.bajo) for r in table) == [
+        ("14-19", 1, 0, 0, 1), ("5-13", 1, 0, 0, 1), ("<5", 1, 0, 0, 1),
+    ]
+
+
+def test_bands_count_every_photo_once(spark):
+    rows = [(n, d) for n in range(40) for d in range(0, n + 1, 3)]
+    df = spark.createDataFrame(rows, "cant_libros int, guardrail_disparado int")
+    for bands in (None, [(2, 2), (5, 7)]):
+        table = quality.guard_crosstab(df, bands).collect()
+        assert sum(r.fotos for r in table) == len(rows)
+        assert all(r.alto + r.medio + r.bajo == r.fotos for r in table)
+
+
+def test_failed_answers_keep_a_row_without_cost(spark):
+    books, _ = build(spark, [(1, [], [("a", "b")]), (2, [], None)])
+    rows = {r.foto_id: r for r in quality.image_metrics(books).collect()}
+    assert (rows[2].ok, rows[2].cant_libros, rows[2].costo, rows[2].latencia_ms) == (False, 0, 0.0, 102)
+    assert (rows[1].ok, rows[1].costo) == (True, 0.25)
+
+
+def test_two_answers_to_one_photo_are_scored_apart(spark):
+    one, truth = build(spark, [(1, [("Uno", "", False)], [("Uno", "")])])
+    row = quality.scores(one.unionByName(one), truth).first()
+    assert (row.titulos_ok, row.titulos_total, row.libros_devueltos, row.costo) == (2, 2, 2, 0.5)
+    assert [r.cant_libros for r in quality.image_metrics(one.unionByName(one)).collect()] == [1, 1]
+
+
+def test_blank_corrected_title_is_no_title(spark):
+    books, truth = build(spark, [(1, [("leido", "", False)], [("   ", "")])])
+    assert quality.scores(books, truth).first().titulos_ok == 0
+    books, truth = build(spark, [(1, [("leido", "", False)], [("", "")])])
+    assert quality.scores(books, truth).first().titulos_ok == 1
 
 
 def test_variants(spark):
@@ -93,8 +125,8 @@ def test_variants(spark):
         [("f.jpg", 25, 0.82), ("f.jpg [bn]", 26, 0.87), ("f.jpg [mas_brillo]", 32, 0.79)],
         "etiqueta string, cant_libros int, confianza_media double",
     )
-    row = quality.variant_pivot(df).first()
-    assert (row.foto, row.original_libros, row.bn_confianza, row.mas_brillo_libros, row.mas_contraste_libros) == ("f.jpg", 25, 0.87, 32, None)
+    rows = sorted((r.foto, r.variante, r.cant_libros) for r in quality.variants(df).collect())
+    assert rows == [("f.jpg", "bn", 26), ("f.jpg", "mas_brillo", 32), ("f.jpg", "original", 25)]
 
 
 def test_copies_keep_the_first_name(spark, tmp_path):
