@@ -387,6 +387,52 @@ define(
     recursive=True,
 )
 
+# The same walk over the answers of waiting batches; the catalogue stands before the first step.
+_WAITING = f""", claves AS MATERIALIZED (SELECT d.foto_id * 1048576 + d.pos AS id, l.libreria_id, d.lote_id, d.foto_id,
+        d.titulo_detectado AS titulo_raw, d.autor_detectado AS autor_raw, d.titulo_corregido AS titulo,
+        d.autor_corregido AS autor, d.confianza, d.foto_id % 10 AS orden,
+        {key('titulo_corregido')} AS kt, {main_title('titulo_corregido')} AS km, {key('autor_corregido')} AS ka
+      FROM detecciones d JOIN lotes l ON l.id = d.lote_id WHERE l.estado = 'procesando'),
+    catalogo AS MATERIALIZED (SELECT b.id, b.libreria_id, b.lote_id, {key('titulo')} AS kt,
+        {main_title('titulo')} AS km, {key('autor')} AS ka,
+        1 - row_number() OVER (PARTITION BY b.libreria_id ORDER BY b.id DESC) AS paso
+      FROM libros b JOIN lotes l ON l.id = b.lote_id WHERE l.estado <> 'procesando'
+        AND b.archivado_en IS NULL AND b.estado IN ('pendiente', 'publicado', 'vendido')),"""
+_PROCESS = _WAITING + _WALK[_WALK.index("fila AS MATERIALIZED") :].replace(
+    """      SELECT paso, libreria_id, id, lote_id, kt, km, ka, CAST(NULL AS BIGINT), true
+      FROM fila WHERE paso = 1""",
+    """      SELECT paso, libreria_id, id, lote_id, kt, km, ka, CAST(NULL AS BIGINT), true
+      FROM catalogo""",
+)
+define(
+    "process_batches_books",
+    ["detecciones", "libros", "lotes"],
+    f"""{_PROCESS} SELECT c.id, c.libreria_id, c.lote_id, c.foto_id, c.titulo_raw, c.autor_raw, c.titulo, c.autor,
+    c.confianza, CASE WHEN m.viejo IS NULL THEN 'pendiente' ELSE 'descartado' END AS estado,
+    m.viejo AS duplicado_de FROM marcha m JOIN claves c ON c.id = m.id WHERE m.queda AND m.paso > 0""",
+    recursive=True,
+)
+define(
+    "process_batches_state",
+    ["lotes"],
+    """SELECT id, libreria_id, CASE estado WHEN 'procesando' THEN 'revision' ELSE estado END AS estado,
+    cant_fotos FROM lotes""",
+)
+define(
+    "process_batches_counters",
+    ["detecciones", "libros", "lotes"],
+    f"""{_PROCESS} SELECT l.id AS lote_id, l.libreria_id, count(m.id) FILTER (m.viejo IS NULL) AS nuevos,
+    count(m.viejo) AS duplicados FROM lotes l LEFT JOIN marcha m ON m.lote_id = l.id AND m.queda AND m.paso > 0
+    WHERE l.estado = 'procesando' GROUP BY l.id, l.libreria_id""",
+    recursive=True,
+)
+define(
+    "process_batches_failed",
+    ["respuestas", "lotes"],
+    """SELECT r.foto_id, r.lote_id, 'json' AS motivo FROM respuestas r JOIN lotes l ON l.id = r.lote_id
+    WHERE l.estado = 'procesando' AND NOT legible""",
+)
+
 # --- intake -------------------------------------------------------------------------------
 
 _PUBLIC_TYPES = "('vista', 'busqueda', 'clic_whatsapp', 'scan_qr')"

@@ -17,6 +17,7 @@ from spinecat.operators import (
     lifecycle,
     metrics,
     pages,
+    processing,
     quality,
     search,
 )
@@ -329,6 +330,40 @@ def dedup_counters(spark, sf):
     return dedup.batch_counters(_rebuilt(spark, sf))
 
 
+def _processed(spark, sf):
+    """The answers of waiting batches against the books of all others."""
+    batches = A.lotes(spark, sf)
+    waiting = batches.filter(F.col("estado") == "procesando").select(F.col("id").alias("lote_id"))
+    books = A.libros(spark, sf).join(waiting, "lote_id", "left_anti")
+    return processing.process_batches(
+        A.respuestas(spark, sf), A.fotos(spark, sf), batches, books, _now()
+    )
+
+
+@query
+def process_batches_books(spark, sf):
+    new, _, _, _ = _processed(spark, sf)
+    return new.drop("creado_en", "publicado_en", "vendido_en", "archivado_en")
+
+
+@query
+def process_batches_state(spark, sf):
+    _, batches, _, _ = _processed(spark, sf)
+    return batches.select("id", "libreria_id", "estado", "cant_fotos")
+
+
+@query
+def process_batches_counters(spark, sf):
+    _, _, counters, _ = _processed(spark, sf)
+    return counters
+
+
+@query
+def process_batches_failed(spark, sf):
+    _, _, _, failed = _processed(spark, sf)
+    return failed
+
+
 # --- intake -------------------------------------------------------------------------------
 
 

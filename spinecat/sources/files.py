@@ -16,9 +16,29 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Rows in the full layout of a table, as its defaults complete them.
+
+    Without an id every row gets one of its own, which is fixed once the rows are written; without
+    a creation time it is now, for ``activa`` it is true; other missing columns are NULL.
+    """
+    defaults = {
+        "id": F.xxhash64(F.monotonically_increasing_id(), F.uuid()).bitwiseAND(F.lit((1 << 62) - 1)),
+        "creado_en": F.current_timestamp(),
+        "activa": F.lit(True),
+    }
+    return df.select(
+        *[
+            (F.col(f.name) if f.name in df.columns else defaults.get(f.name, F.lit(None)))
+            .cast(f.dataType)
+            .alias(f.name)
+            for f in schemas.TABLES[name]
+        ]
+    )
+
+
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
-    columns = [f.name for f in schemas.TABLES[name].fields]
-    df.select(*columns).write.mode(mode).parquet(f"{root}/{name}")
+    stored(df, name).write.mode(mode).parquet(f"{root}/{name}")
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:
