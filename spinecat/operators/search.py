@@ -27,16 +27,20 @@ def _pieces(col: Column, size: int) -> Column:
 
 
 def _face_pieces(faces: DataFrame, sizes: list[int]) -> DataFrame:
+    """(libreria_id, cara, pieza): the texts themselves stay behind."""
     parts = [_pieces(F.col(c), size) for c in ("t", "a") for size in sizes]
-    return faces.withColumn("pieza", F.explode(F.array_distinct(F.concat(*parts))))
+    return faces.select(
+        "libreria_id", "cara", F.explode(F.array_distinct(F.concat(*parts))).alias("pieza")
+    )
 
 
 def _prepare(
     queries: DataFrame, books: DataFrame, form: Callable[[Column | str], Column]
 ) -> tuple[DataFrame, DataFrame]:
+    """Entries with their term, and books with their texts and a number for these (``cara``)."""
     asked = queries.withColumn("termino", form("q"))
     shelf = books.withColumns({"t": form("titulo"), "a": form("autor")})
-    return asked, shelf
+    return asked, shelf.withColumn("cara", F.xxhash64("t", "a"))
 
 
 def _offered(faces: DataFrame, terms: DataFrame) -> DataFrame:
@@ -49,29 +53,32 @@ def _offered(faces: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def _chosen_pieces(terms: DataFrame, faces: DataFrame) -> DataFrame:
-    """Each term with the one of its pieces that the fewest texts of the shop contain."""
+def _matches(terms: DataFrame, faces: DataFrame) -> DataFrame:
+    """Faces with the terms that occur in their title or author.
+
+    The pieces are built once and kept where some term has them. Each term asks with the one of
+    its pieces that the fewest texts of the shop contain. Only face numbers travel with the
+    pieces; the texts are joined back for the check.
+    """
     keys = ["libreria_id", "pieza"]
     own = F.when(F.length("termino") < GRAM, F.array("termino")).otherwise(
         F.array_distinct(_pieces(F.col("termino"), GRAM))
     )
     asked = terms.withColumn("pieza", F.explode(own))
-    wanted = join_unique(_offered(faces, terms), asked.select(*keys).distinct(), keys, "left_semi")
+    wanted = materialise(
+        join_unique(_offered(faces, terms), asked.select(*keys).distinct(), keys, "left_semi")
+    )
     frequency = wanted.groupBy(*keys).agg(F.count("*").alias("veces"))
     # A piece the shop does not have sorts first and then simply finds no partner.
     rarest = F.min_by("pieza", F.struct(F.coalesce("veces", F.lit(0)), "pieza"))
-    return (
+    chosen = (
         join_unique(asked, frequency, keys)
         .groupBy("libreria_id", "termino")
         .agg(rarest.alias("pieza"))
     )
-
-
-def _matches(terms: DataFrame, faces: DataFrame) -> DataFrame:
-    """(libreria_id, termino) x (t, a) pairs where the term occurs in title or author."""
-    chosen = materialise(_chosen_pieces(terms, faces))
-    found = _offered(faces, chosen).join(chosen, ["libreria_id", "pieza"])
-    return found.filter(F.contains("t", "termino") | F.contains("a", "termino")).drop("pieza")
+    pairs = wanted.join(chosen, keys).select("libreria_id", "cara", "termino")
+    found = pairs.join(faces, ["libreria_id", "cara"])
+    return found.filter(F.contains("t", "termino") | F.contains("a", "termino"))
 
 
 def result_counts(
@@ -82,7 +89,7 @@ def result_counts(
 ) -> DataFrame:
     """Number of results of each entry, as the search events record it."""
     asked, shelf = _prepare(queries, books, form)
-    faces = shelf.groupBy("libreria_id", "t", "a").agg(F.count("*").alias("n"))
+    faces = shelf.groupBy("libreria_id", "cara", "t", "a").agg(F.count("*").alias("n"))
     terms = asked.filter(F.col("termino") != "").select("libreria_id", "termino").distinct()
     counts = _matches(terms, faces).groupBy("libreria_id", "termino").agg(
         F.sum("n").alias("resultados")
@@ -104,10 +111,11 @@ def hits(
 ) -> DataFrame:
     """Books found by each distinct term of a shop."""
     asked, shelf = _prepare(queries, books, form)
-    faces = shelf.select("libreria_id", "t", "a").distinct()
+    faces = shelf.select("libreria_id", "cara", "t", "a").distinct()
     terms = asked.filter(F.col("termino") != "").select("libreria_id", "termino").distinct()
     return (
         _matches(terms, faces)
-        .join(shelf.select("libreria_id", "t", "a", "id"), ["libreria_id", "t", "a"])
+        .select("libreria_id", "termino", "cara", "t", "a")
+        .join(shelf.select("libreria_id", "cara", "t", "a", "id"), ["libreria_id", "cara", "t", "a"])
         .select("libreria_id", "termino", "id")
     )

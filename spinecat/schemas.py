@@ -33,10 +33,12 @@ _TYPES = {
 
 
 def _struct(spec: str) -> T.StructType:
+    """Like ``StructType.fromDDL``, which needs a running session and so cannot be used here."""
     fields = [part.split() for part in spec.split(",")]
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
+# Layouts of the stored tables and of the exchanged records.
 LIBRERIAS = _struct(
     "id BIGINT, slug STRING, nombre STRING, whatsapp STRING, mensaje_wa_template STRING, "
     "creado_en TIMESTAMP, activa BOOLEAN"
