@@ -6,7 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from spinecat.operators import metrics, quality, search
+from spinecat.operators import cohorts, lifecycle, metrics, pages, quality, search
 from spinecat.plans import adapters as A
 
 
@@ -70,3 +70,48 @@ def test_catalogue_filter_reaches_the_scan(spark):
     lines = A.table(spark, "/root/testdata/sf0.001", "lineitem")
     text = plan(lines.filter(F.col("l_returnflag") == "R").select("l_orderkey"))
     assert "EqualTo(l_returnflag,R)" in text and "ReadSchema: struct<l_orderkey:bigint,l_returnflag:string>" in text
+
+
+def test_a_hot_shop_is_split_when_shops_are_deleted(eager_skew, tmp_path):
+    """Two thirds of the events belong to one shop; a third of all goes with the deleted ones."""
+    path = str(tmp_path / "e")
+    eager_skew.range(0, 40_000, 1, 8).select(
+        "id",
+        F.when(F.col("id") % 3 != 0, F.lit(-1)).otherwise(F.col("id") % 50).cast("long").alias("libreria_id"),
+        F.md5(F.col("id").cast("string")).alias("payload"),
+    ).write.parquet(path)
+    events = eager_skew.read.parquet(path)
+    none = eager_skew.createDataFrame([], "id long, libreria_id long, lote_id long, foto_id long, duplicado_de long")
+    tables = {
+        "librerias": eager_skew.range(-1, 50),
+        "lotes": none.select("id", "libreria_id"),
+        "fotos": none.select("id", "lote_id"),
+        "libros": none,
+        "eventos": events,
+    }
+    left = lifecycle.delete_shops(tables, eager_skew.range(0, 50))["eventos"]
+    assert {r[0] for r in left.select("libreria_id").distinct().collect()} == {-1}
+    assert len(left.collect()) == 26_666
+    assert "skew=true" in plan(left)
+
+
+def test_a_hot_shop_is_numbered_by_many_tasks(eager_skew):
+    rows = eager_skew.range(0, 20_000, 1, 8).select(
+        "id", F.lit("s").alias("slug"), F.md5(F.col("id").cast("string")).alias("titulo")
+    )
+    fixed = pages.ranged(rows, ["slug"], ["titulo", "id"])
+    assert fixed.groupBy("tramo").count().filter("count > 10000").count() == 0
+    got = pages.numbered(rows, ["slug"], ["titulo", "id"]).orderBy("titulo", "id").collect()
+    assert [r.numero for r in got] == list(range(1, 20_001))
+
+
+def test_an_import_of_one_day_is_spread_over_ranges(spark):
+    """All batches of a shop on one day; each one's gap is to the next."""
+    batches = spark.range(0, 10_000, 1, 8).select(
+        "id",
+        F.lit(1).cast("long").alias("libreria_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3).alias("creado_en"),
+    )
+    gaps = {r.id: r.horas_al_siguiente for r in cohorts.batch_gaps(batches).collect()}
+    assert gaps.pop(9_999) is None
+    assert len(gaps) == 9_999 and set(gaps.values()) == {3 / 3600}
