@@ -261,6 +261,18 @@ def message(template: Column | str, title: Column | str, author: Column | str) -
     return _first(_first(base, "{titulo}", or_empty(title)), "{autor}", author)
 
 
+# What a visitor writes when a search finds nothing, or before any search.
+NOT_FOUND = 'Hola! Busqué "{q}" en tu catálogo y no lo encontré. ¿Lo tenés igual o me avisás si lo conseguís?'
+NO_SEARCH = "Hola! Quería consultarte por un libro que no encontré en tu catálogo."
+
+
+def not_found_message(q: Column | str) -> Column:
+    """Consultation text for a search without result; blank entries get the general one."""
+    entry = strip(or_empty(q))
+    head, tail = NOT_FOUND.split("{q}")
+    return F.when(entry == "", F.lit(NO_SEARCH)).otherwise(F.concat(F.lit(head), entry, F.lit(tail)))
+
+
 def url_component(col: Column | str) -> Column:
     """Percent-encode as browsers do for a URI component."""
     encoded = F.url_encode(_text(col))

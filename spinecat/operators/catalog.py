@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinecat import schemas
@@ -186,6 +186,25 @@ def owned(requests: DataFrame, things: DataFrame) -> tuple[DataFrame, DataFrame]
     )
 
 
+def not_found_links(shops: DataFrame, searches: DataFrame) -> DataFrame:
+    """Generic consultation link of each search (consulta_id, libreria_id, q, resultados) that found nothing."""
+    info = active(shops).select(F.col("id").alias("libreria_id"), "whatsapp")
+    rows = searches.filter(F.col("resultados") == 0).join(info, "libreria_id")
+    said = text.not_found_message("q")
+    return rows.select(
+        "consulta_id",
+        "libreria_id",
+        said.alias("mensaje"),
+        text.whatsapp_link("whatsapp", said).alias("enlace"),
+    )
+
+
+def photos_in_order(photos: DataFrame) -> DataFrame:
+    """Photos of each batch with their place in the review; a batch has at most ten."""
+    order = Window.partitionBy("lote_id").orderBy("orden", "id")
+    return photos.select("id", "lote_id", "path", "orden", F.row_number().over(order).alias("puesto"))
+
+
 def consult_links(
     shops: DataFrame, books: DataFrame, base: str = "https://example.org"
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spinecat.functions import text
 from spinecat.plans.oracle_views import (
     TEMPLATE,
     VIEWS,
@@ -12,7 +13,6 @@ from spinecat.plans.oracle_views import (
     nothing,
     search_form,
     slug,
-    text_member,
     with_views,
 )
 
@@ -178,6 +178,28 @@ define(
           FROM libros b JOIN librerias l ON l.id = libreria_id WHERE activa AND {PUBLIC})""",
 )
 
+_NOT_FOUND, _NO_SEARCH = (x.replace("'", "''") for x in (text.NOT_FOUND, text.NO_SEARCH))
+define(
+    "not_found_links",
+    ["librerias", "consultas", "libros"],
+    f"""SELECT consulta_id, libreria_id, mensaje, 'https://wa.me/' || whatsapp || '?text=' ||
+        replace(replace(replace(replace(replace(url_encode(mensaje), '%21', '!'), '%27', ''''),
+            '%28', '('), '%29', ')'), '%2A', '*') AS enlace
+    FROM (SELECT c.consulta_id, c.libreria_id, l.whatsapp, CASE WHEN trim(c.q) = '' THEN '{_NO_SEARCH}'
+            ELSE replace('{_NOT_FOUND}', '{{q}}', trim(c.q)) END AS mensaje
+          FROM (SELECT *, {search_form('q')} AS termino FROM consultas) c
+          JOIN librerias l ON l.id = c.libreria_id AND l.activa
+          WHERE NOT EXISTS (SELECT 1 FROM libros b WHERE b.libreria_id = c.libreria_id AND {PUBLIC}
+            AND c.termino <> '' AND (contains({search_form('b.titulo')}, c.termino)
+              OR contains({search_form('b.autor')}, c.termino))))""",
+)
+define(
+    "photos_in_order",
+    ["fotos"],
+    """SELECT id, lote_id, path, orden, row_number() OVER (PARTITION BY lote_id ORDER BY orden, id)::INT
+    AS puesto FROM fotos""",
+)
+
 # --- metrics ------------------------------------------------------------------------------
 
 STOCK = """SELECT libreria_id,
@@ -881,6 +903,8 @@ STATEMENTS["call_log_economics"] = f"""SELECT modelo, count(*) AS llamadas,
     sum(latencia_ms) / count(*) AS latencia_media, max(latencia_ms) AS latencia_max,
     sum(tokens_entrada)::BIGINT AS tokens_entrada, sum(tokens_salida)::BIGINT AS tokens_salida,
     round(sum(costo), 6) AS costo FROM ({_CALL_ROWS}) WHERE modelo IS NOT NULL GROUP BY modelo"""
+STATEMENTS["latency_percentiles"] = f"""SELECT modelo, quantile_disc(latencia_ms, 0.5)::BIGINT AS p50,
+    quantile_disc(latencia_ms, 0.95)::BIGINT AS p95 FROM ({_CALL_ROWS}) WHERE modelo IS NOT NULL GROUP BY modelo"""
 STATEMENTS["batch_costs"] = f"""SELECT count(*) FILTER (clase = 'lote_procesado') AS lotes,
     sum(nuevos)::BIGINT AS nuevos, sum(duplicados)::BIGINT AS duplicados,
     round(sum(costo) / count(*) FILTER (clase = 'lote_procesado'), 6) AS costo_por_lote

@@ -169,6 +169,20 @@ def consult_links(spark, sf):
     return catalog.consult_links(A.librerias(spark, sf), A.libros(spark, sf))
 
 
+@query
+def not_found_links(spark, sf):
+    """Searches that found nothing in the public catalogue of their shop."""
+    asked = A.consultas(spark, sf)
+    counted = search.result_counts(asked, catalog.public_books(A.libros(spark, sf)))
+    rows = counted.join(asked.select("consulta_id", "q"), "consulta_id")
+    return catalog.not_found_links(A.librerias(spark, sf), rows)
+
+
+@query
+def photos_in_order(spark, sf):
+    return catalog.photos_in_order(A.fotos(spark, sf))
+
+
 # --- metrics ------------------------------------------------------------------------------
 
 
@@ -702,6 +716,11 @@ def call_log_economics(spark, sf):
     return quality.call_economics(files.parse_log(A.registro_llamadas(spark, sf)))
 
 
+@query
+def latency_percentiles(spark, sf):
+    return quality.latency_percentiles(files.parse_log(A.registro_llamadas(spark, sf)))
+
+
 @query
 def call_log_rows(spark, sf):
     return files.parse_log(A.registro_llamadas(spark, sf))
