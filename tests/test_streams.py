@@ -9,6 +9,7 @@ from test_dedup import AUTHORS, READING, TITLES
 
 from spinecat import schemas
 from spinecat.operators import cohorts, intake
+from spinecat.sources import files
 from spinecat.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 3)
@@ -137,3 +138,22 @@ def test_a_reset_empties_the_index(spark, tmp_path):
     archive = lambda df: df.withColumn("archivado_en", F.current_timestamp())
     jobs.start_dedup(stream, out, current=archive).awaitTermination()
     assert [r.estado for r in jobs.stored_books(spark, out).collect()] == ["pendiente", "pendiente"]
+
+
+def test_dedup_starts_from_a_stored_catalogue(spark, tmp_path):
+    make = lambda i, b, t: spark.createDataFrame(
+        [(i, 1, b, 1, 0, "t", "", t, "", 0.5)], READING
+    )
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    make(11, 5, "Rayuela").write.mode("append").parquet(folder)
+    make(12, 6, "Ficciones").write.mode("append").parquet(folder)
+    old = files.stored(
+        spark.createDataFrame(
+            [(3, 1, 2, "Rayuela", "", "publicado"), (4, 1, 2, "Ficciones", "", "descartado")],
+            "id long, libreria_id long, lote_id long, titulo string, autor string, estado string",
+        ),
+        "libros",
+    )
+    stream = spark.readStream.schema(make(1, 1, "").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    jobs.start_dedup(stream, out, existing=old).awaitTermination()
+    assert {r.id: r.duplicado_de for r in jobs.stored_books(spark, out).collect()} == {11: 3, 12: None}
