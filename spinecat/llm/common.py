@@ -58,6 +58,13 @@ def crc_remainder(column: Column | str, divisor: int) -> Column:
     return (F.crc32(F.encode(text, "UTF-8")) % divisor).cast("int")
 
 
+def in_share(hashed: Column, share: float) -> Column:
+    """Rows whose 64-bit hash lies in the lowest ``share`` of its range."""
+    if share >= 1:
+        return F.lit(True)
+    return F.pmod(hashed, F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))
+
+
 def write_rows(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -99,8 +106,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray):
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    rows = np.searchsorted(offsets, starts, side="right") - 1
-    return starts, ends, rows
+    counts = np.diff(np.searchsorted(starts, offsets))
+    return starts, ends, np.repeat(np.arange(len(counts)), counts)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -140,11 +147,20 @@ def window_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.nd
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    total = np.zeros(n, dtype=np.uint64)
-    for k in range(size):
-        total = mix(total * ODD + words[k : k + n])
+    total = words[:n].copy()
+    for k in range(1, size):
+        total *= ODD
+        total += words[k : k + n]
     first = np.flatnonzero(rows[:n] == rows[size - 1 :])
-    return first, total[first]
+    return first, mix(total[first])
+
+
+def run_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of words [begin, end), the same wherever the run stands."""
+    up, down = _powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
 def cover(firsts: np.ndarray, size: int, n: int) -> np.ndarray:

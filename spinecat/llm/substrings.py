@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from spinecat.llm import common as c
 from spinecat.llm.fm_index import FMIndex
+from spinecat.llm.language import Words
 
 GRAM = 6
 HOT = 4096
@@ -39,16 +40,21 @@ SHARD = 20_000
 def _anchored(hashes: np.ndarray, rows: np.ndarray, window: int):
     """First words of all windows, and for each the place and hash of its anchor."""
     gram = min(GRAM, window)
+    places = window - gram + 1
     at, values = c.window_hashes(hashes, rows, gram)
+    # The low bits make room for the place in the window, so a minimum finds hash and place.
+    low = np.uint64((1 << (places - 1).bit_length()) - 1)
     full = np.zeros(len(hashes), dtype=np.uint64)
-    full[at] = values
+    full[at] = values & ~low
     n = len(hashes) - window + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    best = full[:n].copy()
+    for k in range(1, places):
+        np.minimum(best, full[k : k + n] | np.uint64(k), out=best)
     firsts = np.flatnonzero(rows[:n] == rows[window - 1 :])
-    view = np.lib.stride_tricks.sliding_window_view(full, window - gram + 1)
-    anchors = firsts + view[firsts].argmin(axis=1)
-    return firsts, anchors, full[anchors]
+    best = best[firsts]
+    return firsts, firsts + (best & low).astype(np.int64), best & ~low
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -59,16 +65,21 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             for part, data, offsets in c.slices(batch, "text_"):
                 starts, ends, rows = c.word_spans(data, offsets, c.SPACES)
                 firsts, _, anchors = _anchored(c.word_hashes(data, starts, ends), rows, window)
-                pairs = np.unique(np.stack([rows[firsts].astype(np.uint64), anchors]), axis=1)
-                ids = part.column(0).take(pa.array(pairs[0].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pairs[1].astype(np.int64))], ["id_", "anchor"])
+                own = rows[firsts]
+                change = np.ones(len(firsts), dtype=bool)
+                change[1:] = (anchors[1:] != anchors[:-1]) | (own[1:] != own[:-1])
+                own, anchors = own[change], anchors[change]
+                _, once = np.unique(c.mix(anchors + c.ODD * own.astype(np.uint64)), return_index=True)
+                ids = part.column(0).take(pa.array(own[once]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(anchors[once].view(np.int64))], ["id_", "anchor"])
 
     kind = docs.schema["id_"].dataType.simpleString()
     return docs.filter("id_ is not null").select("id_", "text_").mapInArrow(scan, f"id_ {kind}, anchor long")
 
 
-def _segments(candidates: DataFrame, window: int) -> DataFrame:
-    """(id_, digest_, first, route, text_hash, segment) of all windows with a shared anchor."""
+def _segments(candidates: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """(id_, digest_, first, route, text_hash) of all windows with a shared anchor; or, with the
+    text, (id_, route, text_hash, segment)."""
 
     def scan(batches):
         for batch in batches:
@@ -80,11 +91,11 @@ def _segments(candidates: DataFrame, window: int) -> DataFrame:
                 flat, owner = shared.flatten(), np.asarray(pc.list_parent_indices(shared))
                 known = flat.field("anchor").to_numpy().view(np.uint64)
                 hot = flat.field("hot").to_numpy(zero_copy_only=False)
-                # One number per (row, anchor): both sides are looked up by it, then compared.
+                # One number per (row, anchor), on both sides.
                 keys = c.mix(known + c.ODD * owner.astype(np.uint64))
                 order = np.argsort(keys)
                 mine = c.mix(anchors + c.ODD * rows[firsts].astype(np.uint64))
-                at = order[np.minimum(np.searchsorted(keys, mine, sorter=order), len(keys) - 1)]
+                at = order[np.minimum(np.searchsorted(keys[order], mine), len(keys) - 1)]
                 keep = keys[at] == mine
                 firsts, places, anchors, split = firsts[keep], places[keep], anchors[keep], hot[at[keep]]
                 if not len(firsts):
@@ -92,34 +103,26 @@ def _segments(candidates: DataFrame, window: int) -> DataFrame:
                 new = np.ones(len(firsts), dtype=bool)
                 new[1:] = (places[1:] != places[:-1]) | (firsts[1:] != firsts[:-1] + 1) | split[1:]
                 lead = np.flatnonzero(new)
-                tail = np.append(lead[1:], len(firsts)) - 1
-                begin, end = firsts[lead], firsts[tail] + window
-                route = anchors[lead]
-                raw = data.tobytes()
-                s, e = starts.tolist(), ends.tolist()
-                texts = [b" ".join(raw[s[k] : e[k]] for k in range(a, b)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                digests = [hashlib.blake2b(t, digest_size=8).digest() for t in texts]
-                whole = np.frombuffer(b"".join(digests), dtype="<i8")
-                route = np.where(split[lead], whole.view(np.uint64), route).view(np.int64)
+                begin, end = firsts[lead], firsts[np.append(lead[1:], len(firsts)) - 1] + window
+                whole = c.run_hashes(hashes, begin, end)
+                route = pa.array(np.where(split[lead], whole, anchors[lead]).view(np.int64))
+                whole = pa.array(whole.view(np.int64))
                 row = rows[begin]
-                base = np.searchsorted(rows, np.arange(part.num_rows))
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(take),
-                        part.column(1).take(take),
-                        pa.array((begin - base[row]).astype(np.int64)),
-                        pa.array(route),
-                        pa.array(whole),
-                        pa.array(texts, pa.binary()).cast(pa.string()),
-                    ],
-                    ["id_", "digest_", "first", "route", "text_hash", "segment"],
-                )
+                if with_text:
+                    raw = data.tobytes()
+                    texts = [raw[a:b] for a, b in zip(starts[begin].tolist(), ends[end - 1].tolist(), strict=True)]
+                    own = [part.column(0).take(take), route, whole, pa.array(texts, pa.binary()).cast(pa.string())]
+                    yield pa.RecordBatch.from_arrays(own, ["id_", "route", "text_hash", "segment"])
+                else:
+                    base = np.searchsorted(rows, np.arange(part.num_rows))
+                    first = pa.array((begin - base[row]).astype(np.int64))
+                    own = [part.column(0).take(take), part.column(1).take(take), first, route, whole]
+                    yield pa.RecordBatch.from_arrays(own, ["id_", "digest_", "first", "route", "text_hash"])
 
     kind = candidates.schema["id_"].dataType.simpleString()
-    return candidates.select("id_", "digest_", "text_", "shared").mapInArrow(
-        scan, f"id_ {kind}, digest_ long, first long, route long, text_hash long, segment string"
-    )
+    schema = "route long, text_hash long, segment string" if with_text else "digest_ long, first long, route long, text_hash long"
+    return candidates.select("id_", "digest_", "text_", "shared").mapInArrow(scan, f"id_ {kind}, {schema}")
 
 
 def _search(units: pa.Table, window: int, kind: pa.DataType) -> pa.Table:
@@ -128,16 +131,12 @@ def _search(units: pa.Table, window: int, kind: pa.DataType) -> pa.Table:
     column = units.column("segment").combine_chunks().cast(pa.large_string())
     batch = pa.RecordBatch.from_arrays([column], ["text_"])
     symbols, rows = [], []
-    numbers: dict[bytes, int] = {}
+    numbers = Words()
     at = 0
     for part, data, offsets in c.slices(batch, "text_"):
-        starts, ends, own = c.word_spans(data, offsets, c.SPACES)
-        raw = data.tobytes()
-        words = np.fromiter(
-            (numbers.setdefault(raw[a:b], len(numbers) + 1) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)),
-            np.int64,
-            len(starts),
-        )
+        _, _, own = c.word_spans(data, offsets, c.SPACES)
+        texts = part.column(0).cast(pa.large_binary()).to_pylist()
+        words = np.fromiter(map(numbers.__getitem__, b"\n".join(texts).split()), np.int64, len(own)) + 1
         # A 0 after the words of each row.
         gaps = np.searchsorted(own, np.arange(part.num_rows), side="right")
         symbols.append(np.insert(words, gaps, 0))
@@ -179,10 +178,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     )
     kind = rows.schema["id_"].dataType.simpleString()
     candidates = _candidates(rows, window, hot)
-    segments = _segments(candidates, window)
     units = c.write_rows(
-        segments.groupBy("route", "text_hash").agg(
-            F.min("id_").alias("least"), F.max("id_").alias("last"), F.first("segment").alias("segment")
+        _segments(candidates, window, with_text=True).groupBy("route", "text_hash").agg(
+            F.min("id_").alias("least"), F.first("segment").alias("segment")
         ),
         "segments",
     )
@@ -193,7 +191,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         return _search(table, window, table.schema.field("least").type)
 
     found = dealt.groupBy("shard").applyInArrow(search, f"route long, text_hash long, earliest array<{kind}>")
-    members = segments.select("id_", "digest_", "first", "route", "text_hash").join(found, ["route", "text_hash"])
+    members = _segments(candidates, window, with_text=False).join(found, ["route", "text_hash"])
     later = F.filter(
         F.transform("earliest", lambda x, i: F.when(x < F.col("id_"), F.col("first") + i)), lambda x: x.isNotNull()
     )
@@ -215,12 +213,13 @@ def _candidates(rows: DataFrame, window: int, hot: int) -> DataFrame:
     return c.write_rows(rows.join(by_doc, "id_"), "candidates")
 
 
-def _kept(raw: bytes, row: int, starts, ends, rows, firsts, window: int) -> tuple[int, bytes]:
-    """Number of words removed from a row, and the others joined by spaces."""
-    a, b = np.searchsorted(rows, [row, row + 1])
-    gone = c.cover(np.asarray(firsts, dtype=np.int64), window, b - a)
-    keep = np.flatnonzero(~gone) + a
-    return int(gone.sum()), b" ".join(raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
+def _kept(text: bytes, firsts, window: int) -> tuple[int, int, bytes]:
+    """Words of a text, how many of them are removed, and the others joined by spaces."""
+    words = text.split()  # bytes: ASCII white space only
+    if not firsts:
+        return len(words), 0, b" ".join(words)
+    gone = c.cover(np.asarray(firsts, dtype=np.int64), window, len(words))
+    return len(words), int(gone.sum()), b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x)
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = True) -> DataFrame:
@@ -236,19 +235,18 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         def scan(batches):
             for batch in batches:
                 for part, data, offsets in c.slices(batch, "text_"):
-                    starts, ends, own = c.word_spans(data, offsets, c.SPACES)
-                    raw = data.tobytes()
-                    firsts = part.column(at).to_pylist() if at >= 0 else [[]] * part.num_rows
-                    done = [_kept(raw, k, starts, ends, own, firsts[k], window) for k in range(part.num_rows)]
+                    raw, bounds = data.tobytes(), offsets.tolist()
+                    firsts = part.column(at).to_pylist() if at >= 0 else [None] * part.num_rows
+                    done = [_kept(raw[bounds[k] : bounds[k + 1]], firsts[k], window) for k in range(part.num_rows)]
                     columns = [
                         part.column(0),
                         part.column(1),
-                        pa.array(np.bincount(own, minlength=part.num_rows).astype(np.int64)),
                         pa.array([x[0] for x in done], pa.int64()),
-                        pa.array([hashlib.sha256(x[1]).hexdigest() for x in done], pa.string()),
+                        pa.array([x[1] for x in done], pa.int64()),
+                        pa.array([hashlib.sha256(x[2]).hexdigest() for x in done], pa.string()),
                     ]
                     if with_text:
-                        columns.append(pa.array([x[1] for x in done], pa.binary()).cast(pa.string()))
+                        columns.append(pa.array([x[2] for x in done], pa.binary()).cast(pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, ["id_", "digest_", *out])
 
         return rows.mapInArrow(scan, f"id_ {kind}, digest_ long, {kinds}")
