@@ -8,8 +8,9 @@ overlap by half, all of them are scored, and a text has the score of its highest
 
 Training (on the driver, Adam): rates of words and n-grams come from one part of the labelled
 sample, the network is fitted on the other, so that it sees rates as they are on unseen texts. A
-text's label is learned on its highest window so far, which is looked up anew in every other round. The
-sample is at most ``SAMPLE`` labelled rows, of least hash.
+text's label is learned on its highest window so far, which is looked up anew in every other
+round. The sample is about ``SAMPLE`` labelled rows, chosen by hash, with texts of at most
+``SAMPLE_CHARS`` code points.
 
 A null text, or one without a letter, gets the sample's rate of toxic texts. With no labelled row,
 or labels of one class only, every text gets that rate. A repeated id in the labels counts once
@@ -30,6 +31,8 @@ from spinecat.llm import common as c
 from spinecat.llm.language import WORD, Words
 
 SAMPLE = 6000
+#: Longer texts are scored like others, but not trained on.
+SAMPLE_CHARS = 50_000
 WINDOW, STRIDE = 24, 12
 #: Hash buckets of the rates, and of the embeddings (the low bits of the same hash).
 RATES, EMBEDDINGS = 1 << 18, 1 << 14
@@ -228,23 +231,44 @@ def _highest(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray,
     return top, place
 
 
-def _rates(net: Net, texts: list[np.ndarray], y: np.ndarray, made, n_words: int) -> None:
+#: Words whose n-grams are held at a time.
+CHUNK = 20_000
+
+
+def _grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place of each word in the n-gram buckets (one more at the end), these, and own buckets."""
+    counts, buckets, owns = [], [], []
+    for at in range(0, len(words), CHUNK):
+        part = words[at : at + CHUNK]
+        owners, found, own = grams(part)
+        counts.append(np.bincount(owners, minlength=len(part)))
+        buckets.append(found.astype(np.int32))
+        owns.append(own.astype(np.int32))
+    return np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(buckets), np.concatenate(owns)
+
+
+def _gates_of(net: Net, words: list[str]) -> np.ndarray:
+    """Gate inputs of words, and of the padding after them."""
+    parts = [net.project(net.inputs(words[at : at + CHUNK])[0]) for at in range(0, len(words), CHUNK)]
+    return np.concatenate([*(x[:-1] for x in parts[:-1]), parts[-1]])
+
+
+def _rates(net: Net, texts: list[np.ndarray], y: np.ndarray, made) -> None:
     """Log ratio of the toxic share of texts with a word (n-gram) to the overall share, shrunk."""
-    owners, buckets, own, _ = made
-    order = np.searchsorted(owners, np.arange(n_words + 1))
+    first, buckets, own = made
     share = max(float(y.mean()), 1e-6)
-    for name in ("word_rate", "gram_rate"):
-        hits, alls = np.zeros(RATES), np.zeros(RATES)
-        for ids, label in zip(texts, y.tolist(), strict=True):
-            distinct = np.unique(ids)
-            if name == "word_rate":
-                found = np.unique(own[distinct])
-            else:
-                found = np.unique(np.concatenate([buckets[order[k] : order[k + 1]] for k in distinct.tolist()] or [[]]).astype(np.int64))
+    counts = {name: (np.zeros(RATES), np.zeros(RATES)) for name in ("word_rate", "gram_rate")}
+    for ids, label in zip(texts, y.tolist(), strict=True):
+        distinct = np.unique(ids)
+        sizes = first[distinct + 1] - first[distinct]
+        at = np.repeat(first[distinct] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        for name, found in (("word_rate", own[distinct]), ("gram_rate", buckets[at])):
+            hits, alls = counts[name]
+            found = np.unique(found)
             alls[found] += 1
             hits[found] += label
-        rate = np.log((hits + 8 * share) / (alls + 8)) - np.log(share)
-        setattr(net, name, rate.astype(np.float32))
+    for name, (hits, alls) in counts.items():
+        setattr(net, name, (np.log((hits + 8 * share) / (alls + 8)) - np.log(share)).astype(np.float32))
 
 
 def fit(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, seed: int = 5) -> dict:
@@ -256,16 +280,16 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, seed: int = 5) ->
     words = Words()
     ids = [np.fromiter(map(words.__getitem__, WORD.findall(t)), np.int64) for t in texts]
     net = Net(seed)
-    _, made = net.inputs(words.new)
+    made = _grams_of(words.new)
     first = np.zeros(len(y), dtype=bool)
     for label in (0, 1):
         own = np.flatnonzero(y == label)
         first[rng.permutation(own)[: -(-len(own) // 2)]] = True
-    _rates(net, [ids[k] for k in np.flatnonzero(first)], y[first], made, len(words))
+    _rates(net, [ids[k] for k in np.flatnonzero(first)], y[first], made)
     rest = np.array([k for k in np.flatnonzero(~first) if len(ids[k])], dtype=np.int64)
     if len(rest) and len(set(y[rest].tolist())) == 2:
         _train(net, words, [ids[k] for k in rest], y[rest], rounds, rng)
-    _rates(net, ids, y, made, len(words))
+    _rates(net, ids, y, made)
     return {"net": net, "rate": rate}
 
 
@@ -275,14 +299,13 @@ def _train(net: Net, words: Words, ids: list[np.ndarray], y: np.ndarray, rounds:
     rows, firsts = windows(sizes)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, best = 0, None
-    x, _ = net.inputs(words.new)
-    pool = window_ids(flat, sizes, rows, firsts, len(x))
-    peaks = np.append(x[:, -1] + x[:, -3], -9.0)  # first windows: those with the most telling word
+    pool = window_ids(flat, sizes, rows, firsts, len(words)).astype(np.int32)
+    tell = [net.inputs(words.new[at : at + CHUNK])[0][:, [-1, -3]].sum(axis=1) for at in range(0, len(words), CHUNK)]
+    peaks = np.append(np.concatenate(tell), -9.0)  # first windows: those with the most telling word
     _, best = _highest(rows, peaks[pool].max(axis=1).astype(np.float32), len(sizes))
     for turn in range(rounds):
         if turn % 2:
-            x, _ = net.inputs(words.new)
-            gates = net.project(x)
+            gates = _gates_of(net, words.new)
             logits = np.concatenate([net.forward(gates, pool[a : a + BATCH]) for a in range(0, len(pool), BATCH)])
             _, best = _highest(rows, logits, len(sizes))
         size = 32 if len(y) < 1000 else 64
@@ -303,12 +326,13 @@ def _train(net: Net, words: Words, ids: list[np.ndarray], y: np.ndarray, rounds:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> dict:
-    """Fits on at most ``sample`` labelled rows that are not held out, of least hash."""
+    """Fits on about ``sample`` labelled rows that are not held out, chosen by hash; all if there are fewer."""
     known = labels.filter(F.col(label_col).isNotNull() & ~held_out(id_col)).select(
         F.col(id_col).alias("i_"), F.col(label_col).cast("double").alias("y_")
     )
-    picked = known.orderBy(F.xxhash64("i_", "y_"), "i_").limit(sample)
-    rows = docs.select(F.col(id_col).alias("i_"), F.col(text_col).alias("t_")).join(picked, "i_").filter("t_ is not null")
+    share = sample / max(known.count(), 1)
+    picked = known.filter(c.in_share(F.xxhash64("i_", "y_"), share))
+    rows = docs.select(F.col(id_col).alias("i_"), F.col(text_col).alias("t_")).join(picked, "i_").filter(F.length("t_") <= SAMPLE_CHARS)
     got = sorted((r[0], r[1], r[2]) for r in rows.select("i_", "t_", "y_").collect())
     if not got:
         return {"net": None, "rate": 0.0}
@@ -341,8 +365,8 @@ class Scorer:
         if not len(ids):
             return out
         new, self.words.new = self.words.new, []
-        for at in range(0, len(new), 20_000):
-            gates = self.net.project(self.net.inputs(new[at : at + 20_000])[0])
+        if new:
+            gates = _gates_of(self.net, new)
             self.gates = gates if self.gates is None else np.concatenate([self.gates[:-1], gates])
         rows, _, logits = score_windows(self.net, self.gates, ids, sizes)
         top, place = _highest(rows, logits, len(texts))
