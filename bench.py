@@ -27,7 +27,9 @@ HEADLINE = [
     "response_parse",
     "extraction_scores",
     "document_keys",
+    "process_batches_books",
     "stream_ingest",
+    "stream_dedup",
 ]
 
 
