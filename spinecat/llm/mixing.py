@@ -19,9 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spinecat.llm import common as c
 
 SEED = "mix-1"
 SPLIT = 16.0
+#: Summands of a part; beyond, less than 1e-60 of the distribution is left.
+TERMS = 128
+BROADCAST_SOURCES = 5_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -30,29 +34,26 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def poisson(mean: Column, u: Column) -> Column:
-    """Least k whose Poisson probability of at most k reaches u, for means up to SPLIT.
-
-    The sum runs over 0..127; beyond, less than 1e-60 of the distribution is left.
-    """
-    zero = F.struct(
-        F.exp(-mean).alias("term"), F.exp(-mean).alias("total"), F.lit(0).alias("count")
-    )
+def poisson_sums(mean: Column) -> Column:
+    """Poisson probabilities of at most 0, 1, ... TERMS - 1, for means up to SPLIT."""
+    first = F.exp(-mean)
+    zero = F.struct(first.alias("term"), F.array(first).alias("sums"))
 
     def step(acc, k):
-        more = acc["total"] < u
         term = acc["term"] * mean / k
-        return F.struct(
-            F.when(more, term).otherwise(acc["term"]).alias("term"),
-            F.when(more, acc["total"] + term).otherwise(acc["total"]).alias("total"),
-            F.when(more, acc["count"] + 1).otherwise(acc["count"]).alias("count"),
-        )
+        total = F.element_at(acc["sums"], -1) + term
+        return F.struct(term.alias("term"), F.concat(acc["sums"], F.array(total)).alias("sums"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), zero, step, lambda acc: acc["sums"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(127)), zero, step, lambda acc: acc["count"])
+
+def poisson(sums: Column, u: Column) -> Column:
+    """Least k whose probability of at most k reaches u."""
+    return F.size(F.filter(sums, lambda x: x < u))
 
 
 def rates(docs: DataFrame, source_col: str, weights: dict | None, size: float, other: float) -> DataFrame:
-    """source_key, documents and mean repetition rate of every source."""
+    """source_key, mean repetition rate, its equal parts and the Poisson sums of a part, by source."""
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))
     counts = docs.groupBy(key.alias("source_key")).agg(F.count("*").alias("n"))
     weight = F.lit(1.0 if weights is None else other)
@@ -61,10 +62,10 @@ def rates(docs: DataFrame, source_col: str, weights: dict | None, size: float, o
     weighted = counts.withColumn("weight", weight)
     total = weighted.agg(F.sum("n"), F.sum("weight")).first()  # one row
     documents, weights_sum = total[0] or 0, total[1] or 0.0
-    if not weights_sum:
-        return weighted.select("source_key", F.lit(0.0).alias("rate"))
-    share = F.col("weight") / F.lit(float(weights_sum))
-    return weighted.select("source_key", (F.lit(float(size) * documents) * share / F.col("n")).alias("rate"))
+    share = F.col("weight") / F.lit(float(weights_sum or 1.0))
+    rated = weighted.select("source_key", (F.lit(float(size) * documents) * share / F.col("n")).alias("rate"))
+    parts = F.greatest(F.ceil(F.col("rate") / SPLIT), F.lit(1)).cast("int")
+    return rated.withColumn("parts", parts).withColumn("sums", poisson_sums(F.col("rate") / F.col("parts")))
 
 
 def mix(
@@ -78,19 +79,22 @@ def mix(
 ) -> DataFrame:
     """All columns of docs, copy (from 0) and shuffle_key, in shuffled order.
 
-    Without weights every source gets the same. The rates are one row per source, joined on the
-    source with both sides shuffled or the small one broadcast as Spark's size threshold decides.
+    Without weights every source gets the same. The rates are one row of about a kilobyte per
+    source. They are broadcast up to ``BROADCAST_SOURCES`` of them; beyond, both sides are shuffled
+    by source and adaptive execution splits a hot one.
     """
     names = {x: f"c{i}" for i, x in enumerate(docs.columns)}
     flat = docs.toDF(*names.values())
     key = F.coalesce(F.concat(F.lit("s"), F.col(names[source_col]).cast("string")), F.lit(""))
     ident = F.coalesce(F.col(names[id_col]).cast("string"), F.lit("null"))
-    rated = flat.withColumn("source_key", key).join(rates(flat, names[source_col], weights, size, other), "source_key")
-    parts = F.greatest(F.ceil(F.col("rate") / SPLIT), F.lit(1)).cast("int")
+    per_source = c.write_rows(rates(flat, names[source_col], weights, size, other), "rates")
+    if per_source.count() <= BROADCAST_SOURCES:
+        per_source = F.broadcast(per_source)
+    rated = flat.withColumn("source_key", key).join(per_source, "source_key")
     count = F.aggregate(
         F.transform(
-            F.sequence(F.lit(0), parts - 1),
-            lambda j: poisson(F.col("rate") / parts, uniform(F.lit(seed), ident, j.cast("string"))),
+            F.sequence(F.lit(0), F.col("parts") - 1),
+            lambda j: poisson(F.col("sums"), uniform(F.lit(seed), ident, j.cast("string"))),
         ),
         F.lit(0),
         lambda acc, x: acc + x,
