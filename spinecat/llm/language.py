@@ -8,8 +8,9 @@ Scoring: words are runs of letters. A word's script range leaves only the langua
 least ``SCRIPT_SHARE`` of their letters in it (all, if none does). Each of those gets the word's
 naive Bayes log score, scaled by the number of n-gram lengths and normalised. Viterbi then finds
 the best sequence of languages, a change costing ``switch``; runs of one language are the spans.
-The document's language is the one with most letters in its spans (ties: the first by name); its
-score is that share times the language's posterior over the whole text.
+The document's language is, of those with a span, the most likely over all words, where no word
+counts more than ``FLOOR`` against a language (ties: the first by name); its score is its share of
+the letters times its posterior.
 
 A null text or one without a letter is ``und`` with score 0 and no spans. With nothing to learn
 from, every text is ``und``. Repeated ids are judged row by row. An empty table gives no rows.
@@ -32,6 +33,7 @@ from spinecat.llm import common as c
 BUCKETS = 1 << 14
 LENGTHS = (1, 2, 3, 4)
 SCRIPT_SHARE = 0.01
+FLOOR = -8.0
 #: Words a task remembers the scores of; beyond, it starts anew. Scores are the same either way.
 REMEMBERED = 200_000
 SLICE = 3_000_000
@@ -214,9 +216,10 @@ def _judge(scorer: Scorer, texts: list[str], switch: float):
     n, k = len(texts), scores.shape[1]
     rows = np.repeat(np.arange(n), sizes)
     weight = np.bincount(rows * k + labels, weights=letters, minlength=n * k).reshape(n, k)
-    total = np.stack([np.bincount(rows, weights=scores[:, j], minlength=n) for j in range(k)], axis=1)
-    lang = weight.argmax(axis=1)
-    share = weight.max(axis=1) / np.maximum(weight.sum(axis=1), 1)
+    limited = np.maximum(scores, FLOOR)
+    total = np.stack([np.bincount(rows, weights=limited[:, j], minlength=n) for j in range(k)], axis=1)
+    lang = np.where(weight > 0, total, -np.inf).argmax(axis=1)
+    share = weight[np.arange(n), lang] / np.maximum(weight.sum(axis=1), 1)
     gap = np.exp(total - total.max(axis=1, keepdims=True))
     score = share * (gap[np.arange(n), lang] / gap.sum(axis=1))
     return sizes, starts, labels, lang, score
