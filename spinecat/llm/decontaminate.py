@@ -18,6 +18,7 @@ stand. Empty tables give no spans. Columns other than the named ones are ignored
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from spinecat.llm import common as c
 
+#: Words of benchmark items in one automaton, which takes about a kilobyte a word.
+PART_WORDS = 100_000
 
 def words_of(text: str | None) -> list[bytes]:
     data = np.frombuffer((text or "").encode(), dtype=np.uint8)
@@ -223,7 +226,7 @@ def find(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    part_words: int = 500_000,
+    part_words: int = PART_WORDS,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """The kept columns of docs (all by default) as struct ``row``, with n_words, spans, chars, items.
@@ -244,10 +247,10 @@ def find(
         needed = flat.select(*dict.fromkeys([*kept, text]))
         return _scan(needed, text, kept, first).select(back, *results)
     flat = c.write_rows(flat.withColumn("n_", F.monotonically_increasing_id()), "decontaminate")
-    scanned = [_scan(flat.select("n_", text), text, ["n_"], x) for x in (first, second, *automata)]
-    together = scanned[0]
-    for more in scanned[1:]:
-        together = together.unionByName(more)
+    together = None
+    for automaton in chain((first, second), automata):  # written one by one: one automaton at a time
+        scanned = c.write_rows(_scan(flat.select("n_", text), text, ["n_"], automaton), "decontaminate-part")
+        together = scanned if together is None else together.unionByName(scanned)
     hits = together.groupBy("n_").agg(  # one row per part and document
         F.max("n_words").alias("n_words"),
         _merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"),

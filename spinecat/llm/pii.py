@@ -17,7 +17,8 @@ use no repeated groups without bound, so long runs of digits or letters cost lin
 stack. An address of over 500 domain labels ends there.
 
 A null text is empty and has no spans. Repeated ids are judged row by row. An empty table gives no
-rows. Columns other than the named ones are kept by ``spans`` and ``redact``.
+rows. Other columns are kept by ``redact``, and by ``spans`` but for those it adds by name
+(pii_base, pii_all).
 """
 
 from __future__ import annotations
@@ -332,8 +333,9 @@ def counted(column: str, kind: str) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", model=None) -> DataFrame:
     """docs with every span of the text replaced by [KIND]; overlapping spans become one."""
-    found = spans(docs, text_col, model)
-    whole = F.col(f"`{text_col}`")
+    names = {x: f"c{i}" for i, x in enumerate(docs.columns)}
+    found = spans(docs.toDF(*names.values()), names[text_col], model)
+    whole = F.col(names[text_col])
 
     def step(acc, x):
         gap = F.substr(whole, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
@@ -348,4 +350,4 @@ def redact(docs: DataFrame, text_col: str = "text", model=None) -> DataFrame:
         lambda acc: F.concat(acc["done"], F.substr(whole, acc["at"] + 1, F.length(whole))),
     )
     clean = F.when(F.size("pii_all") == 0, whole).otherwise(text)
-    return found.withColumn(text_col, clean).select(*[F.col(f"`{x}`") for x in docs.columns])
+    return found.withColumn(names[text_col], clean).select(*[F.col(v).alias(k) for k, v in names.items()])
