@@ -11,8 +11,8 @@ The text is that of the kept nodes: character references decoded, white space in
 space, trimmed, blocks in page order joined by a line feed. Scripts, styles, the head and other
 elements without visible text are never read.
 
-The trees are fitted on the driver from at most ``SAMPLE`` pages, by least hash of the id: as they
-are where they mark their article, and with their paragraphs and their other texts set anew in
+The trees are fitted on the driver from about ``SAMPLE`` pages, chosen by hash: as they are where
+they mark their article, and with their paragraphs and their other texts set anew in
 made-up layouts, which know the truth by construction.
 
 A null or empty page, and one without an article, gives the empty text. Repeated ids are judged row
@@ -32,9 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spinecat.llm import common as c
 from spinecat.llm import trees
 
 SAMPLE = 200
+#: Longer pages are read like others, but not trained on.
+SAMPLE_CHARS = 200_000
 LAYOUTS = 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -414,10 +417,10 @@ def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) -> trees.Boost
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> trees.Boosted:
-    """Fits on the ``sample`` pages of least hash."""
-    picked = pages.filter(F.length(html_col).between(1, 200_000)).select(F.xxhash64(id_col, html_col).alias("h"), html_col)
-    rows = picked.orderBy("h").limit(sample).collect()
-    return fit([r[1] for r in rows])
+    """Fits on about ``sample`` pages, chosen by hash; all if there are fewer."""
+    rows = pages.filter(c.in_share(F.xxhash64(id_col), sample / max(pages.count(), 1)))
+    got = rows.filter(F.length(html_col).between(1, SAMPLE_CHARS)).select(html_col).collect()
+    return fit(sorted(r[0] for r in got))
 
 
 def main_text(
