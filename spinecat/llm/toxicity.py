@@ -332,7 +332,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     share = sample / max(known.count(), 1)
     picked = known.filter(c.in_share(F.xxhash64("i_", "y_"), share))
-    rows = docs.select(F.col(id_col).alias("i_"), F.col(text_col).alias("t_")).join(picked, "i_").filter(F.length("t_") <= SAMPLE_CHARS)
+    texts = docs.select(F.col(id_col).alias("i_"), F.col(text_col).alias("t_")).filter(F.length(text_col) <= SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(picked), "i_")  # ids and labels of the sample, which bounds them
     got = sorted((r[0], r[1], r[2]) for r in rows.select("i_", "t_", "y_").collect())
     if not got:
         return {"net": None, "rate": 0.0}
