@@ -66,10 +66,18 @@ def in_share(hashed: Column, share: float) -> Column:
 
 
 def write_rows(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    Shuffle files of earlier steps are deleted once the driver's garbage collector finds them
+    unused, which on a driver with little to do may take half an hour; so it is asked to run, as
+    soon as the listeners have let go of the step.
+    """
     spark = df.sparkSession
     folder = run_dir(spark, label)
     df.write.parquet(folder)
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    context._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(folder)
 
 

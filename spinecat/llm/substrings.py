@@ -127,7 +127,7 @@ def _segments(candidates: DataFrame, window: int, with_text: bool) -> DataFrame:
 
 def _search(units: pa.Table, window: int, kind: pa.DataType) -> pa.Table:
     """For every segment of a shard, the least id that has each of its windows."""
-    names = ["route", "text_hash", "earliest"]
+    names = ["route", "text_hash", "last", "earliest"]
     column = units.column("segment").combine_chunks().cast(pa.large_string())
     batch = pa.RecordBatch.from_arrays([column], ["text_"])
     symbols, rows = [], []
@@ -167,7 +167,7 @@ def _search(units: pa.Table, window: int, kind: pa.DataType) -> pa.Table:
     lists = pa.ListArray.from_arrays(
         pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), by_rank.take(pa.array(earliest - 1)).cast(kind)
     )
-    return pa.table([units.column("route"), units.column("text_hash"), lists], names=names)
+    return pa.table([units.column("route"), units.column("text_hash"), units.column("last"), lists], names=names)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, hot: int = HOT, shard: int = SHARD):
@@ -180,7 +180,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     candidates = _candidates(rows, window, hot)
     units = c.write_rows(
         _segments(candidates, window, with_text=True).groupBy("route", "text_hash").agg(
-            F.min("id_").alias("least"), F.first("segment").alias("segment")
+            F.min("id_").alias("least"), F.max("id_").alias("last"), F.first("segment").alias("segment")
         ),
         "segments",
     )
@@ -190,7 +190,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     def search(table: pa.Table) -> pa.Table:
         return _search(table, window, table.schema.field("least").type)
 
-    found = dealt.groupBy("shard").applyInArrow(search, f"route long, text_hash long, earliest array<{kind}>")
+    found = dealt.groupBy("shard").applyInArrow(search, f"route long, text_hash long, last {kind}, earliest array<{kind}>")
+    # Segments of which some member comes after an earlier document; the others lose nothing.
+    later = F.exists("earliest", lambda x: x < F.col("last"))
+    found = c.write_rows(found.filter(later).select("route", "text_hash", "earliest"), "earliest")
     members = _segments(candidates, window, with_text=False).join(found, ["route", "text_hash"])
     later = F.filter(
         F.transform("earliest", lambda x, i: F.when(x < F.col("id_"), F.col("first") + i)), lambda x: x.isNotNull()
