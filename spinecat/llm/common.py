@@ -9,6 +9,7 @@ scans agree.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -23,6 +24,9 @@ from spinecat.session import configure, run_dir
 #: Bytes of text a task holds as numpy arrays at a time; longer single texts are scanned alone.
 SLICE_BYTES = 2_000_000
 
+#: Time given to the cleaner, which deletes shuffle files on other threads.
+CLEANING_S = 0.5
+
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -78,6 +82,7 @@ def write_rows(df: DataFrame, label: str) -> DataFrame:
     context = spark.sparkContext
     context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     context._jvm.System.gc()
+    time.sleep(CLEANING_S)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -211,8 +211,9 @@ def _candidates(rows: DataFrame, window: int, hot: int) -> DataFrame:
         .filter(F.col("least") < F.col("last"))
         .select("anchor", (F.col("n") > hot).alias("hot"))
     )
+    shared = c.write_rows(shared, "shared-anchors")
     by_doc = anchors.join(shared, "anchor").groupBy("id_").agg(F.collect_set(F.struct("anchor", "hot")).alias("shared"))
-    by_doc = c.write_rows(by_doc, "shared-anchors")
+    by_doc = c.write_rows(by_doc, "anchors-by-document")
     return c.write_rows(rows.join(by_doc, "id_"), "candidates")
 
 
