@@ -8,6 +8,7 @@ scans agree.
 
 from __future__ import annotations
 
+import gc
 import os
 import time
 from collections.abc import Iterator
@@ -81,8 +82,10 @@ def write_rows(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(folder)
     context = spark.sparkContext
     context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    context._jvm.System.gc()
-    time.sleep(CLEANING_S)
+    for _ in range(2):  # Python's references to the JVM's frames go first
+        gc.collect()
+        context._jvm.System.gc()
+        time.sleep(CLEANING_S)
     return spark.read.schema(df.schema).parquet(folder)
 
 
