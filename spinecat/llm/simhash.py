@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinecat.llm import common as c
@@ -261,7 +261,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def classes(prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """Rows of ``fingerprints`` with component_: the least id reachable over links."""
+    """Rows of ``fingerprints`` with component_, the least id reachable over links, and root_.
+
+    Components can share component_ (null, or an id that stands at unlike texts), never root_.
+    """
     distinct = c.write_rows(prints.groupBy("fp_").agg(F.min("id_").alias("least_")), "fingerprints")
     roots = components(links(distinct.select(F.col("fp_").alias("fp")), hot))
     rooted = distinct.join(roots, F.col("fp_") == F.col("node"), "left").select(
@@ -269,7 +272,7 @@ def classes(prints: DataFrame, hot: int = HOT) -> DataFrame:
     )
     # Fingerprints that no link reaches are their own component; only linked ones are grouped.
     whole = rooted.groupBy("root_").agg(F.min("least_").alias("component_"))
-    named = rooted.join(whole, "root_").select(F.col("fp_").alias("fp2_"), "component_")
+    named = rooted.join(whole, "root_").select(F.col("fp_").alias("fp2_"), "component_", "root_")
     return prints.join(named, F.col("fp_") == F.col("fp2_")).drop("fp2_")
 
 
@@ -289,6 +292,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flat = docs.toDF(*names.values())
     prints = c.write_rows(fingerprints(flat, names[id_col], names[text_col], size, keep=list(names.values())), "prints")
     named = classes(prints.select("id_", "fp_", *names.values()))
-    first = Window.partitionBy("id_", "component_").orderBy(names[text_col], *names.values())
-    kept = named.filter(F.col("id_").eqNullSafe(F.col("component_"))).withColumn("n_", F.row_number().over(first))
-    return kept.filter("n_ = 1").select(*[F.col(v).alias(k) for k, v in names.items()])
+    kept = named.filter(F.col("id_").eqNullSafe(F.col("component_")))
+    # Rows that share the least id combine before the shuffle: a large component sends one row a task.
+    order = dict.fromkeys([names[text_col], *names.values()])
+    least = kept.groupBy("root_").agg(F.min(F.struct(*order)).alias("row_"))
+    return least.select(*[F.col("row_").getField(v).alias(k) for k, v in names.items()])

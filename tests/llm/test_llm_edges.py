@@ -148,6 +148,17 @@ def test_simhash(spark):
     assert sorted(r["doc_id"] for r in first.collect()) == [1, 3, 6, 7, 8, 9]
 
 
+def test_simhash_keeps_one_of_each_component(spark):
+    """Null ids, and one id with two texts, name several components."""
+    texts = [" ".join(f"{w}{k}" for k in range(20)) for w in ("ash", "birch", "cedar", "elm", "fir")]
+    ids = [(None, 0), (None, 1), (None, 2), (None, 2), (5, 3), (5, 4), (5, 4), (7, 4), (None, 3)]
+    prints = {brute.simhash(t) for t in texts}
+    assert all(a == b or (a ^ b).bit_count() > 4 for a in prints for b in prints) and len(prints) == 5
+    got = simhash.keep_first(table(spark, [(i, texts[k]) for i, k in ids]), size=4)
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4])]
+    assert plain(got, "doc_id", "text") == sorted(want, key=str)
+
+
 def test_simhash_links_all_and_splits_hot_keys(spark):
     rng = np.random.default_rng(4)
     fps = set(rng.integers(0, 1 << 63, 40, dtype=np.uint64).tolist())
