@@ -149,17 +149,18 @@ def _hits(automaton: Automaton, data: np.ndarray, offsets: np.ndarray):
     return starts, ends, rows, found
 
 
-SPANS = "array<struct<start:int,end:int>>"
-RESULT = f"n_words long, spans {SPANS}, chars {SPANS}, items array<string>"
+CHARS = "struct<start:int,end:int>"
+SPANS = "struct<start:int,end:int,whole:int>"
+RESULT = f"n_words long, spans array<{SPANS}>, chars array<{CHARS}>, items array<string>"
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out: list[list[int]] = []
-    for a, b in sorted(spans):
+    for a, b, whole in sorted(spans):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+            out[-1][1:] = max(out[-1][1], b), max(out[-1][2], whole)
         else:
-            out.append([a, b])
+            out.append([a, b, whole])
     return [tuple(x) for x in out]
 
 
@@ -192,24 +193,24 @@ def _scan(docs: DataFrame, text_col: str, keep: list[str], automaton: Automaton
                 first = np.searchsorted(rows, np.arange(n))
                 spans, items = [[] for _ in range(n)], [set() for _ in range(n)]
                 for row, a, b, who in found:
-                    spans[row].append((a, b))
+                    spans[row].append((a, b, b - a if b - a < automaton.window else 0))
                     items[row].update(who)
                 points = c.code_points(data) if found else None
                 merged, chars = [], []
                 for row in range(n):
                     own = _merged(spans[row])
-                    merged.append([{"start": a - int(first[row]), "end": b - int(first[row])} for a, b in own])
+                    merged.append([{"start": a - int(first[row]), "end": b - int(first[row]), "whole": w} for a, b, w in own])
                     base = points[offsets[row]] if own else 0
                     chars.append(
-                        [{"start": int(points[starts[a]] - base), "end": int(points[ends[b - 1]] - base)} for a, b in own]
+                        [{"start": int(points[starts[a]] - base), "end": int(points[ends[b - 1]] - base)} for a, b, _ in own]
                     )
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                ends_ = [("start", pa.int32()), ("end", pa.int32())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(part.schema.get_field_index(k)) for k in keep),
                         pa.array(np.bincount(rows, minlength=n).astype(np.int64)),
-                        pa.array(merged, kind),
-                        pa.array(chars, kind),
+                        pa.array(merged, pa.list_(pa.struct([*ends_, ("whole", pa.int32())]))),
+                        pa.array(chars, pa.list_(pa.struct(ends_))),
                         pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                     ],
                     [*keep, "n_words", "spans", "chars", "items"],
@@ -232,7 +233,8 @@ def find(
     """The kept columns of docs (all by default) as struct ``row``, with n_words, spans, chars, items.
 
     spans (word positions) and chars (code points) are the merged runs of hit words, end exclusive;
-    items are the sorted ids of the items with a window in the text.
+    whole is the number of words of the longest item shorter than a window that stands in the span
+    in full, 0 without one. items are the sorted ids of the items with a window in the text.
     """
     keep = docs.columns if keep is None else keep
     names = {x: f"c{i}" for i, x in enumerate(docs.columns)}
@@ -253,27 +255,34 @@ def find(
         together = scanned if together is None else together.unionByName(scanned)
     hits = together.groupBy("n_").agg(  # one row per part and document
         F.max("n_words").alias("n_words"),
-        _merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"),
-        _merge_spans(F.flatten(F.collect_list("chars"))).alias("chars"),
+        _merge_spans(F.flatten(F.collect_list(F.arrays_zip("spans", "chars")))).alias("both_"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    hits = hits.select("n_", "n_words", F.col("both_.spans").alias("spans"), F.col("both_.chars").alias("chars"), "items")
     return flat.join(hits, "n_").select(back, *results)
 
 
-def _merge_spans(spans):
-    """Merge sorted spans that touch, in one pass over the array."""
-    empty = F.array().cast(SPANS)
+def _merge_spans(both):
+    """Merge (spans, chars) pairs, sorted here, whose words touch, in one pass over the array."""
+    empty = F.array().cast(f"array<struct<spans:{SPANS},chars:{CHARS}>>")
 
     def step(done, x):
         last = F.element_at(done, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        a, b = last["spans"], x["spans"]
+        words = F.struct(
+            a["start"].alias("start"), F.greatest(a["end"], b["end"]).alias("end"), F.greatest(a["whole"], b["whole"]).alias("whole")
+        )
+        points = F.struct(
+            last["chars"]["start"].alias("start"), F.greatest(last["chars"]["end"], x["chars"]["end"]).alias("end")
+        )
+        grown = F.struct(words.alias("spans"), points.alias("chars"))
         size = F.size(done)
-        touches = (size > 0) & (x["start"] <= last["end"])
+        touches = (size > 0) & (b["start"] <= a["end"])
         return F.when(touches, F.concat(F.slice(done, 1, F.greatest(size - 1, F.lit(0))), F.array(grown))).otherwise(
             F.concat(done, F.array(x))
         )
 
-    return F.aggregate(F.array_sort(spans), empty, step)
+    return F.aggregate(F.array_sort(both), empty, step)
 
 
 def n_hit():
@@ -281,15 +290,22 @@ def n_hit():
     return F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
 
 
-def clean(found: DataFrame, text_col: str = "text", max_span: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def clean(
+    found: DataFrame, text_col: str = "text", max_span: int = 10, max_coverage: float = 0.5, least_item: int = 3
+) -> DataFrame:
     """The rows of ``find`` as they were, with contaminated words cut out of the text.
 
-    A span of at least ``max_span`` words is removed with its punctuation up to the next word kept
-    as it stands; a document whose hit words are more than ``max_coverage`` of its words is dropped.
+    A span of at least ``max_span`` words, or one that holds a whole item of at least ``least_item``
+    words, is removed with its punctuation up to the next word kept as it stands; a document whose
+    hit words are more than ``max_coverage`` of its words is dropped. A shorter item, of one or two
+    words, is a phrase that any text may use: it counts as hit words, and goes only within such a span.
     """
     columns = found.schema["row"].dataType.names
     rows = found.withColumn("hit_", n_hit()).filter(F.col("hit_") <= max_coverage * F.col("n_words"))
-    cut = F.filter(F.arrays_zip("chars", "spans"), lambda x: x["spans"]["end"] - x["spans"]["start"] >= max_span)
+    cut = F.filter(
+        F.arrays_zip("chars", "spans"),
+        lambda x: (x["spans"]["end"] - x["spans"]["start"] >= max_span) | (x["spans"]["whole"] >= least_item),
+    )
     whole = F.col("row").getField(text_col)
     state = F.aggregate(
         cut,

@@ -116,6 +116,27 @@ def test_decontaminate(spark):
     assert decontaminate.find(table(spark), bench.limit(0)).filter("size(spans) > 0").count() == 0
 
 
+def test_short_items_are_cut(spark):
+    """Whole items shorter than a window, alone, next to others and next to a window."""
+    rest = " ".join(f"w{k}" for k in range(60))
+    long = " ".join(f"q{k}" for k in range(10))
+    items = [(1, "Why is it?"), (2, long), (3, "red fox"), (4, "a b c d e f g h i"), (5, "it so")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = {
+        f"x, why is -- it? {rest}": f"x, ? {rest}",
+        f"{rest} the red fox is it": f"{rest} the red fox is it",
+        f"{rest} a b c d e f g h i.": f"{rest} .",
+        f"{rest} a b c d e f g h.": f"{rest} a b c d e f g h.",
+        f"{rest} why is it so; red fox {long}, end": f"{rest} , end",
+        f"{rest} y, {long} why is it z why is it": f"{rest} y,  z ",
+        f"{rest} red fox": f"{rest} red fox",
+    }
+    for part_words in (500_000, 3):
+        found = decontaminate.find(table(spark, list(enumerate(texts))), bench, part_words=part_words)
+        got = {r["doc_id"]: r["text"] for r in decontaminate.clean(found).collect()}
+        assert got == dict(enumerate(texts.values()))
+
+
 def test_automaton_random_windows():
     rng = np.random.default_rng(2)
     items = [(str(k), [bytes([97 + x]) for x in rng.integers(0, 3, rng.integers(1, 12))]) for k in range(30)]
