@@ -9,7 +9,9 @@ an ancestor and a descendant never contradict each other.
 
 The text is that of the kept nodes: character references decoded, white space inside a block one
 space, trimmed, blocks in page order joined by a line feed. Scripts, styles, the head and other
-elements without visible text are never read.
+elements without visible text are never read. The head ends, where its end tag is left out, at the
+first tag or text that cannot stand in it. A self-closing tag opens no unseen element, and one that
+is never closed ends with the block it stands in.
 
 The trees are fitted on the driver from about ``SAMPLE`` pages, chosen by hash: as they are where
 they mark their article, and with their paragraphs and their other texts set anew in
@@ -42,6 +44,8 @@ LAYOUTS = 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style template noscript head title iframe object svg math canvas audio video select datalist".split())
+#: Elements that may stand in the head; any other ends it.
+HEAD = frozenset("base basefont bgsound link meta title style script noscript template head".split())
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset "
     "table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup search "
@@ -93,7 +97,8 @@ class Page(HTMLParser):
         self.parent, self.tag, self.tokens, self.gold, self.hidden = [], [], [], [], []
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.stack: list[tuple[str, int]] = []  # tag, node (-1: inline)
-        self.node, self.unseen, self.links, self.inputs = -1, 0, 0, []
+        self.node, self.links, self.inputs = -1, 0, []
+        self.unseen: list[str] = []  # the unseen element and the unseen and block elements open in it
         self.buffer: list[str] = []
         self.linked = 0
         self._open("html", [])
@@ -142,12 +147,15 @@ class Page(HTMLParser):
             if tag in shield or (node >= 0 and tag not in ("p", "dt", "dd", "li", "td", "th", "tr")):
                 return
 
+    def _end_head(self, tag: str) -> None:
+        if self.unseen[:1] == ["head"] and (tag == "body" or (len(self.unseen) == 1 and tag not in HEAD)):
+            self.unseen.clear()
+
     def handle_starttag(self, tag, attrs):
+        self._end_head(tag)
+        if tag in UNSEEN or (self.unseen and tag in BLOCK):
+            self.unseen.append(tag)
         if self.unseen:
-            self.unseen += tag in UNSEEN
-            return
-        if tag in UNSEEN:
-            self.unseen = 1
             return
         if tag in VOID:
             if tag in ("br", "hr", "img"):
@@ -168,15 +176,19 @@ class Page(HTMLParser):
             self.stack.append((tag, -1))
 
     def handle_startendtag(self, tag, attrs):
-        if tag not in VOID:
+        self._end_head(tag)
+        if not self.unseen and tag not in UNSEEN:
             self.handle_starttag(tag, attrs)
-            return
-        self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if self.unseen:
-            self.unseen -= tag in UNSEEN
-            return
+            if tag in self.unseen:
+                while self.unseen.pop() != tag:
+                    pass
+                return
+            if tag not in BLOCK or all(t != tag for t, _ in self.stack[1:]):
+                return
+            self.unseen.clear()  # never closed: it ends with the block around it
         for depth in range(len(self.stack) - 1, 0, -1):
             here, node = self.stack[depth]
             if here == tag:
@@ -186,6 +198,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.unseen == ["head"] and data.strip():
+            self.unseen.clear()
         if not self.unseen:
             self.buffer.append(data)
             if self.links > 0:

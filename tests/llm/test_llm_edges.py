@@ -347,6 +347,30 @@ def test_html(spark):
     assert html_extract.main_text(docs.limit(0)).count() == 0
 
 
+UNSEEN_PAGES = [
+    "<html><head><title>x</title><body>{}</body></html>",
+    "<html><head><meta charset=u><title>x</title><style>p {{}}</style>{}</html>",
+    "<head><title>x</title><noscript><link></noscript><script>a < b</script><template><p>no</p></template>{}",
+    "<head><noscript><body>{}",
+    "<body><svg/><math/>{}<iframe/>",
+    "<body><div><svg><title/><style/><path/></svg></div>{}",
+    "<body><div><object><p>no</p></div>{}",
+    "<body><div><svg><g></div>{}",
+    "<body><div><noscript><div>no<svg></div>no</noscript></div>{}",
+    "<body><select><option>no</select><div><object><div>no</div>no</object></div>{}",
+]
+
+
+def test_html_unseen_elements_end():
+    article = "<article><h1>A title</h1><p>One two, three, and more of it.</p><svg/><p>Four <svg><title/></svg>five, six.</p></article>"
+    for page in UNSEEN_PAGES:
+        source = page.format(article)
+        texts = ["A title", "One two, three, and more of it.", "Four five, six."]
+        assert [t for _, t, _ in html_extract.parse(source).blocks] == texts, page
+    assert [t for _, t, _ in html_extract.parse("<head><title>x</title>Bare <b>text</b>").blocks] == ["Bare text"]
+    assert html_extract.parse("<head><title>x</title> <meta> </head>").blocks == []
+
+
 def test_html_layouts():
     """Unseen made-up layouts: articles among menus, notices, adverts, forms and comments."""
     import random
