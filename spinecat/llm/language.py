@@ -133,6 +133,15 @@ def learn(rows: DataFrame, text_col: str, label_col: str) -> dict:
     return {"langs": langs, "logs": np.ascontiguousarray(logs.T, dtype=np.float32), "scripts": share >= SCRIPT_SHARE}
 
 
+def letters_only() -> dict:
+    """A model of one language, ``any``: a text with a letter gets it, others are ``und``."""
+    return {
+        "langs": ["any"],
+        "logs": np.zeros((BUCKETS, 1), dtype=np.float32),
+        "scripts": np.ones((1, len(SCRIPT_NAMES)), dtype=bool),
+    }
+
+
 class Scorer:
     """Log scores of words, remembered by word."""
 

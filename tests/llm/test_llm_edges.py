@@ -3,6 +3,7 @@
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spinecat.llm import (
@@ -235,6 +236,14 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.label(table(spark), empty).collect()} == {"und"}
 
 
+def test_language_stage_without_labels(spark):
+    docs = table(spark)
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    bare = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert bare.columns == docs.columns and bare.count() > 0
+    assert plain(bare, "doc_id", "text") == plain(kept, "doc_id", "text")
+
+
 def test_viterbi_is_best_path():
     rng = np.random.default_rng(0)
     sizes = np.array([5, 0, 7, 1])
