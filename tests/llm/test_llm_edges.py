@@ -295,6 +295,18 @@ def test_pii_base(spark):
     assert pii.redact(table(spark)).count() == len(TEXTS)
 
 
+def test_pii_long_domain(spark):
+    """An address ends with its domain, however many labels that has."""
+    for labels in (3_000, 100_000):
+        address = "me@" + "ab." * labels + "org"
+        docs = spark.createDataFrame([(1, f"to {address}, or {address}. x@y")], "doc_id long, text string")
+        found = docs.select(pii.matches(F.col("text"), pii.EMAIL, "email").alias("found")).first()["found"]
+        size = len(address)
+        assert [(x["start"], x["end"]) for x in found] == [(3, 3 + size), (8 + size, 8 + 2 * size)]
+        if labels == 3_000:
+            assert pii.redact(docs).first()["text"] == "to [EMAIL], or [EMAIL]. x@y"
+
+
 def test_pii_candidates(spark):
     good = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
     texts = [good, "Oneaen ththerblehandtionerrestouen stands alone", "call (212) 555-0143 now", "on 2021-03-04 and 12.05.2020"]
