@@ -8,11 +8,10 @@ scans agree.
 
 from __future__ import annotations
 
-import gc
 import os
-import time
 from collections.abc import Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,11 @@ from spinecat.session import configure, run_dir
 #: Bytes of text a task holds as numpy arrays at a time; longer single texts are scanned alone.
 SLICE_BYTES = 2_000_000
 
-#: Time given to the cleaner, which deletes shuffle files on other threads.
-CLEANING_S = 0.5
+#: Setting under which Spark removes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Folders of written results, as long as these are in use.
+_FOLDERS: WeakKeyDictionary = WeakKeyDictionary()
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -70,23 +72,28 @@ def in_share(hashed: Column, share: float) -> Column:
     return F.pmod(hashed, F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))
 
 
-def write_rows(df: DataFrame, label: str) -> DataFrame:
+def write_rows(df: DataFrame, label: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors.
 
-    Shuffle files of earlier steps are deleted once the driver's garbage collector finds them
-    unused, which on a driver with little to do may take half an hour; so it is asked to run, as
-    soon as the listeners have let go of the step.
+    The shuffle files of the step are removed once it is written. ``replaces`` is an earlier result
+    of this function that nothing reads any more; its folder is emptied.
     """
     spark = df.sparkSession
     folder = run_dir(spark, label)
-    df.write.parquet(folder)
-    context = spark.sparkContext
-    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    for _ in range(2):  # Python's references to the JVM's frames go first
-        gc.collect()
-        context._jvm.System.gc()
-        time.sleep(CLEANING_S)
-    return spark.read.schema(df.schema).parquet(folder)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(folder)
+    _FOLDERS[out] = folder
+    if replaces is not None and replaces in _FOLDERS:
+        spark.createDataFrame([], replaces.schema).write.mode("overwrite").parquet(_FOLDERS.pop(replaces))
+    return out
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple]:

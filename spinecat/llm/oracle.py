@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from spinecat.llm import chat, mixing
+from spinecat.llm import chat, divergence, mixing, spelling
 
 SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -128,10 +128,100 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS
 FROM texts
 """
 
+
+
+def _nibble_crc(i: int) -> int:
+    """CRC-32 of four bits, by the reflected polynomial."""
+    for _ in range(4):
+        i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+_CRC = "[" + ", ".join(f"{_nibble_crc(i)}::BIGINT" for i in range(16)) + "]"
+
+OP12 = f"""
+WITH RECURSIVE found AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS head,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[a-z\u00C0-\u00FF]+')) AS run
+  FROM documents),
+hexed AS (
+  SELECT run, hex(encode(head || run)) AS h, count(*) AS times FROM found
+  WHERE length(run) >= {spelling.MIN_LENGTH} GROUP BY head, run),
+hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, length(h)),
+      lambda k: (strpos('0123456789ABCDEF', substr(h, CASE WHEN k % 2 = 0 THEN k + 2 ELSE k END, 1)) - 1)::BIGINT)),
+    lambda s, x: xor(s >> 4, {_CRC}[(xor(s, x) & 15) + 1]))) AS crc
+  FROM hexed),
+slipped AS (
+  SELECT CASE WHEN crc % {spelling.SLIP} = 0
+              THEN substr(run, 1, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word, times
+  FROM hashed),
+counted AS (
+  SELECT word, sum(times)::BIGINT AS n FROM slipped WHERE length(word) >= {spelling.MIN_LENGTH}
+  GROUP BY word HAVING sum(times) >= {spelling.MIN_COUNT}),
+cuts AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM counted)),
+near AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, rest FROM cuts WHERE rest IN (SELECT word FROM counted)
+  UNION SELECT rest, word FROM cuts WHERE rest IN (SELECT word FROM counted)),
+best AS (
+  SELECT near.word, count(*) OVER (PARTITION BY near.word) AS n_near, other, counted.n AS other_n,
+         row_number() OVER (PARTITION BY near.word ORDER BY counted.n DESC, encode(other)) AS place
+  FROM near JOIN counted ON counted.word = other),
+formed AS (
+  SELECT counted.word, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN other_n >= {spelling.LEAD} * n THEN other END AS form,
+         CASE WHEN other_n >= {spelling.LEAD} * n THEN other_n END AS form_n
+  FROM counted LEFT JOIN best ON best.word = counted.word AND place = 1),
+walk AS (
+  SELECT word, word AS root FROM formed
+  UNION SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.root AND formed.form IS NOT NULL),
+roots AS (SELECT walk.word, root FROM walk JOIN formed ON formed.word = root AND formed.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
+OP13 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'),
+                            '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws
+  FROM documents),
+t AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL),
+dense AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (coalesce(total, 0) + 5 * v) AS p
+  FROM groups JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN totals USING (lang, source) LEFT JOIN n USING (lang, source, term)),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(total) + 5 * any_value(v)) AS q
+  FROM dense JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS total FROM n GROUP BY lang) USING (lang) GROUP BY lang, term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM dense JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
 STATEMENTS: dict[str, str] = {
     "op3_mixing": OP3,
     "op4_substrings": OP4,
     "op5_decontaminate": OP5,
     "op8_host_rules": OP8,
     "op10_chat": OP10,
+    "op12_spelling": OP12,
+    "op13_divergence": OP13,
 }

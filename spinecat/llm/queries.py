@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinecat.llm import chat, decontaminate, host_rules, html_extract, language, mixing, pii, simhash, substrings, toxicity
+from spinecat.llm import (
+    chat,
+    decontaminate,
+    divergence,
+    host_rules,
+    html_extract,
+    language,
+    mixing,
+    packing,
+    pii,
+    simhash,
+    spelling,
+    substrings,
+    toxicity,
+)
 from spinecat.llm.common import ready, table
 
 
@@ -93,6 +107,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", packing.ids_crc32().alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_toxicity": op2_toxicity,
@@ -104,4 +136,7 @@ QUERIES = {
     "op8_host_rules": op8_host_rules,
     "op9_pii": op9_pii,
     "op10_chat": op10_chat,
+    "op11_packing": op11_packing,
+    "op12_spelling": op12_spelling,
+    "op13_divergence": op13_divergence,
 }
