@@ -274,21 +274,22 @@ def _pair_sums(rows: pd.DataFrame) -> pd.DataFrame:
     A row with a slot gives p there; a row without gives a source's p everywhere else.
     """
     head = rows[rows["slot"] < 0].sort_values("source", ignore_index=True)
-    names = head["source"].to_numpy()
+    names = head["source"].to_numpy(dtype=object)
     number = pd.Series(np.arange(len(names)), index=names)
     p = np.repeat(head["p"].to_numpy(np.int64)[:, None], int(head["keys"].iloc[0]) if len(head) else 0, axis=1)
     body = rows[rows["slot"] >= 0]
     p[number[body["source"]].to_numpy(), body["slot"].to_numpy()] = body["p"].to_numpy(np.int64)
     left, right = rows["left"].iloc[0], rows["right"].iloc[0]
     block = head["block"].to_numpy()
-    found = []
+    firsts, seconds, values = [], [], []
     for i in np.flatnonzero(block == left):
         others = np.flatnonzero(block == right)
         others = others[others > i] if left == right else others
-        sums = np.abs(p[others] - p[i]).sum(axis=1)
-        found.append(pd.DataFrame({"a": names[i], "b": names[others], "value": sums}))
-    out = pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "value": []})
-    return out.assign(lang=rows["lang"].iloc[0])[["lang", "a", "b", "value"]].astype({"value": "int64"})
+        firsts += [names[i]] * len(others)
+        seconds += names[others].tolist()
+        values += np.abs(p[others] - p[i]).sum(axis=1).tolist()
+    found = {"lang": [rows["lang"].iloc[0]] * len(values), "a": firsts, "b": seconds, "value": np.array(values, dtype=np.int64)}
+    return pd.DataFrame(found)
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, shard_keys: int = SHARD_KEYS, block: int = BLOCK) -> DataFrame:

@@ -43,6 +43,8 @@ END_ID = 0
 HASHED, AXES, BITS = 256, 4, 12
 #: Bytes of text encoded at a time; the more, the fewer chunks are encoded twice.
 TEXT_BYTES = 4_000_000
+#: Bytes of ids in a batch of pieces, at least one document.
+PIECES_BYTES = 16_000_000
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -77,6 +79,8 @@ class Encoder:
         plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         vocabulary = told["model"]["vocab"]
         self.size = max(self.alone.get_vocab(with_added_tokens=True).values()) + 1
+        #: Stored form of an id.
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.together = None
         if plain and not told.get("normalizer") and isinstance(vocabulary, dict):
             # Printed bytes stand for themselves, the others for the code points from 256 on.
@@ -232,8 +236,9 @@ def _encoded(shared: Broadcast, end_id: int):
             for rows, data, offsets in c.slices(batch, "text", TEXT_BYTES):
                 ids, counts = with_end(*encode(data, offsets, own), end_id)
                 stops = np.append(0, np.cumsum(counts))
-                raw = ids.astype("<u4").tobytes()
-                packed = pa.array([raw[4 * a : 4 * b] for a, b in zip(stops, stops[1:])], type=pa.binary())
+                raw = ids.astype(own.kind).tobytes()
+                cuts = (stops * own.kind.itemsize).tolist()
+                packed = pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], type=pa.binary())
                 new = [pa.array(curve_keys(ids, counts)), pa.array(counts), packed]
                 yield pa.record_batch([rows.column(0), *new], names=["id_", "key", "n", "ids"])
 
@@ -243,7 +248,7 @@ def _encoded(shared: Broadcast, end_id: int):
 def tokens(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str | None = None, end_id: int = END_ID
 ) -> DataFrame:
-    """id_, key, n, ids (32-bit little-endian) and a unique tag of each document, written once."""
+    """id_, key, n, ids (in the encoder's stored form) and a unique tag of each document, written once."""
     shared = docs.sparkSession.sparkContext.broadcast(source or tokenizer_file())
     rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id_"].dataType.simpleString()
@@ -273,6 +278,50 @@ def tail_starts(total: int, size: int) -> list[int]:
     return out
 
 
+def _cut(kind: np.dtype, size: int, whole: int, tail: list[int], names: list[str]):
+    """Pieces of documents at their places in the line."""
+    tails = np.array(tail, dtype=np.int64)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            column = {x: batch.column(batch.schema.get_field_index(x)) for x in batch.schema.names}
+            rows, begins, lengths, held, sequence, offsets, weight = [], [], [], [], [], [], 0
+
+            def out():
+                numbers = [np.concatenate(x) for x in (begins, lengths)]
+                at = np.concatenate(rows)
+                columns = [
+                    column["id_"].take(pa.array(at)), *map(pa.array, numbers), pa.array(held, type=pa.binary()),
+                    column["n"].take(pa.array(at)), pa.array(np.concatenate(sequence)), pa.array(np.concatenate(offsets)),
+                ]
+                return pa.record_batch(columns, names=names)
+
+            for row, (place, ids) in enumerate(zip(column["place"].to_pylist(), column["ids"])):
+                own = np.frombuffer(ids.as_buffer(), dtype=kind).astype("<u4")
+                end = place + len(own)
+                first = place - place % size + size
+                inside = np.arange(first, min(end, whole + 1), size)
+                late = tails[(tails > max(place, whole)) & (tails < end)]
+                starts = np.concatenate([[place], inside[inside < end], late]).astype(np.int64)
+                stops = np.append(starts[1:], end)
+                number = np.searchsorted(tails, starts, side="right") - 1
+                rows.append(np.full(len(starts), row))
+                begins.append(starts - place)
+                lengths.append(stops - starts)
+                held.extend(own[a - place : b - place].tobytes() for a, b in zip(starts.tolist(), stops.tolist()))
+                sequence.append(np.where(starts < whole, starts // size, whole // size + number))
+                base = tails[np.maximum(number, 0)] if len(tails) else starts
+                offsets.append(np.where(starts < whole, starts % size, starts - base))
+                weight += own.nbytes
+                if weight > PIECES_BYTES:
+                    yield out()
+                    rows, begins, lengths, held, sequence, offsets, weight = [], [], [], [], [], [], 0
+            if rows:
+                yield out()
+
+    return run
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -281,45 +330,16 @@ def pack(
     source: str | None = None,
     end_id: int = END_ID,
 ) -> DataFrame:
-    """Pieces: the id column, start, length, ids (binary), doc_tokens, sequence_id, offset."""
+    """Pieces: the id column, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset."""
+    source = source or tokenizer_file()
     encoded = tokens(docs, id_col, text_col, source, end_id)
     total = encoded.agg(F.sum("n")).first()[0] or 0  # one number
-    whole = total - total % size
-    tail = tail_starts(total, size)
-    tails = F.array(*[F.lit(x).cast("long") for x in tail]) if tail else F.array().cast("array<long>")
-    placed = join_unique(encoded.select("id_", "tag", "n", "ids"), line(encoded), ["tag"])
-    place, end = F.col("place"), F.col("place") + F.col("n")
-    step = F.lit(size).cast("long")
-    # Multiples of the size inside the document, up to the end of the whole sequences.
-    first = (F.floor(place / step) + 1) * step
-    last = F.least(end - 1, F.lit(whole).cast("long"))
-    inside = F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<long>"))
-    inside_tail = F.filter(tails, lambda x: (x > place) & (x < end))
-    starts = F.array_sort(F.array_distinct(F.concat(F.array(place), inside, inside_tail)))
-    cut = placed.withColumn("starts", starts).withColumn("stops", F.concat(F.slice("starts", 2, F.size("starts")), F.array(end)))
-
-    def piece(a, i):
-        b = F.element_at(F.col("stops"), i + 1)
-        in_tail = F.size(F.filter(tails, lambda x: x <= a))
-        tail_start = F.element_at(tails, F.greatest(in_tail, F.lit(1))) if tail else F.lit(0).cast("long")
-        return F.struct(
-            (a - place).alias("start"),
-            (b - a).alias("length"),
-            F.substring(F.col("ids"), (4 * (a - place) + 1).cast("int"), (4 * (b - a)).cast("int")).alias("ids"),
-            F.when(a < whole, F.floor(a / step)).otherwise(F.lit(whole // size) + in_tail - 1).cast("long").alias("sequence_id"),
-            F.when(a < whole, a % step).otherwise(a - tail_start).cast("long").alias("offset"),
-        )
-
-    pieces = cut.select("id_", "n", F.explode(F.transform("starts", piece)).alias("p"))
-    return pieces.select(
-        F.col("id_").alias(id_col),
-        "p.start",
-        "p.length",
-        "p.ids",
-        F.col("n").alias("doc_tokens"),
-        "p.sequence_id",
-        "p.offset",
-    )
+    placed = join_unique(encoded.select("id_", "tag", "n", "ids"), line(encoded), ["tag"]).select("id_", "n", "ids", "place")
+    kind = encoded.schema["id_"].dataType.simpleString()
+    names = ["id_", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    layout = f"id_ {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    cut = _cut(encoder(source).kind, size, total - total % size, tail_starts(total, size), names)
+    return placed.mapInArrow(cut, layout).withColumnRenamed("id_", id_col)
 
 
 def ids_crc32() -> Column:

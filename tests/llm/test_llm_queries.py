@@ -30,7 +30,7 @@ def rows(df):
 
 
 def test_names():
-    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(oracle.STATEMENTS) <= set(queries.QUERIES)
 
 
