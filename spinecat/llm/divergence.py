@@ -268,11 +268,12 @@ def share(count: Column, total: Column) -> Column:
     return out + 1
 
 
-def _pair_sums(rows: pd.DataFrame) -> pd.DataFrame:
+def _pair_sums(cell: pa.Table) -> pa.Table:
     """Sums of |p - p'| over one shard, for the pairs of sources of two blocks.
 
     A row with a slot gives p there; a row without gives a source's p everywhere else.
     """
+    rows = cell.to_pandas()
     head = rows[rows["slot"] < 0].sort_values("source", ignore_index=True)
     names = head["source"].to_numpy(dtype=object)
     number = pd.Series(np.arange(len(names)), index=names)
@@ -288,8 +289,9 @@ def _pair_sums(rows: pd.DataFrame) -> pd.DataFrame:
         firsts += [names[i]] * len(others)
         seconds += names[others].tolist()
         values += np.abs(p[others] - p[i]).sum(axis=1).tolist()
-    found = {"lang": [rows["lang"].iloc[0]] * len(values), "a": firsts, "b": seconds, "value": np.array(values, dtype=np.int64)}
-    return pd.DataFrame(found)
+    langs = [rows["lang"].iloc[0]] * len(values)
+    columns = [pa.array(x, type=pa.string()) for x in (langs, firsts, seconds)]
+    return pa.table([*columns, pa.array(values, type=pa.int64())], names=["lang", "a", "b", "value"])
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, shard_keys: int = SHARD_KEYS, block: int = BLOCK) -> DataFrame:
@@ -337,7 +339,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, shard_keys:
     everywhere = join_unique(everywhere, held, ["lang", "shard"], "inner")
     everywhere = everywhere.withColumn("p", share(F.lit(SMOOTH).cast("long"), F.col("divisor"))).withColumn("slot", F.lit(-1))
     grid = in_cells(everywhere).unionByName(in_cells(known.withColumn("keys", F.lit(0))))
-    partial = grid.groupBy("lang", "shard", "left", "right").applyInPandas(_pair_sums, "lang string, a string, b string, value long")
+    partial = grid.groupBy("lang", "shard", "left", "right").applyInArrow(_pair_sums, "lang string, a string, b string, value long")
     sums = partial.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     # Sources of a language without terms differ by nothing.
     bare = groups.filter("shards = 0").select("lang", "source")
