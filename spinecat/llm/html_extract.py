@@ -430,18 +430,23 @@ def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) -> trees.Boost
     return trees.fit(np.concatenate(xs), np.concatenate(ys), rounds=40, depth=4, least=8)
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> trees.Boosted:
-    """Fits on about ``sample`` pages, chosen by hash; all if there are fewer."""
-    rows = pages.filter(c.in_share(F.xxhash64(id_col), sample / max(pages.count(), 1)))
-    got = rows.filter(F.length(html_col).between(1, SAMPLE_CHARS)).select(html_col).collect()
-    return fit(sorted(r[0] for r in got))
+def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> trees.Boosted:
+    """Fits on about ``sample`` different pages, chosen by a hash of their html; all if there are fewer.
+
+    Copies count once, whatever their ids are, so no key can make the sample longer.
+    """
+    rows = pages.filter(F.length(html_col).between(1, SAMPLE_CHARS)).select(F.col(html_col).alias("html"))
+    hashed = rows.withColumn("h", F.xxhash64("html"))
+    chosen = hashed.filter(c.in_share(F.col("h"), sample / max(pages.count(), 1)))
+    got = chosen.groupBy("h").agg(F.min("html").alias("html")).collect()
+    return fit(sorted(r["html"] for r in got))
 
 
 def main_text(
-    pages: DataFrame, model: trees.Boosted | None = None, html_col: str = "html", keep: list[str] | None = None, id_col: str = "page_id"
+    pages: DataFrame, model: trees.Boosted | None = None, html_col: str = "html", keep: list[str] | None = None
 ) -> DataFrame:
     """The kept columns of pages (all but the html by default) as struct ``row``, and text."""
-    model = model or train(pages, id_col, html_col)
+    model = model or train(pages, html_col)
     keep = [x for x in pages.columns if x != html_col] if keep is None else keep
     names = {x: f"c{i}" for i, x in enumerate(pages.columns)}
     kept = [names[x] for x in keep]

@@ -4,7 +4,7 @@ Learning: for every language of the labelled rows, counts of hashed character n-
 to 4, word borders included) over all words, and of letters by script. Counting covers every
 labelled row; a task sends at most BUCKETS counts a language.
 
-Scoring: words are runs of letters. A word's script range leaves only the languages that write at
+Scoring: words are letters with the marks on them (Unicode categories L and M). A word's script range leaves only the languages that write at
 least ``SCRIPT_SHARE`` of their letters in it (all, if none does). Each of those gets the word's
 naive Bayes log score, scaled by the number of n-gram lengths and normalised. Viterbi then finds
 the best sequence of languages, a change costing ``switch``; runs of one language are the spans.
@@ -20,6 +20,7 @@ Columns other than the named ones are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from itertools import chain
 
 import numpy as np
@@ -38,7 +39,18 @@ FLOOR = -8.0
 REMEMBERED = 200_000
 SLICE = 3_000_000
 
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _class(*kinds: str) -> str:
+    """The code points of some Unicode categories, as ranges of a character class."""
+    points = np.array([x for x in range(0x110000) if unicodedata.category(chr(x))[: len(kinds[0])] in kinds])
+    breaks = np.flatnonzero(np.diff(points) > 1)
+    firsts, lasts = points[np.append(0, breaks + 1)], points[np.append(breaks, len(points) - 1)]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(firsts, lasts))
+
+
+#: A letter, then letters and the marks on them; numerals such as one half are no letters.
+WORD = re.compile(f"[{_class('L')}][{_class('L', 'M')}]*")
 
 #: First code point of each range of scripts, in order; a range ends where the next begins.
 SCRIPTS = (
@@ -46,7 +58,8 @@ SCRIPTS = (
     (0x0600, "arabic"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "gurmukhi"), (0x0A80, "gujarati"),
     (0x0B00, "oriya"), (0x0B80, "tamil"), (0x0C00, "telugu"), (0x0C80, "kannada"), (0x0D00, "malayalam"),
     (0x0D80, "sinhala"), (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "tibetan"), (0x1000, "myanmar"),
-    (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x1E00, "latin"), (0x1F00, "greek"),
+    (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"), (0x1780, "khmer"), (0x1800, "mongolian"),
+    (0x18B0, "other"), (0x1E00, "latin"), (0x1F00, "greek"),
     (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"),
     (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"),
 )

@@ -9,23 +9,29 @@ dealt out and ordered by an md5 key of (seed, id, copy), which shuffles the whol
 Means above ``SPLIT`` are dealt into equal parts that are inverted on their own and added, as the
 sum of Poisson numbers is one; so the tail sums never underflow and are never cut short.
 
-A null source is a source of its own. Null ids share one uniform number; rows with equal ids get
-equal counts and keys. Sources that the weights do not name get the weight ``other`` (0 drops
-them). An empty table gives no rows. Columns named copy or shuffle_key give way to the new ones.
+A null source is a source of its own. Rows that share an id, or have none, are numbered in the
+order of their other columns, over ranges; the number is part of what is hashed, so that every row
+has its own count and its own place. Sources that the weights do not name get the weight ``other``
+(0 drops them). An empty table gives no rows. Columns named copy or shuffle_key give way to the new
+ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spinecat.llm import common as c
+from spinecat.operators.joins import join_unique
+from spinecat.operators.pages import numbered
 
 SEED = "mix-1"
 SPLIT = 16.0
 #: Summands of a part; beyond, less than 1e-60 of the distribution is left.
 TERMS = 128
-BROADCAST_SOURCES = 5_000
+#: Copy numbers made at a time.
+PIECE = 1_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -80,17 +86,15 @@ def mix(
     """All columns of docs, copy (from 0) and shuffle_key, in shuffled order.
 
     Without weights every source gets the same. The rates are one row of about a kilobyte per
-    source. They are broadcast up to ``BROADCAST_SOURCES`` of them; beyond, both sides are shuffled
-    by source and adaptive execution splits a hot one.
+    source; where they or the repeated ids are too many to be broadcast by Spark's threshold, both
+    sides are shuffled and adaptive execution splits a hot key.
     """
     names = {x: f"c{i}" for i, x in enumerate(docs.columns)}
     flat = docs.toDF(*names.values())
     key = F.coalesce(F.concat(F.lit("s"), F.col(names[source_col]).cast("string")), F.lit(""))
-    ident = F.coalesce(F.col(names[id_col]).cast("string"), F.lit("null"))
     per_source = c.write_rows(rates(flat, names[source_col], weights, size, other), "rates")
-    if per_source.count() <= BROADCAST_SOURCES:
-        per_source = F.broadcast(per_source)
-    rated = flat.withColumn("source_key", key).join(per_source, "source_key")
+    rated = join_unique(identified(flat, names[id_col]).withColumn("source_key", key), per_source, ["source_key"], "inner")
+    ident = F.col("ident")
     count = F.aggregate(
         F.transform(
             F.sequence(F.lit(0), F.col("parts") - 1),
@@ -99,11 +103,25 @@ def mix(
         F.lit(0),
         lambda acc, x: acc + x,
     )
-    copies = rated.withColumn("copies_", count)
-    rows = copies.filter("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(0), F.col("copies_") - 1)))
+    copies = rated.withColumn("copies_", count).filter("copies_ > 0")
+    pieces = copies.withColumn("piece_", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies_") - 1) / PIECE).cast("int"))))
+    end = F.least((F.col("piece_") + 1) * PIECE, F.col("copies_")) - 1
+    rows = pieces.withColumn("copy_", F.explode(F.sequence(F.col("piece_") * PIECE, end)))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident, F.col("copy_").cast("string")).cast("binary"))
     dealt = rows.withColumn("order_", order).repartition("order_").sortWithinPartitions("order_")
     own = [F.col(v).alias(k) for k, v in names.items() if k not in ("copy", "shuffle_key")]
     return dealt.select(*own, F.col("copy_").alias("copy"), F.col("order_").alias("shuffle_key"))
 
 
+def identified(rows: DataFrame, id_col: str) -> DataFrame:
+    """Adds ident, which no two rows share: the id, with a number where several rows have it or it is null."""
+    named = rows.withColumn("id_key", F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("")))
+    again = named.groupBy("id_key").agg(F.count("*").alias("n")).filter("n > 1 OR id_key = ''")
+    again = c.write_rows(again.select("id_key"), "shared-ids")
+    once = join_unique(named, again, ["id_key"], "left_anti")
+    several = join_unique(named, again, ["id_key"], "left_semi")
+    ordered = [f.name for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    several = numbered(several, ["id_key"], ordered)
+    ident = F.substring("id_key", 2, 1 << 30)
+    with_number = several.withColumn("ident", F.concat_ws("#", "id_key", F.col("numero").cast("string")))
+    return once.withColumn("ident", ident).select(*rows.columns, "ident").unionByName(with_number.select(*rows.columns, "ident"))

@@ -30,7 +30,14 @@ terms AS (
   SELECT source_key, k, exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1)) AS term
   FROM means, unnest(range(0, 128)) AS t(k)),
 sums AS (SELECT source_key, k, sum(term) OVER (PARTITION BY source_key ORDER BY k) AS total FROM terms),
-docs AS (SELECT *, coalesce('s' || source, '') AS source_key, coalesce(doc_id::VARCHAR, 'null') AS ident FROM documents),
+numbered AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id) AS same,
+         row_number() OVER (PARTITION BY doc_id ORDER BY doc_id, encode(text) NULLS FIRST, lang NULLS FIRST, source NULLS FIRST, n_chars NULLS FIRST) AS numero
+  FROM documents),
+docs AS (
+  SELECT * EXCLUDE (same, numero), coalesce('s' || source, '') AS source_key,
+         CASE WHEN doc_id IS NULL OR same > 1 THEN coalesce('i' || doc_id, '') || '#' || numero ELSE doc_id::VARCHAR END AS ident
+  FROM numbered),
 ids AS (SELECT DISTINCT ident, source_key FROM docs),
 draws AS (
   SELECT ident, source_key, j,

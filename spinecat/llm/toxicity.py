@@ -326,15 +326,19 @@ def _train(net: Net, words: Words, ids: list[np.ndarray], y: np.ndarray, rounds:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> dict:
-    """Fits on about ``sample`` labelled rows that are not held out, chosen by hash; all if there are fewer."""
+    """Fits on about ``sample`` labelled rows that are not held out, chosen by hash; all if there are fewer.
+
+    Equal label rows count once, and of several texts of one id the least is learned from, so
+    neither can make the sample longer.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & ~held_out(id_col)).select(
         F.col(id_col).alias("i_"), F.col(label_col).cast("double").alias("y_")
     )
-    share = sample / max(known.count(), 1)
-    picked = known.filter(c.in_share(F.xxhash64("i_", "y_"), share))
+    known = known.distinct()
+    picked = known.filter(c.in_share(F.xxhash64("i_", "y_"), sample / max(known.count(), 1)))
     texts = docs.select(F.col(id_col).alias("i_"), F.col(text_col).alias("t_")).filter(F.length(text_col) <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(picked), "i_")  # ids and labels of the sample, which bounds them
-    got = sorted((r[0], r[1], r[2]) for r in rows.select("i_", "t_", "y_").collect())
+    rows = texts.join(F.broadcast(picked), "i_")  # about ``sample`` different rows of two numbers
+    got = sorted((r[0], r[1], r[2]) for r in rows.groupBy("i_", "y_").agg(F.min("t_").alias("t_")).select("i_", "t_", "y_").collect())
     if not got:
         return {"net": None, "rate": 0.0}
     return fit([r[1] for r in got], np.array([r[2] for r in got]))

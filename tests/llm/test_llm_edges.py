@@ -236,6 +236,40 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.label(table(spark), empty).collect()} == {"und"}
 
 
+def test_language_needs_letters(spark):
+    docs = spark.createDataFrame([(i, "the house", "en") for i in range(8)], "doc_id long, text string, lang string")
+    texts = ["½ ² ①", "Ⅷ", "12 _ 3", "́̈", "a½", "हिन्दी", "ខ្មែរ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.label(rows, language.train(docs), spans=True).select("row.doc_id", "lang_pred", "spans").collect()}
+    assert [got[i]["lang_pred"] for i in range(7)] == ["und"] * 4 + ["en"] * 3
+    assert [(s["start"], s["end"]) for s in got[5]["spans"]] == [(0, len(texts[5]))]
+
+
+def test_language_stage_uses_the_prediction(spark):
+    """Mixtures without a main language go; a missing label is filled in."""
+    langs = {"en": "the house and the tree", "es": "la casa y el rio", "de": "das haus und der baum", "fr": "le chien est dans une rue", "xx": "zqz qzq zzq qqz"}
+    rows = [(20 * i + k, t, lang) for i, (lang, t) in enumerate(langs.items()) for k in range(20)]
+    mixture = " ".join(f"{t} {t}" for t in langs.values())
+    rows += [(1001, mixture, "en"), (1002, langs["es"] * 3, None), (1003, "½ 12", "en"), (1004, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert set(kept) == {r[0] for r in rows if r[0] < 1000} | {1002}
+    assert kept[1002] == "es"
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    """Pages without ids, and one label row many times, make no sample longer."""
+    seen = []
+    monkeypatch.setattr(html_extract, "fit", lambda pages: seen.append(len(pages)))
+    pages = spark.range(6000).selectExpr("if(id % 3 = 0, null, id) AS page_id", "concat('<p>', if(id % 3 = 1, 7, id), '</p>') AS html")
+    html_extract.train(pages)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append(len(texts)))
+    labels = spark.range(9000).selectExpr("if(id % 3 = 0, 5, id) AS doc_id", "int(id % 2) AS toxic")
+    docs = spark.range(9000).selectExpr("if(id % 3 = 0, 5, id) AS doc_id", "concat('text ', id) AS text")
+    toxicity.train(docs, labels, sample=500)
+    assert 0 < seen[0] <= 300 and 0 < seen[1] <= 650
+
+
 def test_language_stage_without_labels(spark):
     docs = table(spark)
     kept = corpus_pipeline.language_id(spark, docs, "")
@@ -328,7 +362,36 @@ def test_mixing(spark):
     assert {r["source"] for r in only} == {"small"} and 110 <= len(only) <= 190
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs, weights={"none": 1.0}).count() == 0
-    assert mixing.mix(table(spark)).count() >= 0
+    odd = table(spark)
+    whole = mixing.mix(odd, size=200.0)
+    assert whole.columns == [*(x for x in odd.columns if x not in ("copy", "shuffle_key")), "copy", "shuffle_key"]
+    assert {r[0] for r in whole.select("doc_id").collect()} == {r[0] for r in odd.select("doc_id").collect()}
+
+
+def test_mixing_without_ids(spark):
+    """A third of the rows have no id and a third share one: weights hold, and keys are spread."""
+    docs = spark.range(3000).selectExpr(
+        "case id % 3 when 0 then id when 1 then 77 end AS doc_id", "'same' AS text", "if(id % 2 = 0, 'a', 'b') AS source"
+    )
+    got = mixing.mix(docs, size=1.0).collect()
+    assert abs(len(got) - 3000) < 5 * 3000**0.5
+    for source in ("a", "b"):
+        assert abs(sum(r["source"] == source for r in got) - 1500) < 5 * 1500**0.5
+    for own in (None, 77):
+        rows = [r for r in got if r["doc_id"] == own]
+        assert abs(len(rows) - 1000) < 5 * 1000**0.5
+        assert len({r["shuffle_key"] for r in rows}) == len(rows)
+    again = mixing.mix(docs, size=1.0).select("shuffle_key", "copy").collect()
+    assert {(r["shuffle_key"], r["copy"]) for r in got} == {tuple(r) for r in again}
+
+
+def test_mixing_rare_source(spark):
+    """One document makes up half of the corpus: its copy numbers are made piece by piece."""
+    docs = spark.range(8001).selectExpr("id AS doc_id", "'t' AS text", "if(id = 0, 'rare', 'common') AS source")
+    got = mixing.mix(docs).groupBy("source").count().collect()
+    counts = {r["source"]: r["count"] for r in got}
+    assert abs(counts["rare"] - 4000) < 5 * 4000**0.5 and abs(counts["common"] - 4000) < 5 * 4000**0.5
+    assert mixing.mix(docs).filter("source = 'rare'").agg(F.max("copy")).first()[0] == counts["rare"] - 1
 
 
 def test_chat_round_trip(spark):
