@@ -6,40 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinecat import schemas
-from spinecat.operators import dedup, lifecycle
+from spinecat.operators import dedup, ids, lifecycle
 from spinecat.operators.joins import join_unique
+from spinecat.session import materialise
 from spinecat.sources import responses as R
 
-#: Places of one photo's books in the id space; the id of a book is photo * ID_SPAN + place.
-ID_SPAN = 1 << 20
-
 
 def process_batches(
     responses: DataFrame, photos: DataFrame, batches: DataFrame, books: DataFrame, now: Column | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(new book rows, next batch table, counters, failed photos) of the batches in ``procesando``.
 
-    ``responses`` has at most one answer (foto_id, texto) for each photo (id, lote_id, orden).
-    Answers are parsed and guarded; the readings are matched in processing order (batch, photo,
+    ``responses`` has answers (foto_id, texto) to photos (id, lote_id, orden). Of several answers
+    to one photo the greatest text counts, and the photo is listed as ``repetida``. Answers are parsed and guarded; the readings are matched in processing order (batch, photo,
     place in the answer) against ``books``. A photo whose answer cannot be read, has a confidence
     that is no number, or is missing adds nothing and is listed with its reason. Every waiting
-    batch goes to review, also one without any book. Book ids follow from photo and place, so a
-    second run gives the same rows.
+    batch goes to review, also one without any book. New books get the ids after the greatest one of
+    ``books``, without gaps, in processing order, so a second run gives the same rows.
     """
     at = F.current_timestamp() if now is None else now
     waiting = batches.filter(F.col("estado") == "procesando").select(F.col("id").alias("lote_id"), "libreria_id")
     asked = photos.join(waiting, "lote_id").select(
         F.col("id").alias("foto_id"), "lote_id", "libreria_id", F.col("orden").cast("int").alias("orden")
     )
-    texts = responses.select("foto_id", F.coalesce("texto", F.lit("")).alias("texto"))
+    texts = responses.groupBy("foto_id").agg(
+        F.max(F.coalesce("texto", F.lit(""))).alias("texto"), F.count("*").alias("respuestas")
+    )
     answers = R.read(asked.join(texts, "foto_id", "left").withColumn("falta", F.col("texto").isNull()))
     answers = answers.withColumn("motivo", F.when(F.col("falta"), "sin_respuesta").otherwise(F.col("motivo")))
     good, bad = R.readings(answers)
     odd = bad.select("foto_id", "lote_id").distinct().withColumn("motivo", F.lit("confianza"))
-    readings = good.join(odd.select("foto_id"), "foto_id", "left_anti").withColumn(
-        "id", F.col("foto_id") * ID_SPAN + F.col("pos")
-    )
-    rows = dedup.dedup_batches(readings, books)
+    readings = good.join(odd.select("foto_id"), "foto_id", "left_anti")
+    mark = ids.high_water(books)
+    readings = ids.allocate(readings, ["lote_id", "orden", "foto_id", "pos"], mark)
+    rows = ids.renumber(materialise(dedup.dedup_batches(readings, books)), mark, references=["duplicado_de"])
     new = rows.withColumns(
         {
             "creado_en": at,
@@ -52,4 +52,6 @@ def process_batches(
     counted = dedup.batch_counters(new)
     counters = join_unique(waiting, counted, ["lote_id"]).fillna(0, ["nuevos", "duplicados"])
     failed = answers.filter(F.col("motivo").isNotNull()).select("foto_id", "lote_id", "motivo").unionByName(odd)
+    again = asked.join(texts.filter("respuestas > 1"), "foto_id").withColumn("motivo", F.lit("repetida"))
+    failed = failed.unionByName(again.select("foto_id", "lote_id", "motivo"))
     return new, lifecycle.close_processing(batches, done), counters, failed

@@ -426,12 +426,28 @@ _PROCESS = _WAITING + _WALK[_WALK.index("fila AS MATERIALIZED") :].replace(
     """      SELECT paso, libreria_id, id, lote_id, kt, km, ka, CAST(NULL AS BIGINT), true
       FROM catalogo""",
 )
+# Rows that stay get serial ids after the greatest one of the other batches' books.
+_SERIAL = f"""{_PROCESS}, nuevos AS (SELECT m.id, m.viejo, (SELECT max(b.id) FROM libros b JOIN lotes l ON l.id = b.lote_id
+        WHERE l.estado <> 'procesando') + row_number() OVER (ORDER BY c.lote_id, c.orden, c.foto_id, c.id) AS serie
+      FROM marcha m JOIN claves c ON c.id = m.id WHERE m.queda AND m.paso > 0),
+    fotos_nuevas AS (SELECT foto_id, row_number() OVER (ORDER BY lote_id, foto_id) AS foto FROM respuestas r
+      JOIN lotes l ON l.id = r.lote_id WHERE l.estado = 'procesando')"""
 define(
     "process_batches_books",
-    ["detecciones", "libros", "lotes"],
-    f"""{_PROCESS} SELECT c.id, c.libreria_id, c.lote_id, c.foto_id, c.titulo_raw, c.autor_raw, c.titulo, c.autor,
+    ["detecciones", "libros", "lotes", "respuestas"],
+    f"""{_SERIAL} SELECT m.serie AS id, c.libreria_id, c.lote_id, c.foto_id, c.titulo_raw, c.autor_raw, c.titulo, c.autor,
     c.confianza, CASE WHEN m.viejo IS NULL THEN 'pendiente' ELSE 'descartado' END AS estado,
-    m.viejo AS duplicado_de FROM marcha m JOIN claves c ON c.id = m.id WHERE m.queda AND m.paso > 0""",
+    coalesce(v.serie, m.viejo) AS duplicado_de
+    FROM nuevos m JOIN claves c ON c.id = m.id LEFT JOIN nuevos v ON v.id = m.viejo""",
+    recursive=True,
+)
+define(
+    "intake_to_books",
+    ["detecciones", "libros", "lotes", "respuestas"],
+    f"""{_SERIAL} SELECT m.serie AS id, c.libreria_id, c.lote_id, f.foto AS foto_id, c.titulo_raw, c.titulo, c.autor,
+    CASE WHEN m.viejo IS NULL THEN 'pendiente' ELSE 'descartado' END AS estado, coalesce(v.serie, m.viejo) AS duplicado_de
+    FROM nuevos m JOIN claves c ON c.id = m.id JOIN fotos_nuevas f ON f.foto_id = c.foto_id
+    LEFT JOIN nuevos v ON v.id = m.viejo""",
     recursive=True,
 )
 define(
@@ -928,10 +944,7 @@ define(
     ["marcas"],
     f"SELECT * REPLACE (strftime(semana, '%Y-%m-%d') AS semana) FROM ({_WEEKS})",
 )
-define(
-    "stream_sessions",
-    ["marcas"],
-    f""", saltos AS (SELECT *, CASE WHEN creado_en - lag(creado_en) OVER w < INTERVAL 30 MINUTE
+_STRETCHES = f""", saltos AS (SELECT *, CASE WHEN creado_en - lag(creado_en) OVER w < INTERVAL 30 MINUTE
             THEN 0 ELSE 1 END AS salto FROM marcas WHERE session_id <> ''
         WINDOW w AS (PARTITION BY libreria_id, session_id ORDER BY creado_en, id)),
     tramos AS (SELECT *, sum(salto) OVER (PARTITION BY libreria_id, session_id
@@ -941,9 +954,14 @@ define(
         count(*) FILTER (tipo = 'busqueda') AS busquedas,
         count(*) FILTER (tipo = 'clic_whatsapp') AS clics FROM tramos GROUP BY 1, 2, 3)
     SELECT libreria_id, session_id, {stamp('inicio')} AS inicio, {stamp('cierre')} AS cierre,
-    eventos, busquedas, clics, cierre <= (SELECT max(creado_en) FROM marcas WHERE session_id <> '')
+    eventos, busquedas, clics"""
+define(
+    "stream_sessions",
+    ["marcas"],
+    f"""{_STRETCHES}, cierre <= (SELECT max(creado_en) FROM marcas WHERE session_id <> '')
         - INTERVAL 1 HOUR AS cerrada FROM cerrados""",
 )
+define("stream_sessions_late", ["marcas"], f"{_STRETCHES} FROM cerrados")
 define(
     "stream_progress",
     ["lineas"],

@@ -779,6 +779,41 @@ def stream_sessions(spark, sf):
     return jobs.all_sessions(closed, A.eventos(spark, sf)).withColumns({"inicio": stamp("inicio"), "cierre": stamp("cierre")})
 
 
+@query
+def stream_sessions_late(spark, sf):
+    """Events of every day arrive in three parts, newest hours first: most come after their watermark."""
+    folder = run_dir(spark, "tarde")
+    events = A.eventos(spark, sf).withColumn("parte", F.pmod(F.col("id") * 7, F.lit(3)))
+    for part in range(3):
+        events.filter(F.col("parte") == part).drop("parte").coalesce(1).write.mode("append").parquet(f"{folder}/entrada")
+    reader = spark.readStream.schema(events.drop("parte").schema).option("maxFilesPerTrigger", 1)
+    rows = jobs.session_activity(reader.parquet(f"{folder}/entrada"))
+    jobs.start_table(rows, folder, mode="append").awaitTermination()
+    closed = jobs.read_parts(spark, folder + "/datos", rows.schema).drop("epoca")
+    out = jobs.all_sessions(closed, spark.read.parquet(f"{folder}/entrada")).drop("cerrada")
+    return out.withColumns({"inicio": stamp("inicio"), "cierre": stamp("cierre")})
+
+
+@query
+def intake_to_books(spark, sf):
+    """Uploads to batches and photos, answers to books, all written, with ids next to stored ones."""
+    root = run_dir(spark, "cadena")
+    waiting = A.lotes(spark, sf).filter(F.col("estado") == "procesando").select(F.col("id").alias("lote_id"), "libreria_id")
+    files.write_table(A.libros(spark, sf).join(waiting, "lote_id", "left_anti"), root, "libros")
+    path = F.col("foto_id").cast("string").alias("path")
+    uploads = A.respuestas(spark, sf).join(waiting, "lote_id").select("lote_id", "libreria_id", F.col("foto_id").alias("subida"), path)
+    batches, photos, _ = intake.make_batches(uploads, _now())
+    files.write_table(batches, root, "lotes")
+    files.write_table(photos, root, "fotos")
+    photos = files.read_table(spark, root, "fotos")
+    answers = photos.join(A.respuestas(spark, sf).select(path, "texto"), "path").select(F.col("id").alias("foto_id"), "texto")
+    stored = files.read_table(spark, root, "libros")
+    new, _, _, _ = processing.process_batches(answers, photos, files.read_table(spark, root, "lotes"), stored, _now())
+    files.write_table(new, root, "libros")
+    added = files.read_table(spark, root, "libros").join(waiting, "lote_id", "left_semi")
+    return added.select("id", "libreria_id", "lote_id", "foto_id", "titulo_raw", "titulo", "autor", "estado", "duplicado_de")
+
+
 @query
 def stream_dedup(spark, sf):
     folder = run_dir(spark, "repetidos")

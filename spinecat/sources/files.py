@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinecat import schemas
+from spinecat.operators import ids
 
 # Forms of the service log lines.
 LOG_KIND = r"\b(vision_ok|vision_fallo|lote_procesado)\b"
@@ -19,14 +21,9 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Rows in the full layout of a table, as its defaults complete them.
 
-    Without an id every row gets one of its own, which is fixed once the rows are written; without
-    a creation time it is now, for ``activa`` it is true; other missing columns are NULL.
+    Without a creation time it is now, for ``activa`` it is true; other missing columns are NULL.
     """
-    defaults = {
-        "id": F.xxhash64(F.monotonically_increasing_id(), F.uuid()).bitwiseAND(F.lit((1 << 62) - 1)),
-        "creado_en": F.current_timestamp(),
-        "activa": F.lit(True),
-    }
+    defaults = {"creado_en": F.current_timestamp(), "activa": F.lit(True)}
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else defaults.get(f.name, F.lit(None)))
@@ -37,7 +34,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _mark(spark: SparkSession, root: str, name: str) -> int:
+    """The greatest id of a stored table, 0 where there is no table yet."""
+    try:
+        return ids.high_water(read_table(spark, root, name))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
+#: Columns that tell the rows of a table apart before they have an id; the others of a table follow.
+NATURAL = {"fotos": ["lote_id", "orden"], "lotes": ["libreria_id"], "librerias": ["slug"]}
+
+
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
+    """Append rows to a stored table (or overwrite it).
+
+    Rows without ids get those after the greatest stored one, without gaps, in the order of their
+    own columns; a repeated write of a failed one gives the same rows. One writer at a time.
+    """
+    if "id" not in df.columns:
+        orderable = [f.name for f in df.schema if f.name in schemas.TABLES[name].names and f.name != "creado_en"]
+        first = [x for x in NATURAL.get(name, []) if x in orderable]
+        above = 0 if mode == "overwrite" else _mark(df.sparkSession, root, name)
+        df = ids.allocate(df, [*first, *(x for x in orderable if x not in first)], above)
     stored(df, name).write.mode(mode).parquet(f"{root}/{name}")
 
 

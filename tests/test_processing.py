@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from spinecat import schemas
-from spinecat.operators import intake, lifecycle, processing
+from spinecat.operators import ids, intake, lifecycle, processing
 from spinecat.sources import files
 
 def now():
@@ -42,12 +42,11 @@ def world(spark):
 
 def test_process_batches(spark, tmp_path):
     new, batches, counters, failed = processing.process_batches(*world(spark), now())
-    span = processing.ID_SPAN
     got = sorted((r.id, r.titulo, r.estado, r.duplicado_de) for r in new.collect())
     assert got == [
-        (10 * span, "Uno", "pendiente", None),
-        (10 * span + 1, "Dos", "pendiente", None),
-        (11 * span + 1, "Viejo", "descartado", 5),
+        (6, "Uno", "pendiente", None),
+        (7, "Dos", "pendiente", None),
+        (8, "Viejo", "descartado", 5),
     ]
     assert {r.id: r.estado for r in batches.collect()} == {1: "revision", 2: "revision", 3: "publicado"}
     assert {r.lote_id: (r.nuevos, r.duplicados) for r in counters.collect()} == {1: (2, 1), 2: (0, 0)}
@@ -95,3 +94,33 @@ def test_operator_rows_can_be_stored(spark, tmp_path):
         assert rows.count() == n
         assert rows.select("id").distinct().count() == n
         assert rows.filter("id is null or creado_en is null").count() == 0
+
+
+def test_ids_are_dense_and_references_follow(spark):
+    rows = spark.createDataFrame([(108, None), (103, 5), (120, 108), (150, 103)], "id long, duplicado_de long")
+    got = sorted(tuple(r) for r in ids.renumber(rows, 100, references=["duplicado_de"]).collect())
+    assert got == [(101, 5), (102, None), (103, 102), (104, 101)]
+    many = ids.allocate(spark.range(5000, numPartitions=7).selectExpr("id AS a"), ["a"], 41)
+    assert {r["a"]: r["id"] for r in many.collect()} == {k: 42 + k for k in range(5000)}
+    assert ids.allocate(spark.range(0).selectExpr("id AS a"), ["a"], 3).collect() == []
+
+
+def test_written_ids_continue(spark, tmp_path):
+    """Ids follow the stored ones; the same rows above the same mark get the same ids."""
+    root = str(tmp_path)
+    photos = spark.createDataFrame([(2, 0, "c"), (1, 1, "b"), (1, 0, "a")], "lote_id long, orden int, path string")
+    files.write_table(photos.withColumn("id", F.lit(7).cast("long")).limit(1), root, "fotos")
+    files.write_table(photos, root, "fotos")
+    rows = {r.path: r.id for r in files.read_table(spark, root, "fotos").filter("id > 7").collect()}
+    assert rows == {"a": 8, "b": 9, "c": 10}
+    files.write_table(photos, root, "fotos", mode="overwrite")
+    assert {r.path: r.id for r in files.read_table(spark, root, "fotos").collect()} == {"a": 1, "b": 2, "c": 3}
+
+
+def test_two_answers_to_one_photo(spark):
+    responses, photos, batches, books = world(spark)
+    twice = responses.unionByName(spark.createDataFrame([(10, answer("Aaa"))], responses.schema))
+    new, _, _, failed = processing.process_batches(twice, photos, batches, books, now())
+    kept = [r for r in new.collect() if r.foto_id == 10]
+    assert len({r.id for r in kept}) == len(kept) > 0
+    assert (10, "repetida") in {(r.foto_id, r.motivo) for r in failed.collect()}

@@ -102,6 +102,28 @@ def test_sessions_close_after_the_gap(spark, tmp_path):
     ]
 
 
+def test_late_events_are_in_one_stretch(spark):
+    """Late events inside a closed stretch, between two of them, and after one."""
+
+    def at(minutes):
+        return T0 + dt.timedelta(minutes=minutes)
+
+    stored = [("s", 0), ("s", 5), ("s", 10), ("b", 0), ("b", 25), ("b", 50), ("d", 0), ("d", 35), ("ok", 0), ("ok", 1), ("new", 3)]
+    closed = [("s", 0, 10, 2), ("b", 0, 0, 1), ("b", 50, 50, 1), ("d", 0, 0, 1), ("ok", 0, 1, 2)]
+    events_ = spark.createDataFrame([(i, 1, "clic_whatsapp", "{}", s, at(m)) for i, (s, m) in enumerate(stored)], schemas.EVENTOS)
+    rows = spark.createDataFrame(
+        [(1, s, at(a), at(b + 30), n, 0, n) for s, a, b, n in closed],
+        "libreria_id long, session_id string, inicio timestamp, cierre timestamp, eventos long, busquedas long, clics long",
+    )
+    got = sorted((r.session_id, r.inicio, r.cierre, r.eventos, r.clics, r.cerrada) for r in jobs.all_sessions(rows, events_).collect())
+    assert got == [
+        ("b", at(0), at(80), 3, 3, False),
+        ("d", at(0), at(30), 1, 1, True), ("d", at(35), at(65), 1, 1, False),
+        ("new", at(3), at(33), 1, 1, False), ("ok", at(0), at(31), 2, 2, True),
+        ("s", at(0), at(40), 3, 3, False),
+    ]
+
+
 def test_dedup_in_parts_equals_the_sequential_rule(spark, tmp_path):
     """Batches cut in the middle: what the first part kept still counts for the second."""
     rnd = random.Random(12)
