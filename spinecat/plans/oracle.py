@@ -409,6 +409,79 @@ define(
     recursive=True,
 )
 
+# The walk with decisions in between: an entry counts from one turn of its shop to another.
+define(
+    "dedup_with_decisions",
+    ["libros", "lotes"],
+    f""", turnos AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY libreria_id ORDER BY ts, lote_id) AS turno
+      FROM (SELECT id AS lote_id, libreria_id, estado AS estado_lote, creado_en + to_minutes(id % 1440) AS ts FROM lotes)),
+    claves AS MATERIALIZED (SELECT b.libreria_id, b.lote_id, b.titulo, b.autor, t.ts, t.turno, t.estado_lote,
+        row_number() OVER (ORDER BY t.ts, b.lote_id, b.orden, b.id) AS id,
+        {key('titulo')} AS kt, {main_title('titulo')} AS km, {key('autor')} AS ka
+      FROM libros b JOIN turnos t USING (lote_id)),
+    ultimos AS MATERIALIZED (SELECT libreria_id, ts, max(turno) AS turno FROM turnos GROUP BY ALL),
+    reinicios AS (SELECT libreria_id, TIMESTAMP '2024-01-10' + to_days((libreria_id % 5)::INT) AS cuando
+        FROM turnos GROUP BY 1 UNION ALL
+      SELECT libreria_id, TIMESTAMP '2024-01-20' FROM turnos WHERE libreria_id % 3 = 0 GROUP BY 1),
+    fines AS MATERIALIZED (SELECT t.lote_id, min(1 + (SELECT coalesce(max(u.turno), 0) FROM turnos u
+          WHERE u.libreria_id = r.libreria_id AND u.ts <= r.cuando)) AS fin
+      FROM turnos t JOIN reinicios r ON r.libreria_id = t.libreria_id AND r.cuando > t.ts GROUP BY 1),
+    tocados AS MATERIALIZED (SELECT c.*, f.fin,
+        CASE WHEN id % 9 = 0 AND id % 12 > 0 AND (id // 9) % 5 < 4 THEN ts + to_days((id % 12)::INT) END AS e_ts,
+        ['pendiente', 'publicado', 'descartado', 'vendido', 'raro'][(id // 9) % 5 + 1] AS e_estado,
+        CASE WHEN id % 2 = 0 THEN titulo ELSE 'Titulo ' || (id % 40) END AS e_titulo,
+        CASE WHEN id % 4 = 0 THEN '' ELSE autor END AS e_autor,
+        CASE WHEN estado_lote IN ('publicado', 'descartado') THEN ts + INTERVAL 1 DAY END AS m_ts,
+        CASE WHEN id % 31 = 0 THEN ts + INTERVAL 3 DAY END AS x_ts
+      FROM claves c LEFT JOIN fines f USING (lote_id)),
+    limites AS (SELECT id, ts AS cuando, true AS inicio FROM tocados UNION ALL
+      SELECT id, e_ts, false FROM tocados WHERE e_ts IS NOT NULL UNION ALL
+      SELECT id, m_ts, false FROM tocados WHERE m_ts IS NOT NULL UNION ALL
+      SELECT id, x_ts, false FROM tocados WHERE x_ts IS NOT NULL),
+    pasos AS (SELECT t.*, l.cuando, l.inicio, CASE WHEN l.inicio THEN t.turno + 1 ELSE coalesce(u.turno, 0) + 1 END AS desde
+      FROM (SELECT l.*, t.libreria_id AS tienda FROM limites l JOIN tocados t USING (id)) l JOIN tocados t USING (id)
+      ASOF LEFT JOIN ultimos u ON u.libreria_id = l.tienda AND l.cuando >= u.ts),
+    estados AS (SELECT *, e_ts IS NOT NULL AND e_ts <= cuando AS editado,
+        m_ts IS NOT NULL AND m_ts <= cuando AND (e_ts IS NULL OR e_ts > cuando OR m_ts >= e_ts) AS movido,
+        least(lead(desde, 1, 1000000000) OVER (PARTITION BY id ORDER BY cuando, NOT inicio), coalesce(fin, 1000000000)) AS hasta
+      FROM pasos WHERE true),
+    vivos AS (SELECT *, CASE WHEN editado THEN e_estado ELSE 'pendiente' END AS si_nueva,
+        CASE WHEN editado THEN e_estado ELSE 'descartado' END AS si_repetida FROM estados
+      WHERE x_ts IS NULL OR x_ts > cuando),
+    vigencias AS MATERIALIZED (
+      SELECT id, kt, km, ka, turno AS desde, turno + 1 AS hasta, true AS nueva, false AS repetida FROM claves
+      UNION ALL
+      SELECT id, CASE WHEN editado THEN {key('e_titulo')} ELSE kt END, CASE WHEN editado THEN {main_title('e_titulo')} ELSE km END,
+        CASE WHEN editado THEN {key('e_autor')} ELSE ka END, desde, hasta,
+        CASE WHEN si_nueva = 'pendiente' AND movido THEN estado_lote ELSE si_nueva END <> 'descartado',
+        CASE WHEN si_repetida = 'pendiente' AND movido THEN estado_lote ELSE si_repetida END <> 'descartado'
+      FROM vivos WHERE desde < hasta),
+    fila AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY libreria_id ORDER BY id) AS paso FROM claves),
+    marcha(paso, libreria_id, id, lote_id, viejo, queda) USING KEY (paso, libreria_id) AS (
+      SELECT paso, libreria_id, id, lote_id, CAST(NULL AS BIGINT), true FROM fila WHERE paso = 1
+      UNION
+      SELECT f.paso, f.libreria_id, f.id, f.lote_id, f.viejo, f.viejo IS NULL OR NOT (f.visto OR f.propio)
+      FROM (
+        SELECT g.*, EXISTS (SELECT 1 FROM recurring.marcha w WHERE w.libreria_id = g.libreria_id
+                AND w.lote_id = g.lote_id AND w.queda AND w.viejo = g.viejo) AS visto,
+          EXISTS (SELECT 1 FROM recurring.marcha w WHERE w.libreria_id = g.libreria_id
+                AND w.lote_id = g.lote_id AND w.id = g.viejo) AS propio
+        FROM (
+          SELECT n.paso, n.libreria_id, n.id, n.lote_id,
+            coalesce(min(v.id) FILTER (v.kt = n.kt OR v.km = n.kt), min(v.id) FILTER (v.kt = n.km)) AS viejo
+          FROM (SELECT DISTINCT paso FROM marcha) m JOIN fila n ON n.paso = m.paso + 1
+          LEFT JOIN (SELECT r.libreria_id, v.* FROM recurring.marcha r JOIN vigencias v ON v.id = r.id
+              AND r.queda AND CASE WHEN r.viejo IS NULL THEN v.nueva ELSE v.repetida END) v
+            ON v.libreria_id = n.libreria_id AND v.desde <= n.turno AND n.turno < v.hasta
+            AND n.kt <> '' AND v.kt <> '' AND (v.ka = n.ka OR v.ka = '' OR n.ka = '')
+            AND (v.kt = n.kt OR v.km = n.kt OR (n.km <> '' AND v.kt = n.km))
+          GROUP BY ALL) g) f)
+    SELECT m.id, m.libreria_id, m.lote_id, c.titulo, c.autor,
+    CASE WHEN m.viejo IS NULL THEN 'pendiente' ELSE 'descartado' END AS estado, m.viejo AS duplicado_de
+    FROM marcha m JOIN claves c ON c.id = m.id WHERE m.queda""",
+    recursive=True,
+)
+
 # The same walk over the answers of waiting batches; the catalogue stands before the first step.
 _WAITING = f""", claves AS MATERIALIZED (SELECT d.foto_id * 1048576 + d.pos AS id, l.libreria_id, d.lote_id, d.foto_id,
         d.titulo_detectado AS titulo_raw, d.autor_detectado AS autor_raw, d.titulo_corregido AS titulo,

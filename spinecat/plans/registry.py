@@ -13,6 +13,8 @@ from spinecat.operators import (
     catalog,
     cohorts,
     dedup,
+    history,
+    ids,
     intake,
     lifecycle,
     metrics,
@@ -339,6 +341,34 @@ def dedup_sequential(spark, sf):
     )
 
 
+@query
+def dedup_with_decisions(spark, sf):
+    """Readings of every batch, with edits, moves, deletes and resets taken in between."""
+    days = lambda n: F.make_dt_interval(n)
+    lotes = A.lotes(spark, sf).select("id", "libreria_id", "estado", "creado_en")
+    minutes = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") % 1440).cast("int"))
+    batches = lotes.select(F.col("id").alias("lote_id"), "libreria_id", "estado", (F.col("creado_en") + minutes).alias("ts"))
+    placed = A.lecturas(spark, sf).join(batches.select("lote_id", "ts"), "lote_id").withColumnRenamed("id", "linea")
+    readings = ids.allocate(placed, ["ts", "lote_id", "orden", "linea"], 0)
+    n, ts = F.col("id"), F.col("ts")
+    state = F.element_at(F.array(*[F.lit(x) for x in (*schemas.BOOK_STATES, "raro")]), (F.floor(n / 9) % 5 + 1).cast("int"))
+    title = F.when(n % 2 == 0, F.concat(F.lit(" "), "titulo_corregido", F.lit(" "))).otherwise(F.concat(F.lit("Titulo "), (n % 40).cast("string")))
+    edits = readings.filter(n % 9 == 0).select(
+        n.alias("libro_id"), title.alias("titulo"), F.when(n % 4 == 0, "").otherwise(F.col("autor_corregido")).alias("autor"),
+        state.alias("estado"), (ts + days((n % 12).cast("int"))).alias("ts"),
+    )
+    action = F.when(F.col("estado") == "publicado", "publicar").when(F.col("estado") == "descartado", "descartar")
+    moves = batches.select("lote_id", action.alias("accion"), (ts + days(F.lit(1))).alias("ts")).filter("accion IS NOT NULL")
+    shops = batches.select("libreria_id").distinct()
+    first = F.lit("2024-01-10").cast("timestamp") + days((F.col("libreria_id") % 5).cast("int"))
+    resets = shops.select("libreria_id", first.alias("ts")).unionByName(
+        shops.filter("libreria_id % 3 = 0").select("libreria_id", F.lit("2024-01-20").cast("timestamp").alias("ts"))
+    )
+    deletes = readings.filter(n % 31 == 0).select(n.alias("libro_id"), (ts + days(F.lit(3))).alias("ts"))
+    out = history.dedup_with_decisions(readings.drop("ts", "linea"), batches, edits, moves, resets, deletes)
+    return out.select("id", "libreria_id", "lote_id", "titulo", "autor", "estado", "duplicado_de")
+
+
 @query
 def dedup_counters(spark, sf):
     return dedup.batch_counters(_rebuilt(spark, sf))
