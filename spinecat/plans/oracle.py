@@ -401,6 +401,7 @@ _REBUILT = """SELECT m.id, m.libreria_id, m.lote_id, b.titulo, b.autor,
     m.viejo AS duplicado_de FROM marcha m JOIN libros b ON b.id = m.id WHERE m.queda"""
 define("dedup_sequential", ["libros"], f"{_WALK} {_REBUILT}", recursive=True)
 define("stream_dedup", ["libros"], f"{_WALK} {_REBUILT}", recursive=True)
+define("stream_dedup_parts", ["libros"], f"{_WALK} {_REBUILT}", recursive=True)
 define(
     "dedup_counters",
     ["libros"],

@@ -10,7 +10,7 @@ from test_dedup import AUTHORS, READING, TITLES
 from spinecat import schemas
 from spinecat.operators import cohorts, intake
 from spinecat.sources import files
-from spinecat.streaming import jobs
+from spinecat.streaming import index, jobs
 
 T0 = dt.datetime(2024, 1, 3)
 
@@ -149,17 +149,38 @@ def test_dedup_in_parts_equals_the_sequential_rule(spark, tmp_path):
     )
 
 
-def test_a_reset_empties_the_index(spark, tmp_path):
+def test_closed_books_leave_the_index(spark, tmp_path):
     make = lambda i, b: spark.createDataFrame(
         [(i, 1, b, 1, 0, "t", "", "Rayuela", "", 0.5)], READING
     )
-    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
-    make(1, 1).write.mode("append").parquet(folder)
-    make(2, 2).write.mode("append").parquet(folder)
+    folder, out, gone = (str(tmp_path / x) for x in ("in", "out", "gone"))
+    for i in range(1, 4):
+        make(i, i).write.mode("append").parquet(folder)
+    spark.createDataFrame([(1,)], "id long").write.parquet(gone)
     stream = spark.readStream.schema(make(1, 1).schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    archive = lambda df: df.withColumn("archivado_en", F.current_timestamp())
-    jobs.start_dedup(stream, out, current=archive).awaitTermination()
-    assert [r.estado for r in jobs.stored_books(spark, out).collect()] == ["pendiente", "pendiente"]
+    jobs.start_dedup(stream, out, closed=gone).awaitTermination()
+    assert {r.id: r.duplicado_de for r in jobs.stored_books(spark, out).collect()} == {1: None, 2: None, 3: 2}
+
+
+def test_index_parts_and_buckets(spark, tmp_path):
+    """Every micro-batch is in exactly one live part, a retry adds nothing, other buckets are not read."""
+    for before in range(70):
+        held = sorted(e for level, n in index.live_parts(before, 3) for e in range(n * 3**level, (n + 1) * 3**level))
+        assert held == list(range(before))
+    schema = spark.createDataFrame([], "k string, n long").schema
+    store = index.Index(spark, str(tmp_path / "ix"), schema, ["k"], fan=2)
+    make = lambda e: spark.createDataFrame([(f"k{j}", e) for j in range(30)] if e != 3 else [], schema)
+    store.start(make(100))
+    for epoch in (0, 1, 1, 2, 3, 3, 4):
+        store.add(make(epoch), epoch)
+    got = store.asked(spark.createDataFrame([("k7",)], "k string"), 5)
+    assert sorted(r.n for r in got.filter("k = 'k7'").collect()) == [0, 1, 2, 4, 100]
+    assert sorted(r.n for r in store.asked(make(0), 2).filter("k = 'k7'").collect()) == [0, 1, 100]
+    buckets = {f.split("cubo=")[1].split("/")[0] for f in got.inputFiles() if "cubo=" in f}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "cubo" in plan
+    assert len(spark.createDataFrame([(f"k{j}",) for j in range(30)], "k string").select(index.bucket("k")).distinct().collect()) > 5
+    assert len(buckets) >= 1 and len({r.k for r in got.collect()}) < 10
 
 
 def test_dedup_starts_from_a_stored_catalogue(spark, tmp_path):
