@@ -41,9 +41,12 @@ SLICE = 3_000_000
 
 
 
+_CATEGORY = [unicodedata.category(chr(x)) for x in range(0x110000)]
+
+
 def _class(*kinds: str) -> str:
     """The code points of some Unicode categories, as ranges of a character class."""
-    points = np.array([x for x in range(0x110000) if unicodedata.category(chr(x))[: len(kinds[0])] in kinds])
+    points = np.flatnonzero([x.startswith(kinds) for x in _CATEGORY])
     breaks = np.flatnonzero(np.diff(points) > 1)
     firsts, lasts = points[np.append(0, breaks + 1)], points[np.append(breaks, len(points) - 1)]
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(firsts, lasts))
@@ -51,6 +54,16 @@ def _class(*kinds: str) -> str:
 
 #: A letter, then letters and the marks on them; numerals such as one half are no letters.
 WORD = re.compile(f"[{_class('L')}][{_class('L', 'M')}]*")
+#: The same words, found faster, for texts without marks and such numerals.
+PLAIN_WORD = re.compile(r"[^\W\d_]+")
+_ODD = np.array([x.startswith(("Nl", "No", "M")) for x in _CATEGORY])
+
+
+def pattern(text: str) -> re.Pattern:
+    if text.isascii() or not _ODD[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")].any():
+        return PLAIN_WORD
+    return WORD
+
 
 #: First code point of each range of scripts, in order; a range ends where the next begins.
 SCRIPTS = (
@@ -120,7 +133,7 @@ def learn(rows: DataFrame, text_col: str, label_col: str) -> dict:
             texts = pc.fill_null(part.column(1).cast(pa.string()), "").to_pylist()
             words, seen = Words(), [[] for _ in number]
             for tag, text in zip(tags, texts, strict=True):
-                seen[number[tag]].extend(map(words.__getitem__, WORD.findall(text)))
+                seen[number[tag]].extend(map(words.__getitem__, pattern(text).findall(text)))
             if not words:
                 continue
             owners, buckets, scripts = features(words.new)
@@ -225,7 +238,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, switch: f
 
 
 def _judge(scorer: Scorer, texts: list[str], switch: float):
-    words = [WORD.findall(x) for x in texts]
+    words = [pattern(x).findall(x) for x in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     lookup = scorer.words.__getitem__
     flat = list(chain.from_iterable(words))
@@ -248,7 +261,7 @@ def _judge(scorer: Scorer, texts: list[str], switch: float):
 
 
 def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
-    found = [m.span() for m in WORD.finditer(text)]
+    found = [m.span() for m in pattern(text).finditer(text)]
     edges = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(found)]
     return [
         {"start": found[a][0], "end": found[b - 1][1], "lang": langs[labels[a]]}
