@@ -94,6 +94,27 @@ def near_copies(docs, size=4, limit=4):
     return [(i, f"{f:016x}", least[roots[f]]) for i, f in prints.items()]
 
 
+def shingle_set(text, size=5):
+    ws = SPACE.findall((text or "").translate(LOWER))
+    return {tuple(ws[k : k + size]) for k in range(max(1, len(ws) - size + 1))} if ws else set()
+
+
+def similar_groups(docs, least=0.8):
+    """Least place in ``docs`` of each one's component over shingle similarity, and the links."""
+    sets = [shingle_set(t) for _, t in docs]
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    links = set()
+    for k, s in enumerate(sets):
+        shared = Counter(j for x in s for j in holders[x] if j > k)
+        links |= {(k, j) for j, n in shared.items() if n >= least * (len(s) + len(sets[j]) - n) - 1e-9}
+    empty = [k for k, s in enumerate(sets) if not s]
+    links |= {(empty[0], k) for k in empty[1:]}
+    return components(range(len(docs)), links), links
+
+
 def rule_counts(docs):
     """op8: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
     out = []

@@ -170,8 +170,9 @@ def test_pipeline_plain(spark, con):
     table = con.execute("SELECT doc_id, text, source FROM documents").fetchall()
     items = con.execute("SELECT item_id, text FROM benchmark").fetchall()
     kept = [r for r in table if r[1] and re.search(r"[^\W\d_]", r[1])]
-    groups = {i: least for i, _, least in brute.near_copies([r[:2] for r in kept])}
-    kept = [r for r in kept if groups[r[0]] == r[0]]
+    kept.sort()
+    groups, _ = brute.similar_groups([r[:2] for r in kept])
+    kept = [r for k, r in enumerate(kept) if groups[k] == k]
     windows = set()
     for _, text in items:
         ws = brute.ALNUM.findall(text.translate(brute.LOWER))
