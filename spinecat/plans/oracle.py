@@ -946,6 +946,12 @@ _STUDY = f""", suma AS (SELECT modelo, foto_id, count(*) AS n,
         CASE WHEN legible THEN r.costo ELSE 0 END AS costo, r.latencia_ms
       FROM respuestas r LEFT JOIN exacta e ON r.foto_id = e.foto_id)"""
 define("image_metrics", ["detecciones"], f"{_STUDY} SELECT * FROM estudio")
+define(
+    "images_by_books",
+    ["detecciones"],
+    f"""{_STUDY} SELECT *, row_number() OVER (PARTITION BY modelo ORDER BY cant_libros, foto_id)
+        AS puesto FROM estudio""",
+)
 define(
     "study_cost",
     ["respuestas"],

@@ -714,6 +714,14 @@ def image_metrics(spark, sf):
     return quality.image_metrics(_answers(spark, sf))
 
 
+@query
+def images_by_books(spark, sf):
+    """Results of a model's images by number of books, fewest first; the place proves the order."""
+    rows = quality.image_metrics(_answers(spark, sf))
+    placed = pages.numbered(rows, ["modelo"], ["cant_libros", "foto_id"])
+    return placed.withColumnRenamed("numero", "puesto")
+
+
 @query
 def study_cost(spark, sf):
     answers = _answers(spark, sf)
