@@ -145,15 +145,45 @@ def _open_hangul(col: Column) -> Column:
     ).otherwise(col)
 
 
-def search_form(col: Column | str) -> Column:
-    """Public search: drop combining accents only, lower, trim; other scripts survive.
+@cache
+def _mark_tables() -> tuple[str, str, str]:
+    """Marks with a combining class, a letter in the order of these classes for each, and their pattern."""
+    codes = [code for code in _CODE_POINTS if unicodedata.combining(chr(code))]
+    ranges = []
+    for code in codes:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    marks = "".join(map(chr, codes))
+    classes = "".join(chr(0x4E00 + unicodedata.combining(x)) for x in marks)
+    return marks, classes, "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
-    Marks of other scripts keep their written order: two or more on one letter are not sorted.
-    """
+
+def _order_marks(col: Column) -> Column:
+    """Canonical order: the marks of each run by combining class, equal classes as they stand."""
+    marks, classes, pattern = _mark_tables()
+
+    def ordered(piece: Column) -> Column:
+        letters = F.regexp_extract_all(piece, F.lit("(?s)(.)"), 1)
+        placed = F.transform(
+            letters, lambda c, i: F.struct(F.translate(c, marks, classes).alias("k"), i.alias("i"), c.alias("c"))
+        )
+        return F.array_join(F.transform(F.array_sort(placed), lambda x: x["c"]), "")
+
+    pieces = F.regexp_extract_all(col, F.lit(f"([{pattern}]+|[^{pattern}]+)"), 1)
+    run = f"[{pattern}]{{2}}"
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(run), ordered(p)).otherwise(p)), "")
+
+
+def search_form(col: Column | str) -> Column:
+    """Public search: decompose, drop combining accents only, lower, trim; other scripts survive."""
     text = or_empty(col)
     source, target, longer = _search_tables()
     opened = _open_hangul(_spell_out(F.translate(text, source, target), longer))
-    bare = F.regexp_replace(opened, r"[\u0300-\u036f]", "")
+    # Below U+0483 there are no marks but the ones that are dropped.
+    sorted_ = F.when(text.rlike(r"[\x{483}-\x{10ffff}]"), _order_marks(opened)).otherwise(opened)
+    bare = F.regexp_replace(sorted_, r"[\u0300-\u036f]", "")
     return strip(
         F.lower(F.when(text.rlike(_NON_ASCII), bare).otherwise(text)), BROWSER_SPACE
     )

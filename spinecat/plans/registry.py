@@ -792,7 +792,7 @@ def stream_ingest(spark, sf):
     folder = run_dir(spark, "ingesta")
     raw = A.stream_raw_events(spark, sf).drop("creado_en")
     jobs.start_ingest(raw, A.librerias(spark, sf), folder).awaitTermination()
-    return spark.read.parquet(f"{folder}/aceptados").select(
+    return jobs.committed(spark, folder, "aceptados", schemas.EVENTOS).select(
         "id", "libreria_id", "tipo", "payload", "session_id"
     )
 
@@ -801,10 +801,9 @@ def stream_ingest(spark, sf):
 def stream_weekly(spark, sf):
     folder = run_dir(spark, "semanas")
     counts = jobs.weekly_counts(A.stream_eventos(spark, sf))
-    jobs.start_table(counts, folder).awaitTermination()
-    rows = jobs.newest(
-        jobs.read_parts(spark, folder + "/datos", counts.schema), ["libreria_id", "semana"]
-    )
+    keys = ["libreria_id", "semana"]
+    jobs.start_table(counts, folder, keys=keys).awaitTermination()
+    rows = jobs.current(spark, folder, counts.schema, keys)
     return rows.withColumn("semana", text.iso_date("semana"))
 
 
@@ -884,5 +883,5 @@ def stream_dedup_parts(spark, sf):
 def stream_progress(spark, sf):
     folder = run_dir(spark, "progreso")
     rows = jobs.batch_progress(A.stream_libros(spark, sf))
-    jobs.start_table(rows, folder).awaitTermination()
-    return jobs.newest(jobs.read_parts(spark, folder + "/datos", rows.schema), ["lote_id"])
+    jobs.start_table(rows, folder, keys=["lote_id"]).awaitTermination()
+    return jobs.current(spark, folder, rows.schema, ["lote_id"])

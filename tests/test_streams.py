@@ -4,6 +4,8 @@ import datetime as dt
 import random
 
 import plain
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from test_dedup import AUTHORS, READING, TITLES
 
@@ -200,3 +202,51 @@ def test_dedup_starts_from_a_stored_catalogue(spark, tmp_path):
     stream = spark.readStream.schema(make(1, 1, "").schema).option("maxFilesPerTrigger", 1).parquet(folder)
     jobs.start_dedup(stream, out, existing=old).awaitTermination()
     assert {r.id: r.duplicado_de for r in jobs.stored_books(spark, out).collect()} == {11: 3, 12: None}
+
+
+def test_a_crash_between_the_sinks_of_a_micro_batch_shows_neither(spark, tmp_path, monkeypatch):
+    shops = spark.createDataFrame([("uno", 1, True)], "slug string, id long, activa boolean")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    make = lambda r: spark.createDataFrame(r, schemas.EVENTOS_RAW)
+    write_parts(make, [[("uno", "vista", "{}", "s"), ("tres", "vista", "{}", "s")]], folder)
+    written = jobs._part
+
+    def start():
+        stream = spark.readStream.schema(schemas.EVENTOS_RAW).option("maxFilesPerTrigger", 1).parquet(folder)
+        jobs.start_ingest(stream, shops, out).awaitTermination()
+
+    def count(sink):
+        return jobs.committed(spark, out, sink, schemas.EVENTOS_RAW).count()
+
+    def cut(df, path, epoch):
+        if path.endswith("rechazados"):
+            raise RuntimeError("lost")
+        written(df, path, epoch)
+
+    for before in (0, 1):  # in the first micro-batch, and in a later one
+        monkeypatch.setattr(jobs, "_part", cut)
+        with pytest.raises(StreamingQueryException):
+            start()
+        assert spark.read.parquet(out + "/aceptados").count() == before + 1
+        assert (count("aceptados"), count("rechazados")) == (before, before)
+        monkeypatch.setattr(jobs, "_part", written)
+        start()
+        assert (count("aceptados"), count("rechazados")) == (before + 1, before + 1)
+        write_parts(make, [[("uno", "scan_qr", "{}", "s"), ("tres", "vista", "{}", "s")]], folder)
+
+
+def test_folded_parts_give_the_newest_rows(spark, tmp_path):
+    rows = [(i % 4, i, None) for i in range(14)]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    make = lambda r: spark.createDataFrame(r, "lote_id long, foto_id long, duplicado_de long")
+    write_parts(make, [rows[i : i + 2] for i in range(0, 14, 2)], folder)
+    stream = spark.readStream.schema(make([]).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    progress = jobs.batch_progress(stream)
+    jobs.start_table(progress, out, keys=["lote_id"], fan=2).awaitTermination()
+    got = jobs.current(spark, out, progress.schema, ["lote_id"], fan=2)
+    every = jobs.newest(jobs.read_parts(spark, out + "/datos", progress.schema), ["lote_id"])
+    expected = jobs.batch_progress(make(rows))
+    assert sorted(got.collect()) == sorted(every.collect()) == sorted(expected.collect())
+    # Seven micro-batches: four in one fold, two in another, one as it was written.
+    read = {x.split("/out/")[1].rsplit("/", 1)[0] for x in got.inputFiles()}
+    assert read == {"pliegues/nivel=2/parte=0", "pliegues/nivel=1/parte=2", "datos/epoca=6"}

@@ -120,3 +120,21 @@ def test_overlap_limits(spark):
     assert fits("a b c d e", "a b c x y")
     assert not fits("a b c d e", "a b x y z")
     assert fits("a", "a z") and not fits("a a", "b b") and not fits("", "a")
+
+
+def test_search_form_orders_marks_as_the_standard(spark):
+    rnd = random.Random(11)
+    marks = [chr(x) for x in range(0x300, 0x20000) if unicodedata.combining(chr(x))]
+    wholes = [chr(x) for x in range(0x483, 0x12000) if len(unicodedata.normalize("NFD", chr(x))) > 1 and not 0xAC00 <= x < 0xD7A4]
+    values = []
+    for _ in range(400):
+        letters = [rnd.choice(["a", "\u00e9", "\u05e9", "\u0628", "\u0915", "\n", rnd.choice(wholes)]) for _ in range(4)]
+        values.append("".join(x + "".join(rnd.choices(marks, k=rnd.randrange(5))) for x in letters) + "x")
+    values += ["\u05e9\u05bc\u05c1", "\u0301\u034f\u05b0", "a\u05b0\u034f\u0591\u05b0", ""]
+
+    def standard(value):
+        bare = "".join(c for c in unicodedata.normalize("NFD", value) if not 0x300 <= ord(c) <= 0x36F)
+        return bare.lower().strip(text.BROWSER_SPACE)
+
+    got = apply(spark, values, text.search_form)
+    assert [a for a, v in zip(got, values) if a != standard(v)] == []
