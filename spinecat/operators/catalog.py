@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spinecat import schemas
 from spinecat.functions import text
-from spinecat.operators.pages import json_pages
+from spinecat.operators.pages import json_pages, numbered
 
 
 def active(shops: DataFrame) -> DataFrame:
@@ -44,18 +44,19 @@ def published_counts(books: DataFrame) -> DataFrame:
 
 
 def shop_book_counts(shops: DataFrame, books: DataFrame) -> DataFrame:
-    """Every active shop with its published books, newest shop first.
+    """Every active shop with its published books; ``puesto`` is its place, newest shop first.
 
     Books are counted before the join, so one row per shop crosses it.
     """
     counts = published_counts(books)
     known = active(shops).select(F.col("id").alias("libreria_id"), "slug", "nombre", "creado_en")
     joined = known.join(counts, "libreria_id", "left").fillna(0, ["cant_libros"])
-    return joined.orderBy(F.desc("creado_en"), "libreria_id")
+    placed = numbered(joined, [], [F.desc("creado_en"), F.col("libreria_id")])
+    return placed.withColumnRenamed("numero", "puesto")
 
 
 def review_queue(batches: DataFrame, books: DataFrame) -> DataFrame:
-    """Batches waiting for review with their non-repeated books, newest first."""
+    """Batches waiting for review with their non-repeated books; ``puesto`` is their place, newest first."""
     counts = (
         new_books(books)
         .filter(F.col("lote_id").isNotNull())
@@ -64,9 +65,9 @@ def review_queue(batches: DataFrame, books: DataFrame) -> DataFrame:
     )
     waiting = batches.filter((F.col("estado") == "revision") & _live())
     joined = waiting.join(counts, "id", "left").fillna(0, ["cant_libros"])
-    return joined.select("id", "libreria_id", "cant_fotos", "creado_en", "cant_libros").orderBy(
-        F.desc("creado_en"), F.desc("id")
-    )
+    listed = joined.select("id", "libreria_id", "cant_fotos", "creado_en", "cant_libros")
+    placed = numbered(listed, ["libreria_id"], [F.desc("creado_en"), F.desc("id")])
+    return placed.withColumnRenamed("numero", "puesto")
 
 
 def public_catalog(shops: DataFrame, books: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def json_pages(
     return join_unique(documents, total, keys)
 
 
-def ranged(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def ranged(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """Rows dealt into ranges of (keys, order); ``tramo`` is the number of the range.
 
     The checkpoint fixes the ranges, so that a lost executor cannot move a row between two
@@ -41,7 +41,7 @@ def ranged(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return materialise(spread)
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """Position ``numero`` of each row within its key, without a task that sees the whole key."""
     fixed = ranged(rows, keys, order)
     counts = fixed.groupBy(*keys, "tramo").agg(F.count("*").alias("m"))

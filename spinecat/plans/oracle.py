@@ -34,7 +34,8 @@ define(
     "shop_book_counts",
     ["librerias", "libros"],
     f"""SELECT l.id AS libreria_id, l.slug, l.nombre, {stamp('l.creado_en')} AS creado_en,
-    (SELECT count(*) FROM libros b WHERE b.libreria_id = l.id AND {PUBLIC}) AS cant_libros
+    (SELECT count(*) FROM libros b WHERE b.libreria_id = l.id AND {PUBLIC}) AS cant_libros,
+    row_number() OVER (ORDER BY l.creado_en DESC, l.id) AS puesto
     FROM librerias l WHERE l.activa""",
 )
 define(
@@ -47,7 +48,8 @@ define(
     ["lotes", "libros"],
     f"""SELECT l.id, l.libreria_id, l.cant_fotos, {stamp('l.creado_en')} AS creado_en,
     sum(CASE WHEN b.id IS NOT NULL AND b.duplicado_de IS NULL THEN 1 ELSE 0 END)::BIGINT
-        AS cant_libros
+        AS cant_libros,
+    row_number() OVER (PARTITION BY l.libreria_id ORDER BY l.creado_en DESC, l.id DESC) AS puesto
     FROM lotes l LEFT JOIN libros b ON b.lote_id = l.id
     WHERE l.estado = 'revision' AND l.archivado_en IS NULL
     GROUP BY l.id, l.libreria_id, l.cant_fotos, l.creado_en""",
