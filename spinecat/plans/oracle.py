@@ -1052,3 +1052,13 @@ define(
     FROM (SELECT *, estado = 'descartado' AND l_partkey % 2 = 0 AS repetido FROM lineas)
     GROUP BY lote_id""",
 )
+
+# --- stored tables and results ------------------------------------------------------------
+
+define(
+    "stored_tables",
+    ["libros"],
+    f"""SELECT id, libreria_id, lote_id, titulo, autor, estado, duplicado_de,
+    {stamp('creado_en')} AS creado_en, {stamp('archivado_en')} AS archivado_en FROM libros""",
+)
+STATEMENTS["stored_results"] = STATEMENTS["image_metrics"]

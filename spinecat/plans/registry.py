@@ -784,6 +784,30 @@ def unique_docs(spark, sf):
     return quality.unique_files(docs, copies, "doc_id")
 
 
+# --- stored tables and results ------------------------------------------------------------
+
+
+@query
+def stored_tables(spark, sf):
+    """Books written as a stored table and read back with its declared schema."""
+    folder = run_dir(spark, "tablas")
+    files.write_table(A.libros(spark, sf), folder, "libros")
+    rows = files.read_table(spark, folder, "libros")
+    return rows.select(
+        "id", "libreria_id", "lote_id", "titulo", "autor", "estado", "duplicado_de",
+        stamp("creado_en").alias("creado_en"), stamp("archivado_en").alias("archivado_en"),
+    )
+
+
+@query
+def stored_results(spark, sf):
+    """Results of the images written as a JSON report and read back."""
+    folder = run_dir(spark, "resultados")
+    results = quality.image_metrics(_answers(spark, sf))
+    files.write_report(results, folder)
+    return spark.read.schema(results.schema).json(folder)
+
+
 # --- streams, run to the end of what is there ---------------------------------------------
 
 
