@@ -250,3 +250,20 @@ def test_folded_parts_give_the_newest_rows(spark, tmp_path):
     # Seven micro-batches: four in one fold, two in another, one as it was written.
     read = {x.split("/out/")[1].rsplit("/", 1)[0] for x in got.inputFiles()}
     assert read == {"pliegues/nivel=2/parte=0", "pliegues/nivel=1/parte=2", "datos/epoca=6"}
+
+
+def test_a_stream_of_readings_leaves_no_shuffle_files(spark, tmp_path):
+    readings = spark.range(0, 400).select(
+        "id", F.lit(1).cast("long").alias("libreria_id"), (F.col("id") % 50).alias("lote_id"), F.lit(1).cast("long").alias("foto_id"),
+        F.lit(0).alias("orden"), F.lit("t").alias("titulo_detectado"), F.lit("").alias("autor_detectado"),
+        F.concat(F.lit("Libro "), (F.col("id") % 90).cast("string")).alias("titulo_corregido"), F.lit("").alias("autor_corregido"),
+        F.lit(0.5).alias("confianza"),
+    )
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    readings.write.parquet(folder)
+    stream = spark.readStream.schema(readings.schema).parquet(folder)
+    files_of = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files_of()
+    jobs.start_dedup(stream, out).awaitTermination()
+    assert files_of() <= before
+    assert jobs.stored_books(spark, out).filter("duplicado_de is null").count() == 90
