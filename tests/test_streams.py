@@ -267,3 +267,19 @@ def test_a_stream_of_readings_leaves_no_shuffle_files(spark, tmp_path):
     jobs.start_dedup(stream, out).awaitTermination()
     assert files_of() <= before
     assert jobs.stored_books(spark, out).filter("duplicado_de is null").count() == 90
+
+
+def test_a_later_arrival_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from spinecat.plans import registry
+
+    monkeypatch.setattr(registry, "run_dir", lambda spark, label: str(tmp_path / label))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4KB")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1KB")
+    try:
+        registry.QUERIES["stream_dedup_parts"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    parts = tmp_path / "partes"
+    assert len(list((parts / "entrada").glob("*.parquet"))) > 3
+    assert len(list((parts / "datos").glob("epoca=*"))) == 3
