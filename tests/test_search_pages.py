@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from spinecat.functions import text
-from spinecat.operators import search
+from spinecat.operators import pages, search
 from spinecat.operators.pages import json_pages
 from spinecat.sources import files
 
@@ -69,3 +69,14 @@ def test_catalog_files_are_ordered_by_title(spark, tmp_path):
     assert [x["id"] for x in lines] == [1, 2]
     files.write_report(df, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 3
+
+
+def test_numbers_do_not_shuffle_rows_for_the_sums_of_ranges(spark):
+    """A key that spans ranges, also one without a value, is numbered on; the sums are broadcast."""
+    rows = spark.range(0, 2_000, 1, 4).select("id", F.when(F.col("id") % 3 == 0, F.lit("x")).alias("k"))
+    out = pages.numbered(rows, ["k"], ["id"])
+    told = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in told and "BroadcastHashJoin" in told
+    got = {(r.k, r.id): r.numero for r in out.collect()}
+    for k in (None, "x"):
+        assert [got[key] for key in sorted((x for x in got if x[0] == k), key=lambda x: x[1])] == list(range(1, sum(x[0] == k for x in got) + 1))
