@@ -1,5 +1,8 @@
 """Many search-box entries against the catalogues of their shops.
 
+A shop with few different terms compares each of its books with all of them: that is bounded
+work per book, and only the books themselves are shuffled, once. The others go by pieces.
+
 A substring can sit inside a word, so words are no safe blocking key; character grams are.
 Every text offers its one-, two- and three-character pieces; an entry asks with a single
 piece, the rarest of its own. Whatever contains the entry contains that piece, so nothing is
@@ -20,6 +23,9 @@ from spinecat.session import materialise
 
 GRAM = 3
 
+#: Different terms up to which a shop's books are compared with each of them.
+DIRECT = 128
+
 
 def _pieces(col: Column, size: int) -> Column:
     """All substrings of one length; the lookahead lets matches overlap."""
@@ -81,22 +87,52 @@ def _matches(terms: DataFrame, faces: DataFrame) -> DataFrame:
     return found.filter(F.contains("t", "termino") | F.contains("a", "termino"))
 
 
+def _asked_terms(asked: DataFrame, blank: bool) -> DataFrame:
+    """Distinct terms of each shop, with their number in the shop (``cuantos``)."""
+    rows = asked if blank else asked.filter(F.col("termino") != "")
+    terms = rows.select("libreria_id", "termino").distinct()
+    sizes = terms.groupBy("libreria_id").agg(F.count("*").alias("cuantos"))
+    return materialise(join_unique(terms, sizes, ["libreria_id"]))
+
+
+def _compared(shelf: DataFrame, few: DataFrame, keep: list[str]) -> DataFrame:
+    """Books with the terms that occur in them, each book against the short list of its shop."""
+    lists = few.groupBy("libreria_id").agg(F.collect_list("termino").alias("terminos"))
+    rows = join_unique(shelf.select("libreria_id", "t", "a", *keep), lists, ["libreria_id"], "inner")
+    found = F.filter("terminos", lambda x: F.contains(F.col("t"), x) | F.contains(F.col("a"), x))
+    return rows.select("libreria_id", *keep, F.explode(found).alias("termino"))
+
+
+def _split(terms: DataFrame, direct: int) -> tuple[DataFrame, DataFrame | None]:
+    """Terms of the shops with up to ``direct`` of them, and those of the others if there are any."""
+    many = terms.filter(F.col("cuantos") > direct).select("libreria_id", "termino")
+    return terms.filter(F.col("cuantos") <= direct), None if many.isEmpty() else many
+
+
+def _of_shops(shelf: DataFrame, terms: DataFrame) -> DataFrame:
+    return join_unique(shelf, terms.select("libreria_id").distinct(), ["libreria_id"], "left_semi")
+
+
 def result_counts(
     queries: DataFrame,
     books: DataFrame,
     form: Callable[[Column | str], Column] = text.search_form,
     blank_finds_all: bool = False,
+    direct: int = DIRECT,
 ) -> DataFrame:
     """Number of results of each entry, as the search events record it."""
     asked, shelf = _prepare(queries, books, form)
-    faces = shelf.groupBy("libreria_id", "cara", "t", "a").agg(F.count("*").alias("n"))
-    terms = asked.filter(F.col("termino") != "").select("libreria_id", "termino").distinct()
-    counts = _matches(terms, faces).groupBy("libreria_id", "termino").agg(
-        F.sum("n").alias("resultados")
-    )
-    if blank_finds_all:
-        everything = shelf.groupBy("libreria_id").agg(F.count("*").alias("resultados"))
-        counts = counts.unionByName(everything.withColumn("termino", F.lit("")))
+    # The empty term occurs in every book.
+    few, many = _split(_asked_terms(asked, blank_finds_all), direct)
+    counts = _compared(shelf, few, []).groupBy("libreria_id", "termino").agg(F.count("*").alias("resultados"))
+    if many is not None:
+        own = _of_shops(shelf, many)
+        faces = own.groupBy("libreria_id", "cara", "t", "a").agg(F.count("*").alias("n"))
+        found = _matches(many.filter(F.col("termino") != ""), faces)
+        counts = counts.unionByName(found.groupBy("libreria_id", "termino").agg(F.sum("n").alias("resultados")))
+        if blank_finds_all:
+            everything = own.groupBy("libreria_id").agg(F.count("*").alias("resultados"))
+            counts = counts.unionByName(everything.withColumn("termino", F.lit("")))
     return (
         join_unique(asked, counts, ["libreria_id", "termino"])
         .fillna(0, ["resultados"])
@@ -108,14 +144,20 @@ def hits(
     queries: DataFrame,
     books: DataFrame,
     form: Callable[[Column | str], Column] = text.search_form,
+    direct: int = DIRECT,
 ) -> DataFrame:
     """Books found by each distinct term of a shop."""
     asked, shelf = _prepare(queries, books, form)
-    faces = shelf.select("libreria_id", "cara", "t", "a").distinct()
-    terms = asked.filter(F.col("termino") != "").select("libreria_id", "termino").distinct()
-    return (
-        _matches(terms, faces)
+    few, many = _split(_asked_terms(asked, False), direct)
+    found = _compared(shelf, few, ["id"]).select("libreria_id", "termino", "id")
+    if many is None:
+        return found
+    own = _of_shops(shelf, many)
+    faces = own.select("libreria_id", "cara", "t", "a").distinct()
+    by_pieces = (
+        _matches(many, faces)
         .select("libreria_id", "termino", "cara", "t", "a")
-        .join(shelf.select("libreria_id", "cara", "t", "a", "id"), ["libreria_id", "cara", "t", "a"])
+        .join(own.select("libreria_id", "cara", "t", "a", "id"), ["libreria_id", "cara", "t", "a"])
         .select("libreria_id", "termino", "id")
     )
+    return found.unionByName(by_pieces)

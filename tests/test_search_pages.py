@@ -47,6 +47,26 @@ def test_search_finds_every_substring(spark):
     }
 
 
+def test_few_terms_of_a_shop_need_no_pieces(spark, monkeypatch):
+    """Shops below the limit compare books and terms; both ways, and a mixture, find the same."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abc ñ") for _ in range(rnd.randrange(0, n)))
+    bs = spark.createDataFrame([(i, i % 3, word(9), word(4)) for i in range(120)], "id long, libreria_id long, titulo string, autor string")
+    rows = [(i, min(i % 5, 3), word(4)) for i in range(90)] + [(90, None, "a"), (91, 0, None)]
+    qs = spark.createDataFrame(rows, "consulta_id long, libreria_id long, q string")
+
+    def found(direct):
+        counts = search.result_counts(qs, bs, direct=direct).collect()
+        panel = search.result_counts(qs, bs, text.inventory_form, blank_finds_all=True, direct=direct).collect()
+        return sorted(map(str, counts)), sorted(map(str, panel)), sorted(map(str, search.hits(qs, bs, direct=direct).collect()))
+
+    sizes = {s: len({text_ for _, shop, text_ in rows if shop == s}) for s in range(3)}
+    by_pieces = found(0)
+    assert found(sorted(sizes.values())[1]) == by_pieces
+    monkeypatch.setattr(search, "_matches", None)
+    assert found(search.DIRECT) == by_pieces
+
+
 def test_pages_cut_large_keys_and_keep_order(spark):
     rnd = random.Random(2)
     rows = [("grande", rnd.choice("abc"), i) for i in range(57)] + [("chica", "z", 100), ("chica", "y", 101)]
