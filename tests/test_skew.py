@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spinecat.operators import cohorts, lifecycle, metrics, pages, quality, search
 from spinecat.plans import adapters as A
+from spinecat.session import configure
 
 
 @pytest.fixture
@@ -115,3 +116,18 @@ def test_an_import_of_one_day_is_spread_over_ranges(spark):
     gaps = {r.id: r.horas_al_siguiente for r in cohorts.batch_gaps(batches).collect()}
     assert gaps.pop(9_999) is None
     assert len(gaps) == 9_999 and set(gaps.values()) == {3 / 3600}
+
+
+def test_narrow_rows_are_not_merged_into_a_few_tasks(spark):
+    """Line numbers alone shrink to some bytes each: a task still gets a bounded number of rows."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            configure(spark).conf.set(k, v)
+        rows = spark.range(0, 6_000_000, 1, 4).select((F.col("id") / 4).cast("long").alias("lote_id")).repartition("lote_id")
+        most = rows.groupBy(F.spark_partition_id().alias("tarea")).count().agg(F.max("count")).first()[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert most < 2_000_000
