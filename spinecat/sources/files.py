@@ -75,9 +75,11 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def truth_photos(docs: DataFrame, col: str = "texto") -> DataFrame:
-    """Photo and its expected books (array) from JSON maps photo -> expected books."""
-    parsed = docs.select(F.from_json(col, schemas.VERDAD).alias("m"))
-    return parsed.select(F.explode("m").alias("foto", "esperados"))
+    """Photo and its expected books (array) from JSON maps photo -> expected books.
+
+    A map in a column of its own would be parsed twice: a filter on its size goes below the parsing.
+    """
+    return docs.select(F.explode(F.from_json(col, schemas.VERDAD)).alias("foto", "esperados"))
 
 
 def truth_rows(docs: DataFrame, col: str = "texto") -> DataFrame:

@@ -25,7 +25,8 @@ def unfence(col: Column | str, lenient: bool = False) -> Column:
     if not lenient:
         return plain
     braces = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
-    return F.when(braces != "", braces).otherwise(plain)
+    whole = plain.startswith("{") & plain.endswith("}")
+    return F.when(whole, plain).when(braces != "", braces).otherwise(plain)
 
 
 def _is_object(variant: Column) -> Column:
@@ -64,23 +65,32 @@ def parse(responses: DataFrame, lenient: bool = False) -> tuple[DataFrame, DataF
 _AMBIGUOUS = r"^(true|false|-?[0.]+([eE][+-]?\d+)?)?$"
 
 
-def _words(book: Column, name: str) -> Column:
+#: Members of a book that are read at once; one of another type is NULL here.
+_MEMBERS = f"struct<{', '.join(f'{name}: string' for name in TEXTS)}, confianza: double>"
+
+
+def _members(book: Column) -> Column:
+    """The members of an object as texts and a number; NULL for what is no object."""
+    return F.try_variant_get(book, "$", _MEMBERS)
+
+
+def _words(book: Column, members: Column, name: str) -> Column:
     """Text of a member, trimmed; a falsy member is empty."""
-    value = F.try_variant_get(book, f"$.{name}", "string")
+    value = members[name]
     typed = F.when(P.truthy(book, name), P.shown(book, name)).otherwise(F.lit(""))
     unsure = value.isNull() | value.rlike(_AMBIGUOUS)
-    return text.strip(F.when(unsure, typed).otherwise(value))
+    return text.strip(F.when(value == "", value).when(unsure, typed).otherwise(value))
 
 
-def _filled(book: Column, name: str) -> Column:
+def _filled(book: Column, members: Column, name: str) -> Column:
     """Truth of a text member as it stands, before trimming: blanks are a value."""
-    value = F.try_variant_get(book, f"$.{name}", "string")
+    value = members[name]
     unsure = value.isNull() | value.rlike(_AMBIGUOUS)
-    return F.when(unsure, P.truthy(book, name)).otherwise(F.lit(True))
+    return F.when(value == "", F.lit(False)).when(unsure, P.truthy(book, name)).otherwise(F.lit(True))
 
 
-def _level(book: Column) -> Column:
-    number = F.try_variant_get(book, "$.confianza", "double")
+def _level(book: Column, members: Column) -> Column:
+    number = members["confianza"]
     return F.when(number.isNotNull(), number).when(~P.truthy(book, "confianza"), F.lit(0.0))
 
 
@@ -114,14 +124,15 @@ def books(answers: DataFrame) -> DataFrame:
     ``pos`` is the place in the answer's list; ``titulo`` the corrected title or, where that
     member is falsy, the detected one. An answer stays one row; a failed one has no books.
     """
-    objects = F.filter(F.transform(LIST, lambda v, i: F.struct(i.alias("pos"), v.alias("v"))), lambda x: _is_object(x["v"]))
+    told = F.transform(LIST, lambda v, i: F.struct(i.alias("pos"), v.alias("v"), _members(v).alias("m")))
+    objects = F.filter(told, lambda x: x["m"].isNotNull())
     plain = F.transform(
         objects,
         lambda x: F.struct(
             x["pos"].alias("pos"),
-            *[_words(x["v"], name).alias(name) for name in TEXTS],
-            _filled(x["v"], "titulo_corregido").alias("hay"),
-            _level(x["v"]).alias("confianza"),
+            *[_words(x["v"], x["m"], name).alias(name) for name in TEXTS],
+            _filled(x["v"], x["m"], "titulo_corregido").alias("hay"),
+            _level(x["v"], x["m"]).alias("confianza"),
         ),
     )
     marked = F.transform(
@@ -153,13 +164,14 @@ def readings(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     photo = [c for c in answers.columns if c != LIST]
     exploded = answers.select(*photo, F.posexplode_outer(LIST).alias("pos", "libro"))
-    book = F.col("libro")
+    exploded = exploded.withColumn("partes", _members(F.col("libro")))
+    book, members = F.col("libro"), F.col("partes")
     rows = exploded.select(
         *photo,
-        F.when(_is_object(book), F.col("pos")).alias("pos"),
-        *[_words(book, name).alias(name) for name in TEXTS],
-        _filled(book, "titulo_corregido").alias("hay"),
-        _level(book).alias("confianza"),
+        F.when(members.isNotNull(), F.col("pos")).alias("pos"),
+        *[_words(book, members, name).alias(name) for name in TEXTS],
+        _filled(book, members, "titulo_corregido").alias("hay"),
+        _level(book, members).alias("confianza"),
     )
     usable = rows.filter(F.col("pos").isNotNull() & (F.col("titulo_detectado") != ""))
     title = F.when(F.col("hay"), F.col("titulo_corregido")).otherwise(F.col("titulo_detectado"))

@@ -1,6 +1,6 @@
 import json
 
-from spinecat.sources import responses
+from spinecat.sources import files, responses
 
 
 def answers(spark, texts):
@@ -78,3 +78,18 @@ def test_fallbacks_and_guard(spark):
     assert got[6].confianza == 0.8 and got[7].confianza == 0.0
     assert (got[9].titulo_corregido, got[9].confianza) == ("1984", 1.0)
     assert (got[10].titulo_detectado, got[10].titulo_corregido) == ("0", "false")
+
+
+def test_texts_are_parsed_once_and_members_read_together(spark):
+    """No filter repeats the parsing of the truth, and no book's whole type is worked out."""
+    docs = spark.createDataFrame([('{"1": [{"titulo": "t", "autor": "a"}], "2": []}',)], "texto string")
+    photos = files.truth_photos(docs)
+    assert photos._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted((r.foto, len(r.esperados)) for r in photos.collect()) == [("1", 1), ("2", 0)]
+    odd = '[1, null, [], "x", {}, {"titulo_corregido": {"a": 1}, "titulo_detectado": 7, "autor_detectado": null, "confianza": "x"}]'
+    answers = responses.read(spark.createDataFrame([(1, f'{{"libros": {odd}}}')], "foto_id long, texto string"))
+    books = responses.books(answers).select("foto_id", "libros")
+    told = books._jdf.queryExecution().optimizedPlan().toString()
+    assert "schema_of_variant" not in told.lower().replace("schemaofvariant", "schema_of_variant")
+    got = [(b.pos, b.titulo, b.autor, b.confianza) for b in books.first().libros]
+    assert got == [(4, "", "", 0.0), (5, '{"a":1}', "", None)]
