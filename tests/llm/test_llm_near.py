@@ -78,3 +78,51 @@ def test_chain_holds_every_pair_within_the_limit():
             x[k] |= np.uint64(1) << np.uint64(b)
     within = np.bitwise_count(x) <= near.BITS
     assert (near.chained(x) == within).all()  # the last budget is the whole distance
+
+
+def test_texts_within_the_sure_bits_share_a_chain_key(spark):
+    """Candidates come from segments of the fingerprints: any three bits of a ring may differ."""
+    rng = np.random.default_rng(2)
+    words = rng.integers(-(2**63), 2**63, 300).tolist()
+    flips = [sum(1 << int(b) for b in rng.permutation(64)[: near.SURE]) for _ in words]
+    others = [int(np.array([(w ^ f) & (2**64 - 1)], dtype=np.uint64).view(np.int64)[0]) for w, f in zip(words, flips, strict=True)]
+    both = spark.createDataFrame(
+        [(k % 24, w, o) for k, (w, o) in enumerate(zip(words, others, strict=True))], "ring int, word long, other long"
+    )
+    keys = [r["k"] for r in both.select(near.chain_keys(range(3, 24)).alias("k")).collect()]
+    near_keys = both.select("ring", both["other"].alias("word")).select(near.chain_keys(range(3, 24)).alias("k"))
+    for a, b in zip(keys, [r["k"] for r in near_keys.collect()], strict=True):
+        assert len(set(a)) == len(near.WIDTHS) and set(a) & set(b)
+
+
+def test_recall_at_the_least_similarity(spark):
+    """Sets of 96 shingles within 120 others, of 4 within 5, of 8 within 10: 0.8 each, at least 0.9 are found."""
+    rnd = random.Random(8)
+    docs = []
+    for words, more in ((100, 24), (8, 1), (12, 2)):
+        for _ in range(250):
+            own = [f"w{rnd.randrange(10**6)}" for _ in range(words + more)]
+            docs += [(len(docs), " ".join(own[:words])), (len(docs) + 1, " ".join(own))]
+    kept = {r["doc_id"] for r in near.keep_first(table(spark, docs)).collect()}
+    assert all(k in kept for k, _ in docs[::2])
+    for at in (0, 500, 1000):
+        assert sum(k not in kept for k, _ in docs[at + 1 : at + 500 : 2]) >= 0.9 * 250
+
+
+def test_crowded_keys_give_the_same_candidates(spark):
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(150)]
+    docs = [(k, " ".join(varied(rnd, words, 2))) for k in range(60)]
+    rows = near.sketches(table(spark, docs), "text").selectExpr("node_", "fp_", "rings_", "node_ AS root_").localCheckpoint()
+    found = [{r["node_"] for r in near.candidates(rows, range(2), crowd).collect()} for crowd in (near.CROWD, 7)]
+    assert found[0] == found[1] and len(found[0]) > 50
+
+
+def test_counters_of_a_byte_hold_long_texts():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 254, 255, 256, 4000, 511])
+    flat = rng.integers(0, 2**63, sizes.sum(), dtype=np.uint64)
+    flat[sizes[:4].sum() : sizes[:5].sum()] |= np.uint64(1 << 40)
+    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for value, part in zip(near.majority(flat, sizes), np.split(bits, np.cumsum(sizes)[:-1]), strict=True):
+        assert int(value) == sum(1 << k for k in range(64) if 2 * part[:, k].sum(dtype=int) > len(part))
