@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinecat import schemas
@@ -156,28 +156,48 @@ def guarded_type() -> str:
     return "array<struct<pos:int,titulo:string,autor:string,confianza:double,autor_descartado:string>>"
 
 
-def readings(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per usable detected book, rows whose confidence is not a number).
-
-    No filter stands on the parsed list: it would be pushed below the parsing and parse every
-    text twice.
-    """
+def _rows(answers: DataFrame) -> DataFrame:
+    """One row per member of the lists, NULL in ``pos`` where it is no object; an empty list gives one row."""
     photo = [c for c in answers.columns if c != LIST]
     exploded = answers.select(*photo, F.posexplode_outer(LIST).alias("pos", "libro"))
     exploded = exploded.withColumn("partes", _members(F.col("libro")))
     book, members = F.col("libro"), F.col("partes")
-    rows = exploded.select(
+    return exploded.select(
         *photo,
         F.when(members.isNotNull(), F.col("pos")).alias("pos"),
         *[_words(book, members, name).alias(name) for name in TEXTS],
         _filled(book, members, "titulo_corregido").alias("hay"),
         _level(book, members).alias("confianza"),
     )
-    usable = rows.filter(F.col("pos").isNotNull() & (F.col("titulo_detectado") != ""))
+
+
+def _usable() -> Column:
+    return F.col("pos").isNotNull() & (F.col("titulo_detectado") != "")
+
+
+def _finish(rows: DataFrame) -> DataFrame:
     title = F.when(F.col("hay"), F.col("titulo_corregido")).otherwise(F.col("titulo_detectado"))
+    return guard_author(rows).withColumn("titulo_corregido", title).drop("hay")
+
+
+def readings(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row per usable detected book, rows whose confidence is not a number).
+
+    No filter stands on the parsed list: it would be pushed below the parsing and parse every
+    text twice.
+    """
+    usable = _rows(answers).filter(_usable())
     bad = F.col("confianza").isNull()
+    return _finish(usable.filter(~bad)), _finish(usable.filter(bad))
 
-    def finish(part: DataFrame) -> DataFrame:
-        return guard_author(part).withColumn("titulo_corregido", title).drop("hay")
 
-    return finish(usable.filter(~bad)), finish(usable.filter(bad))
+def whole_readings(answers: DataFrame, photo: str = "foto_id") -> DataFrame:
+    """``readings`` of the photos of which no usable book has a confidence that is no number.
+
+    The rows of a photo are looked at together where they are parsed, so no text is parsed once more to
+    find the photos to leave out; a window holds the books of one photo.
+    """
+    use = _usable()
+    odd = F.max(use & F.col("confianza").isNull()).over(Window.partitionBy(photo))
+    marked = _rows(answers).withColumns({"usable": use, "rara": odd})
+    return _finish(marked.filter("usable AND NOT rara").drop("usable", "rara"))

@@ -144,3 +144,26 @@ def test_counters_alone_are_those_of_the_rows(spark):
     alone = processing.process_batches(*world(spark), now()).counters.collect()
     _, _, counters, _ = processing.process_batches(*world(spark), now())
     assert sorted(alone) == sorted(counters.collect())
+
+
+def test_answers_are_parsed_once(spark):
+    """Photos with an odd confidence are left out where they are parsed, before the rows are dealt into ranges."""
+
+    def book(title, level):
+        return {"titulo_detectado": title, "autor_detectado": "Ana Paz", "autor_corregido": "Ana Paz", "confianza": level}
+
+    responses, photos, batches, books = world(spark)
+    told = [
+        (10, [book("Uno", 0.5), book("Dos", "mucha")]),
+        (11, [book(" ", "mucha"), book("Tres", 0.5)]),
+        (12, []),
+        (20, [book("Cuatro", 0.5), 7]),
+    ]
+    answers = spark.createDataFrame([(k, json.dumps({"libros": b})) for k, b in told], responses.schema)
+    processed = processing.process_batches(answers, photos, batches, books, now())
+    assert [(r.id, r.titulo) for r in processed.books.orderBy("id").collect()] == [(6, "Tres"), (7, "Cuatro")]
+    assert [(r.foto_id, r.motivo) for r in processed.failed.collect()] == [(10, "confianza")]
+    plan = processed._read()._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.replace("_", "").count("parsejson") == 1
+    readings = processed._readings._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert readings.replace("_", "").count("parsejson") == 0
