@@ -14,10 +14,18 @@ from spinecat.llm import decontaminate, language, mixing, near_copies, pii
 from spinecat.llm.common import ready, table, write_rows
 
 
+#: Most bytes of an Arrow batch. Spark and a Python worker hold some of them at once, and a scan goes
+#: over 2 or 3 MB of one at a time, so the 20 MB of 10,000 whole rows only fill an executor's memory.
+BATCH_BYTES = "8m"
+
 #: Least score of a text's language: below, no language has a quarter of the text.
 LEAST_SCORE = 0.25
 
 
+def _ready(spark: SparkSession) -> None:
+    ready(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _columns(found: DataFrame, columns: list[str]) -> DataFrame:
     return found.select(*[F.col("row").getField(x).alias(x) for x in columns])
 
@@ -34,7 +42,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share of the letters times its posterior) go. A null lang becomes the predicted one. Where no
     row has a language to learn, texts with a letter pass as they are.
     """
-    ready(spark)
+    _ready(spark)
     model = language.train(docs)
     if not model["langs"]:
         return _columns(language.label(docs, language.letters_only()).filter("lang_pred <> 'und'"), docs.columns)
@@ -45,25 +53,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more over five-word shingles stays."""
-    ready(spark)
+    _ready(spark)
     return near_copies.keep_first(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out; texts that are mostly benchmark go."""
-    ready(spark)
+    _ready(spark)
     return _measured(decontaminate.clean(decontaminate.find(docs, table(spark, sf_dir, "benchmark"))))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind."""
-    ready(spark)
+    _ready(spark)
     return _measured(pii.redact(docs))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Equal weight for every source, then a global shuffle."""
-    ready(spark)
+    _ready(spark)
     return mixing.mix(docs)
 
 
@@ -80,7 +88,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready(spark)
+    _ready(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = write_rows(stage(spark, docs, sf_dir), f"pipeline-{name}")

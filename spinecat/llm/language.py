@@ -38,7 +38,8 @@ FLOOR = -8.0
 #: Words a task remembers the scores of; beyond, it starts anew. Scores are the same either way.
 REMEMBERED = 200_000
 SLICE = 3_000_000
-
+#: Words whose n-grams are held at a time: some 40 of them a word, in several arrays.
+AT_ONCE = 10_000
 
 
 _CATEGORY = [unicodedata.category(chr(x)) for x in range(0x110000)]
@@ -136,13 +137,15 @@ def learn(rows: DataFrame, text_col: str, label_col: str) -> dict:
                 seen[number[tag]].extend(map(words.__getitem__, pattern(text).findall(text)))
             if not words:
                 continue
-            owners, buckets, scripts = features(words.new)
-            sizes = np.fromiter(map(len, words.new), np.int64, len(words.new))
-            for k, ids in enumerate(seen):
-                if ids:
-                    times = np.bincount(ids, minlength=len(words))
-                    total[k, :BUCKETS] += np.bincount(buckets, weights=times[owners], minlength=BUCKETS)
-                    total[k, BUCKETS:] += np.bincount(scripts, weights=times * sizes, minlength=len(SCRIPT_NAMES))
+            times = {k: np.bincount(ids, minlength=len(words)) for k, ids in enumerate(seen) if ids}
+            for at in range(0, len(words), AT_ONCE):
+                new = words.new[at : at + AT_ONCE]
+                owners, buckets, scripts = features(new)
+                sizes = np.fromiter(map(len, new), np.int64, len(new))
+                for k, all_ in times.items():
+                    own = all_[at : at + AT_ONCE]
+                    total[k, :BUCKETS] += np.bincount(buckets, weights=own[owners], minlength=BUCKETS)
+                    total[k, BUCKETS:] += np.bincount(scripts, weights=own * sizes, minlength=len(SCRIPT_NAMES))
         lang, place = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang), pa.array(place), pa.array(total[lang, place].astype(np.int64))], ["lang", "place", "n"]
@@ -182,8 +185,8 @@ class Scorer:
     def update(self) -> None:
         new, self.words.new = self.words.new, []
         parts = [self.scores]
-        for at in range(0, len(new), 50_000):
-            parts.append(self._score(new[at : at + 50_000]))
+        for at in range(0, len(new), AT_ONCE):
+            parts.append(self._score(new[at : at + AT_ONCE]))
         self.scores = np.concatenate(parts)
 
     def _score(self, words: list[str]) -> np.ndarray:
@@ -244,6 +247,7 @@ def _judge(scorer: Scorer, texts: list[str], switch: float):
     flat = list(chain.from_iterable(words))
     ids = np.fromiter(map(lookup, flat), np.int64, len(flat))
     letters = np.fromiter(map(len, flat), np.int64, len(flat))
+    del words, flat
     scorer.update()
     starts = np.cumsum(sizes) - sizes
     scores = scorer.scores[ids]

@@ -278,6 +278,39 @@ def test_language_stage_without_labels(spark):
     assert plain(bare, "doc_id", "text") == plain(kept, "doc_id", "text")
 
 
+def test_language_holds_few_words_at_once(spark, monkeypatch):
+    """The n-grams of a slice's words are made in parts, and counts and scores are those of all at once."""
+    words = [f"w{a}{b}{c_}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "éabcdefghijklmnopqrstuvwxyz" for c_ in "abcdefghijklmnopqrstuvwxyzàñüö"]
+    assert len(set(words)) > 2 * language.AT_ONCE
+    model = language.train(spark.createDataFrame([(1, " ".join(words), "aa")], "doc_id long, text string, lang string"))
+    whole = language.features(words)
+    grams = np.bincount(whole[1], minlength=language.BUCKETS) + 0.5
+    assert np.allclose(model["logs"][:, 0], np.log(grams / grams.sum()) / len(language.LENGTHS), rtol=1e-6)
+    sizes, features = [], language.features
+    monkeypatch.setattr(language, "features", lambda new: sizes.append(len(new)) or features(new))
+    two = {"langs": ["aa", "bb"], "logs": np.random.default_rng(4).normal(size=(language.BUCKETS, 2)).astype(np.float32), "scripts": np.ones((2, len(language.SCRIPT_NAMES)), dtype=bool)}
+    scorer = language.Scorer(two)
+    for word in words:
+        scorer.words[word]
+    scorer.update()
+    assert max(sizes) <= language.AT_ONCE and sum(sizes) == len(words)
+    assert (scorer.scores == scorer._score(words)).all()
+
+
+def test_pipeline_batches_are_bounded(spark):
+    """10,000 rows of 2 KB are not one Arrow batch."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    corpus_pipeline.mixing_sources(spark, table(spark, extra=False), "")
+
+    def sizes(batches):
+        for batch in batches:
+            yield c.pa.RecordBatch.from_arrays([c.pa.array([batch.nbytes])], ["size"])
+
+    rows = spark.range(0, 10_000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    got = [r["size"] for r in rows.mapInArrow(sizes, "size long").collect()]
+    assert sum(got) > 20_000_000 and max(got) < 9_000_000
+
+
 def test_viterbi_is_best_path():
     rng = np.random.default_rng(0)
     sizes = np.array([5, 0, 7, 1])
