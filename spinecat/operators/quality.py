@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spinecat.functions import text
 from spinecat.operators.joins import join_unique
+from spinecat.session import materialise
 
 # Bands of the books-per-photo and dropped-author study.
 BOOK_BANDS = [(5, 13), (14, 19), (20, 28)]
@@ -49,14 +50,17 @@ def side_by_side(answers: DataFrame, truth: DataFrame) -> DataFrame:
 
     ``answers`` are ``responses.books``, ``truth`` is ``files.truth_photos``. Both sides bring
     their books as one array out of one JSON document; one join by photo brings them together,
-    and nothing is exploded or collected. Two answers to a photo are two rows.
+    and nothing is exploded or collected. Two answers to a photo are two rows. Each side is written
+    once parsed, so what made it takes no room any more when they meet, and keys are made after that.
     """
-    detected = answers.withColumn("foto", F.col("foto_id").cast("string")).withColumn(
-        "d", _keyed(F.col("libros"), "titulo", "autor", "pos")
-    )
+    listed = F.transform("libros", lambda b: F.struct(b["pos"].alias("pos"), b["titulo"].alias("titulo"), b["autor"].alias("autor")))
+    detected = materialise(answers.withColumns({"foto": F.col("foto_id").cast("string"), "libros": listed}))
     visible = "autor_visible_en_foto"
-    expected = truth.select("foto", _keyed(F.col("esperados"), "titulo", "autor", visible).alias("e"))
-    return detected.drop("libros").join(expected, "foto")
+    wanted = F.transform("esperados", lambda b: F.struct(b["titulo"].alias("titulo"), b["autor"].alias("autor"), b[visible].alias(visible)))
+    expected = materialise(truth.select("foto", wanted.alias("esperados")))
+    both = detected.join(expected, "foto")
+    both = both.withColumn("d", _keyed(F.col("libros"), "titulo", "autor", "pos"))
+    return both.withColumn("e", _keyed(F.col("esperados"), "titulo", "autor", visible)).drop("libros", "esperados")
 
 
 def title_match_pairs(answers: DataFrame, truth: DataFrame) -> DataFrame:

@@ -118,18 +118,9 @@ def _cents(name: str) -> Column:
     return F.floor(F.col(name) * 100 + 0.5).cast("string")
 
 
-def _book_rows(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """Book columns that need only a line and its part."""
+def _lines(lineitem: DataFrame) -> DataFrame:
+    """Book columns that need only a line, next to the columns its texts are made of."""
     key = F.col("l_partkey")
-    title = (
-        F.when(key % 4 == 0, F.replace(F.col("p_name"), F.lit("a"), F.lit("á")))
-        .when(key % 4 == 1, F.concat(F.upper("p_name"), F.lit(".")))
-        .when(key % 4 == 2, F.concat_ws(": ", F.col("p_name"), F.lower("p_type")))
-        .otherwise(F.concat_ws(" ", F.col("p_name"), F.col("p_size").cast("string")))
-    )
-    author = F.when(key % 5 == 0, F.lit("")).otherwise(
-        F.concat(F.lit("Ana "), F.lower("p_type"))
-    )
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     estado = (
         F.when((flag == "R") & (status == "O"), "pendiente")
@@ -137,8 +128,7 @@ def _book_rows(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         .when((flag == "N") & (status == "O"), "vendido")
         .otherwise("publicado")
     )
-    rows = lineitem.join(part, lineitem.l_partkey == part.p_partkey)
-    return rows.select(
+    return lineitem.select(
         digest_id(
             F.col("l_orderkey").cast("string"),
             F.col("l_partkey").cast("string"),
@@ -153,31 +143,65 @@ def _book_rows(lineitem: DataFrame, part: DataFrame) -> DataFrame:
             F.to_date("l_shipdate").cast("string"),
         ).alias("id"),
         F.col("l_orderkey").alias("lote_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("foto_id"),
-        (F.col("l_linenumber") - 1).cast("int").alias("orden"),
-        F.when(F.col("l_suppkey") % 3 == 0, F.upper(title)).otherwise(title).alias(
-            "titulo_raw"
-        ),
-        author.alias("autor_raw"),
-        title.alias("titulo"),
-        author.alias("autor"),
+        "l_partkey",
+        "l_linenumber",
+        (F.col("l_suppkey") % 3 == 0).alias("en_mayusculas"),
         (F.floor(F.col("l_discount") * 100 + 0.5) / 10).alias("confianza"),
         estado.alias("estado"),
         ((estado == "descartado") & (key % 2 == 0)).alias("repetido"),
         folded_day("l_shipdate").alias("creado_en"),
+    )
+
+
+def _with_part(lines: DataFrame, part: DataFrame) -> DataFrame:
+    named = part.select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
+    return lines.join(named, lines.l_partkey == named.p_partkey)
+
+
+def _with_texts(rows: DataFrame, *more: str) -> DataFrame:
+    """Texts are made where they are used, as they are longer than what they are made of."""
+    key = F.col("l_partkey")
+    title = (
+        F.when(key % 4 == 0, F.replace(F.col("p_name"), F.lit("a"), F.lit("á")))
+        .when(key % 4 == 1, F.concat(F.upper("p_name"), F.lit(".")))
+        .when(key % 4 == 2, F.concat_ws(": ", F.col("p_name"), F.lower("p_type")))
+        .otherwise(F.concat_ws(" ", F.col("p_name"), F.col("p_size").cast("string")))
+    )
+    author = F.when(key % 5 == 0, F.lit("")).otherwise(
+        F.concat(F.lit("Ana "), F.lower("p_type"))
+    )
+    return rows.select(
+        "id",
+        "lote_id",
+        (F.col("lote_id") * 10 + F.col("l_linenumber")).alias("foto_id"),
+        (F.col("l_linenumber") - 1).cast("int").alias("orden"),
+        F.when(F.col("en_mayusculas"), F.upper(title)).otherwise(title).alias("titulo_raw"),
+        author.alias("autor_raw"),
+        title.alias("titulo"),
+        author.alias("autor"),
+        "confianza",
+        "estado",
+        "repetido",
+        "creado_en",
         F.when(
             key % 7 == 1, F.concat(F.lit("Coleccion "), F.col("p_brand"))
         ).when(key % 7 == 0, F.lit("")).otherwise(author).alias("autor_leido"),
+        *more,
     )
 
 
+def _book_rows(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """Book columns that need only a line and its part."""
+    return _with_texts(_with_part(_lines(lineitem), part))
+
+
 def _line_books(spark: SparkSession, sf: str, batches: DataFrame | None = None) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     if batches is not None:
         # Before the texts are made and shuffled.
         lines = lines.join(batches.select(F.col("lote_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     # By batch, as the joins and groups that follow need it.
-    return _book_rows(lines, table(spark, sf, "part")).repartition("lote_id")
+    return _with_texts(_with_part(_lines(lines), table(spark, sf, "part")).repartition("lote_id"))
 
 
 def libros(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,8 +344,14 @@ def eventos_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lecturas(spark: SparkSession, sf: str) -> DataFrame:
-    """Every book row as one reading of a photo, ordered by batch, photo and id."""
-    return libros(spark, sf).select(
+    """Every book row as one reading of a photo, ordered by batch, photo and id.
+
+    Lines meet their batch before they have texts, which are not shuffled.
+    """
+    batches = _batch_columns(spark, sf).select(F.col("id").alias("lote"), "libreria_id")
+    lines = _lines(table(spark, sf, "lineitem"))
+    placed = lines.join(batches, lines.lote_id == batches.lote)
+    return _with_texts(_with_part(placed, table(spark, sf, "part")), "libreria_id").select(
         "id",
         "libreria_id",
         "lote_id",

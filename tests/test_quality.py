@@ -5,6 +5,7 @@ import plain
 from pyspark.sql import functions as F
 
 from spinecat.operators import quality
+from spinecat.plans import adapters as A
 from spinecat.sources import files, responses
 
 WORDS = ["a", "ab", "la", "casa", "cas", "río", "x", "de", ""]
@@ -158,3 +159,22 @@ def test_truth_and_log_files(spark, tmp_path):
     assert quality.batch_costs(calls).first().costo_por_lote == 0.01
     p = quality.latency_percentiles(calls).first()
     assert (p.p50, p.p95) == (100, 900)
+
+
+def test_keys_are_made_after_the_sides_meet(spark):
+    """The join by photo shuffles the books as they were read, not their keys and words."""
+    books = "array<struct<pos:int,titulo:string,autor:string,confianza:double,autor_descartado:string>>"
+    answers = spark.createDataFrame([("m", 1, [(0, "El Áleph", "Borges", 0.5, None)])], f"modelo string, foto_id long, libros {books}")
+    truth = spark.createDataFrame([("1", [("el aleph", "", True, None)])], "foto string, esperados array<struct<titulo:string,autor:string,autor_visible_en_foto:boolean,nota:string>>")
+    out = quality.assigned(answers, truth)
+    assert [list(r.elegido) for r in out.collect()] == [[0]]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan.split("Join")[0] and "regexp_replace" not in plan.split("Join", 1)[1]
+
+
+def test_texts_of_lines_are_made_after_their_shuffle(spark):
+    plan = A._line_books(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert "upper(" in above and "upper(" not in below
+    plan = A.lecturas(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "upper(" not in plan.split("Join", 1)[1]
