@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spinecat import schemas
 from spinecat.functions import text
 from spinecat.operators.pages import json_pages, numbered
+from spinecat.session import materialise
 
 
 def active(shops: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def batch_status(
         record,
         page_size,
     ).withColumnsRenamed({"lote_id": "id", "n": "cant_libros", "documento": "libros"})
-    joined = batches.select("id", "estado", "cant_fotos").join(progress, "id", "left")
+    joined = materialise(batches.select("id", "estado", "cant_fotos").join(progress, "id", "left"))
     return (
         joined.join(listed, "id", "left")
         .fillna(

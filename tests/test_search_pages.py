@@ -100,3 +100,16 @@ def test_numbers_do_not_shuffle_rows_for_the_sums_of_ranges(spark):
     got = {(r.k, r.id): r.numero for r in out.collect()}
     for k in (None, "x"):
         assert [got[key] for key in sorted((x for x in got if x[0] == k), key=lambda x: x[1])] == list(range(1, sum(x[0] == k for x in got) + 1))
+
+
+def test_only_keys_of_several_pages_are_numbered(spark, monkeypatch):
+    """The rows of small keys go to their page without ranges; equal places do not make a page longer."""
+    seen = []
+    whole = pages.numbered
+    monkeypatch.setattr(pages, "numbered", lambda rows, *a: seen.append(rows.count()) or whole(rows, *a))
+    rows = [("grande", 1.0, i) for i in range(25)] + [(f"chica {i}", None, i) for i in range(40)] + [(None, 1.0, 7)] * 3
+    df = spark.createDataFrame(rows, "slug string, confianza double, id long")
+    out = json_pages(df, ["slug"], ["confianza"], F.struct("id"), page_size=10).collect()
+    assert seen == [25]
+    assert sorted((r.pagina, r.n, r.paginas) for r in out if r.slug == "grande") == [(0, 10, 3), (1, 10, 3), (2, 5, 3)]
+    assert sorted((r.slug or "", r.pagina, r.n) for r in out if r.slug != "grande") == sorted([("", 0, 3)] + [(f"chica {i}", 0, 1) for i in range(40)])
